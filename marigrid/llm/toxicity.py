@@ -47,7 +47,7 @@ class Model:
         return np.diff(np.concatenate([0 * edge, below, edge], 1), axis=1)
 
 
-def fit_cuts(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-3, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_cuts(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing cuts of the cumulative-link model with least penalised log loss (Adam)."""
     n, d = x.shape
     share = np.clip(np.cumsum(np.bincount(y, minlength=grades))[:-1] / max(n, 1), 1e-3, 1 - 1e-3)
