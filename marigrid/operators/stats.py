@@ -69,7 +69,7 @@ def fit_metrics(df: DataFrame, keys: Sequence[str], sim: str, obs: str) -> DataF
     s, o = F.col(sim), F.col(obs)
     # average ranks, as ties share them
     tied = lambda c: F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(w.partitionBy(*keys, c)) - 1) / 2
-    rows = df.dropna(subset=[sim, obs]).withColumns({"__rs": tied(sim), "__ro": tied(obs), "__mo": F.avg(obs).over(w)})
+    rows = df.dropna(subset=[sim, obs]).withColumns({"__rs": tied(sim), "__ro": tied(obs), "__mo": F.avg(obs).over(w), "__ms": F.avg(sim).over(w)})
     m = F.col("__mo")
     cv = lambda c: F.stddev_pop(c) / F.avg(c)
     square = F.sum((s - o) ** 2)
@@ -77,7 +77,7 @@ def fit_metrics(df: DataFrame, keys: Sequence[str], sim: str, obs: str) -> DataF
     kge = lambda spread: 1 - F.sqrt((F.corr(sim, obs) - 1) ** 2 + (spread - 1) ** 2 + (F.avg(sim) / F.avg(obs) - 1) ** 2)
     return rows.groupBy(*keys).agg(
         F.sqrt(F.avg((s - o) ** 2)).alias("rmse"), F.avg((s - o) ** 2).alias("mse"), F.avg(F.abs(s - o)).alias("mae"), F.sqrt(square).alias("ed"),
-        F.sqrt(F.sum((o / F.lit(1.0) - s) ** 2)).alias("ned"), (F.corr(sim, obs) ** 2).alias("r2"), F.corr(sim, obs).alias("pearson"), F.corr("__rs", "__ro").alias("spearman"),
+        F.sqrt(F.sum((o / m - s / F.col("__ms")) ** 2)).alias("ned"), (F.corr(sim, obs) ** 2).alias("r2"), F.corr(sim, obs).alias("pearson"), F.corr("__rs", "__ro").alias("spearman"),
         (1 - square / F.sum((o - m) ** 2)).alias("nse"), (1 - F.sum(F.abs(s - o)) / F.sum(F.abs(o - m))).alias("nse_mod"),
         (1 - F.sum(((s - o) / o) ** 2) / F.sum(((o - m) / m) ** 2)).alias("nse_rel"),
         kge(F.stddev_pop(sim) / F.stddev_pop(obs)).alias("kge_2009"), kge(cv(sim) / cv(obs)).alias("kge_2012"),

@@ -1 +1 @@
-"""See the modules."""
+"""Chains of operators, and the named queries over the test tables."""
