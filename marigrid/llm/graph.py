@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marigrid.llm.common import cut
+from marigrid.llm.common import BROADCAST_IDS, cut
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,10 +23,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
+        near = F.broadcast if state[0] <= BROADCAST_IDS else lambda df: df
         # every node's least neighbour, itself included
         least = e.select(F.col("v").alias("x"), F.col("v").alias("m")).union(e.select("u", "v")).groupBy("x").agg(F.min("m").alias("m"))
-        large = e.join(least, F.col("v") == F.col("x")).select("u", F.col("m").alias("v")).distinct()
+        large = e.join(near(least), F.col("v") == F.col("x")).select("u", F.col("m").alias("v"))
         low = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
-        small = large.join(low, F.col("u") == F.col("x")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.*")
+        small = large.join(near(low), F.col("u") == F.col("x")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.*")
         e = cut(small.filter("u <> v").distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())

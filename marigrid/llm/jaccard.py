@@ -2,8 +2,9 @@
 
 The symmetric difference of sets is a metric that adds up over the cells of a partition of the shingles, so the
 distances of a set to the cells are its parts in them. Two sets within the threshold differ in at most D shingles;
-with D + 2 cells, two cells at least have distance 0. Documents that meet in a cell share a region; regions
-that touch form a cluster. A cluster is joined by document pivots: Voronoi regions of the nearest pivot, with
+with D + 1 + g cells, g + 1 cells at least hold the same of both. Each set enters the regions of all its cells but
+the g least ones, by (size, cell): the greatest of the cells that agree is never among those, on either side.
+Documents that meet in a cell share a region; regions that touch form a cluster. A cluster is joined by document pivots: Voronoi regions of the nearest pivot, with
 the documents in the triangle inequality's window replicated, recursively, down to small regions that are compared
 exactly. What a pivot's ball holds is one component, so only pairs of different components are still looked at.
 """
@@ -11,10 +12,11 @@ exactly. What a pivot's ball holds is one component, so only pairs of different
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marigrid.llm.common import BROADCAST_IDS, cut, narrowed, small_batches
@@ -24,12 +26,11 @@ from marigrid.llm.text import mix, shingles, word_batches
 K, PERCENT = 3, 90
 #: Documents and shingles of a cluster that one task joins; larger ones are split.
 GROUP_DOCS, GROUP_ITEMS = 3000, 2_000_000
-#: Size classes grow by half. One cell more than the differences need lets all but rare documents skip empty cells.
+#: Size classes grow by half.
 _CLASSES = [1]
 while _CLASSES[-1] < 2**40:
     _CLASSES.append(_CLASSES[-1] * 3 // 2 + 1)
 _CLASSES = np.array(_CLASSES)
-SPARE = 1
 
 
 def doc_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -53,11 +54,26 @@ def doc_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def set_hash(s: np.ndarray) -> int:
-    return int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+    return _finish(mix(s).sum(dtype=np.uint64), len(s))
 
 
-def cell_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the regions of a set: its cells in its size class, and in the next class if a partner can be there.
+def _finish(total: np.uint64, n: int) -> int:
+    return int(mix(np.array([total], np.uint64) + np.uint64(n)).view(np.int64)[0])
+
+
+@lru_cache(maxsize=200)
+def _cells(cls: int, percent: int) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """(cells that each set leaves out, the cells' inner edges, their salts) of a size class; None if only equal sets link."""
+    differ = (100 - percent) * 2 * (int(_CLASSES[cls + 1]) - 1) // (100 + percent)
+    if not differ:
+        return None
+    spare = differ // 2 + 1
+    cells = differ + 1 + spare
+    return spare, np.arange(1, cells, dtype=np.uint64) * np.uint64(2**64 // cells), mix(np.arange(cells, dtype=np.uint64) + np.uint64(cls << 40))
+
+
+def cell_keys(s: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """The set's hash and the keys of its regions: its cells in its size class, and in the next class if a partner can be there.
 
     A pair meets in the class of its larger set, whose number of cells exceeds the differences it may have.
     """
@@ -66,16 +82,12 @@ def cell_keys(s: np.ndarray, percent: int) -> np.ndarray:
     out = []
     mixed = np.concatenate([[np.uint64(0)], np.cumsum(mix(s))])
     for cls in (c, c + 1) if 100 * n >= percent * int(_CLASSES[c + 1]) else (c,):
-        differ = (100 - percent) * 2 * (int(_CLASSES[cls + 1]) - 1) // (100 + percent)
-        if not differ:
-            continue  # only equal sets, which are one class already
-        cells = differ + 1 + SPARE
-        edges = np.concatenate([[0], np.searchsorted(s, np.arange(1, cells, dtype=np.uint64) * np.uint64(2**64 // cells)), [n]])
-        full = edges[1:] > edges[:-1]
-        use = full if (~full).sum() <= SPARE else np.ones(cells, bool)
-        own = mix(np.arange(cells, dtype=np.uint64) + np.uint64(cls << 40))
-        out.append(mix((mixed[edges[1:]] - mixed[edges[:-1]] + own))[use])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        if plan := _cells(cls, percent):
+            spare, inner, salts = plan
+            edges = np.concatenate([[0], np.searchsorted(s, inner), [n]])
+            use = np.argsort(edges[1:] - edges[:-1], kind="stable")[spare:]
+            out.append(mix(mixed[edges[use + 1]] - mixed[edges[use]] + salts[use]))
+    return _finish(mixed[-1], n), np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 class Group:
@@ -143,27 +155,21 @@ class Group:
                 return
 
 
-def join_group(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A forest of links between sets whose Jaccard similarity is at least ``percent`` / 100, exactly."""
-    g = Group(sets, percent)
-    g.join(np.arange(len(sets)))
-    return [(ids[i], ids[j]) for i, j in g.forest]
-
-
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def _links(docs: DataFrame, digest: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between set hashes that span the components of all links."""
+def _roots(docs: DataFrame, digest: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, root) of set hashes with a link: the least hash of their component."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, own = [], []
             for _, s in doc_sets(batch.column(1), k):
                 if len(s):
-                    key.append(cell_keys(s, percent))
-                    own.append(np.full(len(key[-1]), set_hash(s), np.int64))
+                    node, found = cell_keys(s, percent)
+                    key.append(found)
+                    own.append(np.full(len(found), node, np.int64))
             if key:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(own))], names=["key", "node"])
 
@@ -173,9 +179,9 @@ def _links(docs: DataFrame, digest: DataFrame, k: int, percent: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["node", "items"])
 
     regions = docs.mapInArrow(keys, "key long, node long")
-    shared = regions.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
-    # each member of a region with the region's first: as many rows as members
-    stars = cut(regions.join(shared, "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    # each member of a region with the region's first: as many rows as members, from one sort
+    first = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    stars = cut(regions.select(first.alias("a"), F.col("node").alias("b")).filter("a <> b").distinct())
     clusters = cut(components(stars))
     nodes = digest.join(clusters, digest.node == clusters.node, "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     nodes = cut(nodes.join(clusters, "node"))
@@ -185,20 +191,27 @@ def _links(docs: DataFrame, digest: DataFrame, k: int, percent: int) -> DataFram
     large = sizes.filter((F.col("docs") > GROUP_DOCS) | (F.col("items") > GROUP_ITEMS))
     parts = F.ceil(F.greatest(F.col("docs") / (GROUP_DOCS // 2), F.col("items") / (GROUP_ITEMS // 2))).cast("int")
     small = chosen.join(large, "root", "left_anti").withColumn("part", F.lit("")).select("root", "part", "node", "items")
-    found = small.groupBy("root", "part").applyInArrow(_grouped(percent), "a long, b long")
+    found = small.groupBy("root", "part").applyInArrow(_grouped(percent, True), "node long, root long")
     blocks = cut(large.select("root", parts.alias("parts")))
     if blocks.limit(1).count():
-        found = found.unionByName(_large(chosen.join(blocks, "root"), percent))
+        found = found.unionByName(components(_large(chosen.join(blocks, "root"), percent)))
     return found
 
 
-def _grouped(percent: int):
+def _grouped(percent: int, whole: bool):
+    """Links (a, b) of a part of a cluster; of a ``whole`` one, (node, root) of the linked."""
+
     def work(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         ids, order = np.unique(group.column("node").to_numpy(), return_index=True)  # repeated rows count once
         items = group.column("items")
-        pairs = join_group(ids.tolist(), [np.frombuffer(items[int(i)].as_buffer(), np.uint64) for i in order], percent)
-        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+        g = Group([np.frombuffer(items[int(i)].as_buffer(), np.uint64) for i in order], percent)
+        g.join(np.arange(len(ids)))
+        if whole:
+            # ids are in order, so the least place of a component is its least id
+            linked = np.flatnonzero(np.bincount(g.root, minlength=len(ids))[g.root] > 1)
+            return pa.table({"node": ids[linked], "root": ids[g.root[linked]]})
+        return pa.table({"a": pa.array([ids[i] for i, _ in g.forest], pa.int64()), "b": pa.array([ids[j] for _, j in g.forest], pa.int64())})
 
     return work
 
@@ -231,7 +244,7 @@ def _large(rows: DataFrame, percent: int) -> DataFrame:
     block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.concat_ws("-", F.col("ring"), F.least(block, j), F.greatest(block, j)))
     split = homes.select("root", F.explode(every).alias("part"), "node", "items")
-    return direct.unionByName(split.groupBy("root", "part").applyInArrow(_grouped(percent), "a long, b long"))
+    return direct.unionByName(split.groupBy("root", "part").applyInArrow(_grouped(percent, False), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -253,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     digest = cut(docs.mapInArrow(digests, "doc_id long, n long, node long"))
     full = digest.filter("n > 0")
-    roots = components(_links(docs, full.filter("doc_id is not null"), k, percent))
+    roots = _roots(docs, full.filter("doc_id is not null"), k, percent)
     rooted = cut(full.join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root")))
     first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(digest.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
