@@ -26,6 +26,8 @@ from marigrid.llm.text import mix, shingles, word_batches
 K, PERCENT = 3, 90
 #: Documents and shingles of a cluster that one task joins; larger ones are split.
 GROUP_DOCS, GROUP_ITEMS = 3000, 2_000_000
+#: Sets from which on a shingle is a column of the matrix.
+DENSE = 16
 #: Size classes grow by half.
 _CLASSES = [1]
 while _CLASSES[-1] < 2**40:
@@ -120,7 +122,8 @@ class Group:
         self.link(i, others[(100 * common >= self.percent * union) & (others != i)])
         return 1 - common / union
 
-    def join(self, some: np.ndarray, least: int = 48, pivots: int = 6) -> None:
+    def join(self, some: np.ndarray, least: int = 64, pivots: int = 6) -> None:
+        """Regions of the nearest pivot, with the window around them, recursively; small or dense ones are compared."""
         if len(np.unique(self.root[some])) < 2:
             return
         if len(some) > least:
@@ -128,31 +131,44 @@ class Group:
             d = np.stack([self.distances(int(p), some) for p in at])
             home = d.min(0)
             regions = [some[r <= home + 2 * self.within] for r in d]
-            if sum(map(len, regions)) < 0.8 * len(regions) * len(some):
-                for region in sorted(regions, key=len):
-                    if len(region) < len(some):
-                        self.join(region, least, pivots)
-                    else:
-                        self.compare(region)
+            if max(map(len, regions)) < len(some) and sum(len(r) ** 2 for r in regions) < 0.8 * len(some) ** 2:
+                for region in regions:
+                    self.join(region, least, pivots)
                 return
         self.compare(some)
 
     def compare(self, some: np.ndarray) -> None:
-        """Every pair of different components whose sizes and distances to earlier pivots allow a link."""
-        some = some[np.argsort(self.size[some], kind="stable")]
-        seen: list[dict[int, float]] = []
-        for k, i in enumerate(some[:-1]):
-            later = some[k + 1 :]
-            later = later[(self.root[later] != self.root[i]) & (100 * self.size[i] >= self.percent * self.size[later])]
-            for d in seen:
-                if i in d and len(later):
-                    later = later[np.array([abs(d.get(int(j), d[i]) - d[i]) <= self.within for j in later], bool)]
-            if len(later):
-                d = self.distances(int(i), later)
-                if len(later) > 8 and len(seen) < 4:
-                    seen.append(dict(zip(map(int, later), d, strict=True)))
-            if len(some) > 64 and k % 16 == 15 and len(np.unique(self.root[some])) < 2:
-                return
+        """All pairs at once: the intersections' sizes are a product of the membership matrix with itself.
+
+        Shingles in many sets go through dense blocks of the matrix, the others add to their pairs.
+        """
+        m = len(some)
+        values = np.concatenate([self.values[self.starts[i] : self.starts[i + 1]] for i in some])
+        owner = np.repeat(np.arange(m), self.size[some])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        head = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        many = np.diff(np.concatenate([head, [len(values)]]))
+        common = np.zeros((m, m), np.float32)
+        thick = np.flatnonzero(many >= DENSE)
+        for s in range(0, len(thick), 4096):
+            block = np.zeros((m, min(4096, len(thick) - s)), np.float32)
+            for c, j in enumerate(thick[s : s + 4096]):
+                block[owner[head[j] : head[j] + many[j]], c] = 1
+            common += block @ block.T
+        thin = np.zeros((m, m), np.float32)
+        for f in range(2, DENSE):
+            at = head[many == f]
+            for s in range(0, len(at), 500_000 // f):
+                sets = owner[at[s : s + 500_000 // f, None] + np.arange(f)]
+                for i in range(f):
+                    for j in range(i + 1, f):
+                        np.add.at(thin, (sets[:, i], sets[:, j]), 1)
+        common += thin + thin.T
+        size = self.size[some].astype(np.float64)
+        for i in range(m):
+            near = np.flatnonzero(100 * common[i].astype(np.float64) >= self.percent * (size[i] + size - common[i]))
+            self.link(int(some[i]), some[near[near != i]])
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
