@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marigrid.llm.common import small_batches
+from marigrid.llm.text import mix, shingles, word_batches
 
 #: Labelled rows of each class that are fitted on, at most: the documented bound of the sample.
 SAMPLE_PER_CLASS = 4000
@@ -19,6 +20,8 @@ SAMPLE_PER_CLASS = 4000
 FEATURES, LEAST_DOCS = 2000, 5
 #: Chi-square of a feature with one degree of freedom, at least (p < 1e-6).
 LEAST_CHI2 = 24.0
+#: Times as often in one class as in the other, at least.
+LEAST_LIFT = 5.0
 GRADES = 4
 REJECT = 0.5
 _LOWER = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 32 for b in range(256))
@@ -47,7 +50,7 @@ class Model:
         return np.diff(np.concatenate([0 * edge, below, edge], 1), axis=1)
 
 
-def fit_cuts(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_cuts(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-6, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing cuts of the cumulative-link model with least penalised log loss (Adam)."""
     n, d = x.shape
     share = np.clip(np.cumsum(np.bincount(y, minlength=grades))[:-1] / max(n, 1), 1e-3, 1 - 1e-3)
@@ -72,14 +75,30 @@ def fit_cuts(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-4, steps:
     return p[:d], p[d] + np.concatenate([[0], np.cumsum(np.exp(p[d + 1 :]))])
 
 
+def _distinct(texts: list[str | None]) -> list[int]:
+    """Places of texts that share none of three min-hashes of their five-word runs (or their words) with an earlier one."""
+    seen: set = set()
+    keep = []
+    for base, found, rows in word_batches(pa.array(texts, pa.string()), bare=True):
+        h, at = shingles(found, rows, 5)
+        cuts = np.searchsorted(at, rows)
+        for r in range(len(rows) - 1):
+            own = h[cuts[r] : cuts[r + 1]] if cuts[r + 1] > cuts[r] else found[rows[r] : rows[r + 1]]
+            marks = {(j, int(mix(own ^ np.uint64(j * 0x9E3779B97F4A7C15 & (2**64 - 1))).min())) for j in range(3)} if len(own) else {None}
+            if seen.isdisjoint(marks):
+                keep.append(base + r)
+            seen |= marks
+    return keep
+
+
 def fit_texts(texts: list[str | None], toxic: list[int]) -> Model:
-    """A model from labelled texts. Equal texts count once.
+    """A model from labelled texts. Copies and near copies count once, as their words would all look telling.
 
     Labels are binary, so the grades are: 0 not toxic; toxic texts by thirds of how often they use the words
     that tell the classes apart, 1 (mild) to 3 (severe). Without both classes nothing is toxic.
     """
-    seen = {t or "": int(y) for t, y in zip(texts, toxic, strict=True)}
-    docs, label = [Counter(words(t)) for t in seen], np.array(list(seen.values()), int)
+    own = _distinct(texts)
+    docs, label = [Counter(words(texts[i])) for i in own], np.array([toxic[i] for i in own], int)
     if not len(label) or label.min() == label.max():
         return Model({}, (20.0, 21.0, 22.0))
     has = [Counter(w for d, y in zip(docs, label, strict=True) if y == c for w in d) for c in (0, 1)]
@@ -91,7 +110,8 @@ def fit_texts(texts: list[str | None], toxic: list[int]) -> Model:
         return n * (a * d - b * c) ** 2 / max((a + b) * (c + d) * n1 * n0, 1)
 
     ranked = sorted(((-chi2(w), w) for w in set(has[0]) | set(has[1]) if has[0][w] + has[1][w] >= LEAST_DOCS))
-    vocabulary = [w for c, w in ranked[:FEATURES] if -c >= LEAST_CHI2]
+    lift = lambda w: abs(np.log((has[1][w] + 0.5) / (n1 + 1)) - np.log((has[0][w] + 0.5) / (n0 + 1)))
+    vocabulary = [w for c, w in ranked if -c >= LEAST_CHI2 and lift(w) >= np.log(LEAST_LIFT)][:FEATURES]
     index = {w: i for i, w in enumerate(vocabulary)}
     x = np.zeros((len(docs), len(index)))
     telling = np.array([has[1][w] * n0 > has[0][w] * n1 for w in vocabulary], bool)
