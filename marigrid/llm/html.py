@@ -134,57 +134,56 @@ class Page:
         flush()
 
 
-FEATURES = len(KINDS) + 22
+_BOILER = {_NAMES.index(k) for k in ("nav", "header", "footer", "aside", "form")}
+_CORE = {_NAMES.index(k) for k in ("article", "main")}
+_P = _NAMES.index("p")
 
 
 def features(page: Page) -> np.ndarray:
     """A row for each node: kind, tokens, text, links, density, depth and how its siblings compare."""
-    n = len(page.kind)
-    parent, kind = np.array(page.parent), np.array(page.kind)
-    good, bad = np.array(page.tokens).T
-    chars, linked, runs, stops, first = (np.zeros(n) for _ in range(5))
-    first[:] = np.inf
+    n, parent, kind = len(page.kind), page.parent, page.kind
+    # characters, characters in links, runs, stops, tags, paragraphs and nodes of whole subtrees
+    sums = [[0, 0, 0, 0, t, int(k == _P), 1] for t, k in zip(page.tags, kind, strict=True)]
+    first: list[float] = [float("inf")] * n
     total = 0
     for node, text, link in page.runs:
-        chars[node] += len(text)
-        linked[node] += link
-        runs[node] += 1
-        stops[node] += text.count(".") + text.count(",")
+        s = sums[node]
+        s[0] += len(text)
+        s[1] += link
+        s[2] += 1
+        s[3] += text.count(".") + text.count(",")
         first[node] = min(first[node], total)
         total += len(text)
-    own = chars.copy()
-    tags, paragraphs, nodes = np.array(page.tags, float), (kind == _NAMES.index("p")).astype(float), np.ones(n)
-    children, depth = np.zeros(n), np.zeros(n)
-    up_good, up_bad, up_kind = np.zeros(n), np.zeros(n), np.zeros(n)
-    boiler = np.isin(kind, [_NAMES.index(k) for k in ("nav", "header", "footer", "aside", "form")])
-    core = np.isin(kind, [_NAMES.index(k) for k in ("article", "main")])
-    up_core = np.zeros(n)
+    own = [s[0] for s in sums]
+    depth, children = [0] * n, [0] * n
+    # of the node and all above it: good and bad tokens, boilerplate and article elements
+    above = [[0, 0, 0, 0] for _ in range(n)]
+    place, seen = [0] * n, {}
     for v in range(1, n):
-        p = parent[v]
-        depth[v], up_good[v], up_bad[v] = depth[p] + 1, max(up_good[p], good[v]), max(up_bad[p], bad[v])
-        up_kind[v], up_core[v] = max(up_kind[p], boiler[v]), max(up_core[p], core[v])
-    for v in range(n - 1, 0, -1):
-        p = parent[v]
-        for a in (chars, linked, runs, stops, tags, paragraphs, nodes):
-            a[p] += a[v]
-        first[p] = min(first[p], first[v])
+        p, k, (good, bad) = parent[v], kind[v], page.tokens[v]
+        up = above[p]
+        depth[v] = depth[p] + 1
+        above[v] = [up[0] or good, up[1] or bad, up[2] or int(k in _BOILER), up[3] or int(k in _CORE)]
         children[p] += 1
-    same, place = np.zeros(n), np.zeros(n)
-    seen: dict[tuple[int, int], int] = {}
-    count: dict[int, int] = {}
-    for v in range(1, n):
-        key = (parent[v], kind[v])
-        seen[key] = seen.get(key, 0) + 1
-        place[v] = count[parent[v]] = count.get(parent[v], 0) + 1
-    for v in range(1, n):
-        same[v] = seen[parent[v], kind[v]]
-    around = np.maximum(children[parent], 1)
-    beside = (chars[parent] - own[parent] - chars) / np.maximum(around - 1, 1)
+        place[v] = children[p]
+        seen[p, k] = seen.get((p, k), 0) + 1
+    for v in range(n - 1, 0, -1):
+        s, up = sums[v], sums[parent[v]]
+        for i in range(7):
+            up[i] += s[i]
+        if first[v] < first[parent[v]]:
+            first[parent[v]] = first[v]
+    chars, linked, runs, stops, tags, paragraphs, nodes = np.array(sums, float).T
+    up, own, start = np.array(parent), np.array(own, float), np.array(first)
+    many = np.array(children, float)
+    around = np.maximum(many[up], 1)
+    same = np.array([0, *(seen[parent[v], kind[v]] for v in range(1, n))], float)
+    beside = (chars[up] - own[up] - chars) / np.maximum(around - 1, 1)
     size = np.maximum(chars, 1)
-    first[~np.isfinite(first)] = total
+    start[~np.isfinite(start)] = total
     numbers = [
-        good, bad, up_good, up_bad, up_kind, up_core, depth, np.log1p(chars), linked / size, chars / max(total, 1), np.log1p(children), np.log1p(paragraphs),
-        chars / np.maximum(runs, 1), stops / size, place / around, around, same / around, np.log1p(np.maximum(beside, 0)), first / max(total, 1), np.log1p(chars / np.maximum(tags, 1)), np.log1p(own), nodes,
+        *np.array(page.tokens, float).T, *np.array(above, float).T, np.array(depth, float), np.log1p(chars), linked / size, chars / max(total, 1), np.log1p(many), np.log1p(paragraphs),
+        chars / np.maximum(runs, 1), stops / size, np.array(place) / around, around, same / around, np.log1p(np.maximum(beside, 0)), start / max(total, 1), np.log1p(chars / np.maximum(tags, 1)), np.log1p(own), nodes,
     ]
     return np.concatenate([np.eye(len(KINDS))[kind], np.stack(numbers, 1)], 1)
 

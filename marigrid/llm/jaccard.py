@@ -3,7 +3,8 @@
 The symmetric difference of sets is a metric that adds up over the cells of a partition of the shingles, so the
 distances of a set to the cells are its parts in them. Two sets within the threshold differ in at most D shingles;
 with D + 1 + g cells, g + 1 cells at least hold the same of both. Each set enters the regions of all its cells but
-the g least ones, by (size, cell): the greatest of the cells that agree is never among those, on either side.
+the g least ones, by (rare shingles, size, cell): the greatest of the cells that agree is never among those, on either
+side. Which shingles count as rare changes how many documents meet by chance, never the result.
 Documents that meet in a cell share a region; regions that touch form a cluster. A cluster is joined by document pivots: Voronoi regions of the nearest pivot, with
 the documents in the triangle inequality's window replicated, recursively, down to small regions that are compared
 exactly. What a pivot's ball holds is one component, so only pairs of different components are still looked at.
@@ -28,6 +29,8 @@ K, PERCENT = 3, 90
 GROUP_DOCS, GROUP_ITEMS = 3000, 2_000_000
 #: Sets from which on a shingle is a column of the matrix.
 DENSE = 16
+#: Common shingles that tasks are sent, at most, and shingles among which a task counts them.
+COMMON, CHUNK = 200_000, 4_000_000
 #: Size classes grow by half.
 _CLASSES = [1]
 while _CLASSES[-1] < 2**40:
@@ -74,7 +77,23 @@ def _cells(cls: int, percent: int) -> tuple[int, np.ndarray, np.ndarray] | None:
     return spare, np.arange(1, cells, dtype=np.uint64) * np.uint64(2**64 // cells), mix(np.arange(cells, dtype=np.uint64) + np.uint64(cls << 40))
 
 
-def cell_keys(s: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+class Common:
+    """Shingles that many documents have."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes.astype(np.uint64))
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+
+    def rare(self, s: np.ndarray) -> np.ndarray:
+        out = ~self.bits[(s >> np.uint64(42)).astype(np.int64)]
+        at = np.flatnonzero(~out)
+        if len(at):
+            out[at] = self.hashes[np.minimum(np.searchsorted(self.hashes, s[at]), len(self.hashes) - 1)] != s[at]
+        return out
+
+
+def cell_keys(s: np.ndarray, percent: int, common: Common) -> tuple[int, np.ndarray]:
     """The set's hash and the keys of its regions: its cells in its size class, and in the next class if a partner can be there.
 
     A pair meets in the class of its larger set, whose number of cells exceeds the differences it may have.
@@ -83,11 +102,13 @@ def cell_keys(s: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
     c = int(np.searchsorted(_CLASSES, n, "right")) - 1
     out = []
     mixed = np.concatenate([[np.uint64(0)], np.cumsum(mix(s))])
+    rare = np.concatenate([[0], np.cumsum(common.rare(s))])
     for cls in (c, c + 1) if 100 * n >= percent * int(_CLASSES[c + 1]) else (c,):
         if plan := _cells(cls, percent):
             spare, inner, salts = plan
             edges = np.concatenate([[0], np.searchsorted(s, inner), [n]])
-            use = np.argsort(edges[1:] - edges[:-1], kind="stable")[spare:]
+            rank = (rare[edges[1:]] - rare[edges[:-1]]) * (n + 1) + edges[1:] - edges[:-1]
+            use = np.argsort(rank, kind="stable")[spare:]
             out.append(mix(mixed[edges[use + 1]] - mixed[edges[use]] + salts[use]))
     return _finish(mixed[-1], n), np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -175,15 +196,17 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def _roots(docs: DataFrame, digest: DataFrame, k: int, percent: int) -> DataFrame:
+def _roots(docs: DataFrame, digest: DataFrame, hashes: np.ndarray, k: int, percent: int) -> DataFrame:
     """(node, root) of set hashes with a link: the least hash of their component."""
+    sent = docs.sparkSession.sparkContext.broadcast(hashes)  # COMMON longs at most
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = Common(sent.value)
         for batch in batches:
             key, own = [], []
             for _, s in doc_sets(batch.column(1), k):
                 if len(s):
-                    node, found = cell_keys(s, percent)
+                    node, found = cell_keys(s, percent, common)
                     key.append(found)
                     own.append(np.full(len(found), node, np.int64))
             if key:
@@ -276,13 +299,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = _named(docs, id_col, text_col)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, items = set(), [], 0
         for batch in batches:
-            out = [(len(s), set_hash(s)) for _, s in doc_sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in out], pa.int64()), pa.array([h for _, h in out], pa.int64())], names=["doc_id", "n", "node"])
-
-    digest = cut(docs.mapInArrow(digests, "doc_id long, n long, node long"))
+            out = []
+            for _, s in doc_sets(batch.column(1), k):
+                out.append((len(s), set_hash(s)))
+                if out[-1][1] not in seen:
+                    seen.add(out[-1][1])
+                    held.append(s)
+                    items += len(s)
+            yield rows(batch.column(0), [n for n, _ in out], [h for _, h in out], False)
+            if items > CHUNK:
+                yield repeated(held)
+                seen, held, items = set(), [], 0
+        if held:
+            yield repeated(held)
+
+    def rows(ids, n, node, common: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array([common] * len(ids), pa.bool_())], names=["doc_id", "n", "node", "common"])
+
+    def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        some = n >= 3
+        return rows(pa.nulls(int(some.sum()), pa.int64()), n[some], values[some].view(np.int64), True)
+
+    both = cut(docs.mapInArrow(digests, "doc_id long, n long, node long, common boolean"))
+    digest = both.filter("not common").drop("common")
+    often = both.filter("common").groupBy("node").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "node").limit(COMMON)
+    hashes = np.array([r[0] for r in often.select("node").collect()], np.int64).view(np.uint64)
     full = digest.filter("n > 0")
-    roots = _roots(docs, full.filter("doc_id is not null"), k, percent)
+    roots = _roots(docs, full.filter("doc_id is not null"), hashes, k, percent)
     rooted = cut(full.join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root")))
     first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(digest.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

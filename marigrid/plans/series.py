@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marigrid.functions.scalar import fgn_acf, burr_acf, interpolate, pareto_acf, weibull_acf, transformation_curve
+from marigrid.functions.scalar import burr_acf, fgn_acf, interpolate, pareto_acf, transformation_curve, weibull_acf
 from marigrid.operators import acf, disagg, grid, resample, stats, windows
+from marigrid.operators.joins import lookup_by_month_day, nearest
 from marigrid.params import Compat, Window
 from marigrid.plans import water
 from marigrid.plans.registry import Tables, query, rounded
@@ -367,8 +368,6 @@ def _ntr(t: Tables, compat: Compat) -> DataFrame:
     z = {"tauu": F.col("uas_corrected") * F.abs("uas_corrected"), "tauv": F.col("vas_corrected") * F.abs("vas_corrected"), "slp": F.col("psl_corrected")}
     day = d.groupBy(F.date_format("time", "MMdd").alias("month_day")).agg(*(f(c).alias(f"{p}_{n}") for n, c in z.items() for p, f in (("z_mean", F.avg), ("z_std", F.stddev_pop), ("min", F.min), ("max", F.max))))
     day = day.withColumns({"m_tauu": F.lit(0.5), "m_tauv": F.lit(0.25), "m_slp": F.lit(-0.1), "b": F.lit(0.02), "m_lf": F.lit(2.0), "b_lf": F.lit(0.1)})
-    from marigrid.operators.joins import lookup_by_month_day
-
     return water.low_frequency(water.high_frequency(lookup_by_month_day(d, day), compat))
 
 
@@ -419,7 +418,7 @@ g AS (SELECT *, coalesce(sum(new::INT) OVER (PARTITION BY stn ORDER BY time), 0)
 e AS (SELECT * FROM g QUALIFY i > 1 AND coalesce(lead(seg) OVER (PARTITION BY stn ORDER BY time) = seg, true)),
 r AS (SELECT *, row_number() OVER (PARTITION BY stn, seg ORDER BY time) AS j FROM e),
 p AS (SELECT a.stn, b.j - a.j AS lag, corr(a.v, b.v) AS acf, count(*) AS pairs FROM r a JOIN r b ON a.stn = b.stn AND a.seg = b.seg AND b.j > a.j AND b.j <= a.j + 6 GROUP BY ALL)
-SELECT stn, lag, round(acf, 6) AS acf, pairs FROM p QUALIFY max((acf < 0)::INT) OVER (PARTITION BY stn ORDER BY lag) = 0
+SELECT stn, lag, round(acf, 6) AS acf, pairs FROM p WHERE NOT isnan(acf) QUALIFY max((acf < 0)::INT) OVER (PARTITION BY stn ORDER BY lag) = 0
 """,
     "view",
 )
@@ -519,8 +518,6 @@ def disaggregate(t: Tables) -> DataFrame:
     days = d.withColumns({"a": F.col("x") - 2, "loc": F.lit(0.0), "scale": F.bround(0.1 + F.col("y") / 50, 4)})
     curves = disagg.correlation_curves(days.select("a", "loc", "scale").distinct(), "skewnorm").drop("rho_x")
     blocks = disagg.block_means(days.select("a", "loc", "scale").distinct(), "skewnorm").select("a", "loc", "scale", "xk", "v")
-    from marigrid.operators.joins import nearest
-
     names = ["a", "loc", "scale"]
     near = nearest(days.select(*names, "x", "y", "time", "xk"), blocks, names, "xk", "xk").join(blocks.withColumnRenamed("xk", "nearest"), [*names, "nearest"])
     ready = near.join(curves, names, "left").withColumns({"acs_scale": F.lit(8.0), "acs_shape": F.lit(0.8)})

@@ -30,12 +30,12 @@ def time_slice(t: Tables) -> DataFrame:
     return t.orders.filter(in_dates(F.col("o_orderdate"), "1996-02-29", "1997-03-01")).select("o_orderkey", "o_orderdate")
 
 
-@query("pivot_params", "SELECT date_trunc('month', time) AS ts, round(avg(value) FILTER (status = 'F'), 4) AS f, round(avg(value) FILTER (status = 'O'), 4) AS o, round(avg(value) FILTER (status = 'P'), 4) AS p FROM daily GROUP BY 1", "daily")
+@query("pivot_params", "SELECT date_trunc('month', time) AS ts, round(avg(value) FILTER (status = 'F'), 7) AS f, round(avg(value) FILTER (status = 'O'), 7) AS o, round(avg(value) FILTER (status = 'P'), 7) AS p FROM daily GROUP BY 1", "daily")
 def pivot_params(t: Tables) -> DataFrame:
     """P12, D4; listing the values saves a pass."""
     rows = t.daily.withColumn("ts", F.date_trunc("month", "time").cast("timestamp_ntz"))
     wide = rows.groupBy("ts").pivot("status", ["F", "O", "P"]).agg(F.avg("value"))
-    return rounded(wide.withColumnsRenamed({"F": "f", "O": "o", "P": "p"}), 4, "f", "o", "p")
+    return rounded(wide.withColumnsRenamed({"F": "f", "O": "o", "P": "p"}), 7, "f", "o", "p")
 
 
 @query("melt_params", "WITH w AS (SELECT l_returnflag, avg(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_tax) AS tax FROM lineitem GROUP BY 1) SELECT l_returnflag, param, round(value, 6) AS value FROM (UNPIVOT w ON quantity, discount, tax INTO NAME param VALUE value)")
@@ -169,11 +169,11 @@ def mmdd_lookup(t: Tables) -> DataFrame:
     return rows.groupBy("time", "x", "y").agg(F.round(F.sum((F.col("value") - F.col("m")) / F.nullif("s", F.lit(0.0))), 4).alias("z"))
 
 
-@query("doy_lookup", "WITH p AS (SELECT dayofyear(time) AS doy, avg(value) AS m FROM daily GROUP BY 1) SELECT time, round(sum(value - m), 2) AS anomaly, count(*) AS n FROM daily JOIN p ON dayofyear(time) = doy GROUP BY time", "daily")
+@query("doy_lookup", "WITH p AS (SELECT dayofyear(time) AS doy, avg(value) AS m FROM daily GROUP BY 1) SELECT time, round(sum(value - m), 6) + 0.0 AS anomaly, count(*) AS n FROM daily JOIN p ON dayofyear(time) = doy GROUP BY time", "daily")
 def doy_lookup(t: Tables) -> DataFrame:
     """J4."""
     params = t.daily.groupBy(F.dayofyear("time").alias("dayofyear")).agg(F.avg("value").alias("m"))
-    return joins.lookup_by_day_of_year(t.daily, params).groupBy("time").agg(F.round(F.sum(F.col("value") - F.col("m")), 2).alias("anomaly"), F.count(F.lit(1)).alias("n"))
+    return joins.lookup_by_day_of_year(t.daily, params).groupBy("time").agg((F.round(F.sum(F.col("value") - F.col("m")), 6) + 0.0).alias("anomaly"), F.count(F.lit(1)).alias("n"))
 
 
 @query("nearest_lookup", "SELECT s_suppkey, (SELECT min_by(p_retailprice, abs(p_retailprice - s_acctbal / 10 - 900) * 1e9 + p_retailprice) FROM part WHERE p_size % 5 = s_nationkey % 5) AS nearest FROM supplier")
