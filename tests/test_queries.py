@@ -45,3 +45,8 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
+
+
+def test_pchip_hourly_covers_the_whole_table(spark, duck):
+    got = driver.queries()["pchip_hourly"](spark, SF).agg({"time": "max"}).first()[0]
+    assert str(got)[:7] == duck.execute("SELECT strftime(max(o_orderdate), '%Y-%m') FROM orders").fetchone()[0]
