@@ -23,7 +23,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        near = F.broadcast if state[0] <= BROADCAST_IDS else lambda df: df
+        # past the bound the small side is stored, so that both sides are plain shuffles, whose hot keys are split
+        near = F.broadcast if state[0] <= BROADCAST_IDS else cut
         # every node's least neighbour, itself included
         least = e.select(F.col("v").alias("x"), F.col("v").alias("m")).union(e.select("u", "v")).groupBy("x").agg(F.min("m").alias("m"))
         large = e.join(near(least), F.col("v") == F.col("x")).select("u", F.col("m").alias("v"))

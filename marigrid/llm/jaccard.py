@@ -1,13 +1,18 @@
 """Operator 9: exact Jaccard join of word shingles as a join in a metric space.
 
-The symmetric difference of sets is a metric that adds up over the cells of a partition of the shingles, so the
-distances of a set to the cells are its parts in them. Two sets within the threshold differ in at most D shingles;
-with D + 1 + g cells, g + 1 cells at least hold the same of both. Each set enters the regions of all its cells but
-the g least ones, by (rare shingles, size, cell): the greatest of the cells that agree is never among those, on either
-side. Which shingles count as rare changes how many documents meet by chance, never the result.
-Documents that meet in a cell share a region; regions that touch form a cluster. A cluster is joined by document pivots: Voronoi regions of the nearest pivot, with
-the documents in the triangle inequality's window replicated, recursively, down to small regions that are compared
-exactly. What a pivot's ball holds is one component, so only pairs of different components are still looked at.
+Texts of unrelated documents are all at distance 1 from any pivot, so that windows around document pivots alone
+would hold everything. A prefilter in another metric goes first: the symmetric difference adds up over the cells of a
+partition of the shingles. Two sets within the threshold differ in at most D shingles; with D + 1 + g cells, g + 1 cells
+at least hold the same of both. Each set enters the regions of all its cells but the g least ones, by (rare shingles,
+size, cell): the greatest of the cells that agree is never among those, on either side. Which shingles count as rare
+changes how many documents meet by chance, never the result. Documents that meet in a cell touch; those that touches
+connect form a cluster.
+
+A cluster of two is compared. Larger ones are joined by document pivots: each set goes to the Voronoi region of its
+nearest pivot and, by the triangle inequality, to every region whose pivot is at most twice the threshold further away;
+regions are joined the same way with pivots of their own, down to pairs. Clusters and regions too large for a task do so
+as Spark jobs, a level at a time. What a pivot's ball holds is one component, so only pairs of different components are
+still looked at.
 """
 
 from __future__ import annotations
@@ -20,15 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marigrid.llm.common import BROADCAST_IDS, cut, narrowed, small_batches
+from marigrid.llm.common import BROADCAST_IDS, cut, narrowed
 from marigrid.llm.graph import components
 from marigrid.llm.text import mix, shingles, word_batches
 
 K, PERCENT = 3, 90
 #: Documents and shingles of a cluster that one task joins; larger ones are split.
 GROUP_DOCS, GROUP_ITEMS = 3000, 2_000_000
+#: Pivots of a region; levels of regions between tasks before what is left goes in pairs of blocks; node hashes a task remembers.
+PIVOTS, LEVELS, SEEN = 8, 6, 1 << 20
 #: Sets from which on a shingle is a column of the matrix.
 DENSE = 16
+#: Bytes of pivots that are broadcast, at most.
+PIVOT_BYTES = 64 << 20
 #: Common shingles that tasks are sent, at most, and shingles among which a task counts them.
 COMMON, CHUNK = 200_000, 4_000_000
 #: Size classes grow by half.
@@ -123,6 +132,8 @@ class Group:
         self.percent, self.within = percent, 1 - percent / 100 + 1e-9
         self.root = np.arange(len(sets))
         self.forest: list[tuple[int, int]] = []
+        #: Regions of each level of pivots.
+        self.regions: dict[int, int] = {}
 
     def link(self, i: int, js: np.ndarray) -> None:
         for j in js:
@@ -143,20 +154,22 @@ class Group:
         self.link(i, others[(100 * common >= self.percent * union) & (others != i)])
         return 1 - common / union
 
-    def join(self, some: np.ndarray, least: int = 64, pivots: int = 6) -> None:
-        """Regions of the nearest pivot, with the window around them, recursively; small or dense ones are compared."""
+    def join(self, some: np.ndarray, least: int = 2, pivots: int = 6, level: int = 0) -> None:
+        """Regions of the nearest pivot, with the window around them, recursively, down to pairs; dense ones are compared at once."""
         if len(np.unique(self.root[some])) < 2:
             return
         if len(some) > least:
-            at = some[np.linspace(0, len(some) - 1, pivots).astype(int)]
+            at = some[np.unique(np.linspace(0, len(some) - 1, min(pivots, len(some) // 2 + 1)).astype(int))]
             d = np.stack([self.distances(int(p), some) for p in at])
             home = d.min(0)
             regions = [some[r <= home + 2 * self.within] for r in d]
+            self.regions[level] = self.regions.get(level, 0) + len(regions)
             if max(map(len, regions)) < len(some) and sum(len(r) ** 2 for r in regions) < 0.8 * len(some) ** 2:
                 for region in regions:
-                    self.join(region, least, pivots)
+                    self.join(region, least, pivots, level + 1)
                 return
-        self.compare(some)
+        if len(np.unique(self.root[some])) > 1:
+            self.compare(some)
 
     def compare(self, some: np.ndarray) -> None:
         """All pairs at once: the intersections' sizes are a product of the membership matrix with itself.
@@ -196,47 +209,67 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def _roots(docs: DataFrame, digest: DataFrame, hashes: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(node, root) of set hashes with a link: the least hash of their component."""
+def _node_sets(k: int):
+    """(node, items) of documents: the set's hash and its shingle hashes."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(set_hash(s), s.tobytes()) for _, s in doc_sets(batch.column(1), k) if len(s)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["node", "items"])
+
+    return sets
+
+
+def _touching(docs: DataFrame, hashes: np.ndarray, k: int, percent: int) -> DataFrame:
+    """(a, b): each member b of a cell's region with the region's least member a; as many rows as members."""
     sent = docs.sparkSession.sparkContext.broadcast(hashes)  # COMMON longs at most
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = Common(sent.value)
+        common, seen = Common(sent.value), set()
         for batch in batches:
             key, own = [], []
             for _, s in doc_sets(batch.column(1), k):
-                if len(s):
+                if len(s) and (node := set_hash(s)) not in seen:  # copies are one node
+                    seen = seen if len(seen) < SEEN else set()
+                    seen.add(node)
                     node, found = cell_keys(s, percent, common)
                     key.append(found)
                     own.append(np.full(len(found), node, np.int64))
             if key:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(own))], names=["key", "node"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(set_hash(s), s.tobytes()) for _, s in doc_sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["node", "items"])
-
     regions = docs.mapInArrow(keys, "key long, node long")
-    # each member of a region with the region's first: as many rows as members, from one sort
-    first = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    stars = cut(regions.select(first.alias("a"), F.col("node").alias("b")).filter("a <> b").distinct())
-    clusters = cut(components(stars))
+    # combined before the shuffle, and most keys have one node: what is left is joined back, where hot keys can be split
+    shared = cut(regions.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("key", "a"))
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared
+    return cut(regions.join(shared, "key").select("a", F.col("node").alias("b")).filter("a <> b").distinct())
+
+
+def _roots(docs: DataFrame, digest: DataFrame, hashes: np.ndarray, k: int, percent: int) -> DataFrame:
+    """(node, root) of set hashes with a link: the least hash of their component."""
+    clusters = cut(components(_touching(docs, hashes, k, percent)))
     nodes = digest.join(clusters, digest.node == clusters.node, "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     nodes = cut(nodes.join(clusters, "node"))
-    own = nodes.select("node", "root")
-    chosen = narrowed(docs, nodes.select("doc_id").distinct(), "doc_id").mapInArrow(sets, "node long, items binary").join(F.broadcast(own) if own.count() <= BROADCAST_IDS else own, "node")
+    few = nodes.count() <= BROADCAST_IDS
+    near = F.broadcast if few else lambda df: df
+    named = narrowed(docs, nodes.select("doc_id").dropna().distinct(), "doc_id").mapInArrow(_node_sets(k), "node long, items binary")
+    # a set that only rows without an id have
+    nameless = docs.filter("doc_id is null").mapInArrow(_node_sets(k), "node long, items binary").join(near(nodes.filter("doc_id is null").select("node")), "node", "left_semi").dropDuplicates(["node"])
+    chosen = named.unionByName(nameless).join(near(nodes.select("node", "root")), "node")
     sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("items"))
-    large = sizes.filter((F.col("docs") > GROUP_DOCS) | (F.col("items") > GROUP_ITEMS))
-    parts = F.ceil(F.greatest(F.col("docs") / (GROUP_DOCS // 2), F.col("items") / (GROUP_ITEMS // 2))).cast("int")
-    small = chosen.join(large, "root", "left_anti").withColumn("part", F.lit("")).select("root", "part", "node", "items")
-    found = small.groupBy("root", "part").applyInArrow(_grouped(percent, True), "node long, root long")
-    blocks = cut(large.select("root", parts.alias("parts")))
-    if blocks.limit(1).count():
-        found = found.unionByName(components(_large(chosen.join(blocks, "root"), percent)))
+    large = cut(sizes.filter(_too_large()).select("root"))
+    small = chosen.join(large, "root", "left_anti").select("root", "node", "items")
+    found = small.groupBy("root").applyInArrow(_grouped(percent, True), "node long, root long")
+    if large.limit(1).count():
+        found = found.unionByName(components(_large(chosen.join(large, "root", "left_semi").select(F.col("root").cast("string").alias("region"), "node", "items"), percent)))
     return found
 
 
+def _too_large():
+    return (F.col("docs") > GROUP_DOCS) | (F.col("items") > GROUP_ITEMS)
+
+
 def _grouped(percent: int, whole: bool):
     """Links (a, b) of a part of a cluster; of a ``whole`` one, (node, root) of the linked."""
 
@@ -256,34 +289,58 @@ def _grouped(percent: int, whole: bool):
 
 
 def _large(rows: DataFrame, percent: int) -> DataFrame:
-    """Links of clusters too large for a task.
+    """Links (a, b) of regions too large for a task, a level of pivots at a time.
 
-    The cluster's first set is the pivot. Rings as wide as the threshold around it only join with themselves and
-    the next; ring 0 is linked to the pivot already. Rings that are still large are joined in pairs of blocks.
+    Each region's pivots are the sets of least hash; a set goes to its nearest pivot's region and to those within the
+    triangle inequality's window, and is linked to the pivots in whose ball it is. Regions that fit a task are joined
+    there; those that one ball holds whole are done. Regions that no longer shrink (sets all alike) and those left
+    after ``LEVELS`` levels are joined in pairs of blocks, which is as exact.
     """
-    width = 1 - percent / 100
-
-    @F.pandas_udf("double")
-    def distance(own, pivot):
-        import pandas as pd
-
-        out = []
-        for a, b in zip(own, pivot, strict=True):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(1 - common / max(1, len(x) + len(y) - common))
-        return pd.Series(out)
-
-    pivots = rows.groupBy("root").agg(F.min_by("items", "node").alias("pivot"), F.min("node").alias("at"))
-    far = cut(rows.join(pivots, "root").withColumn("d", distance("items", "pivot")).select("root", "parts", "node", "items", "at", "d"))
-    near = far.filter((F.col("d") <= width + 1e-9) & (F.col("node") != F.col("at"))).select(F.col("at").alias("a"), F.col("node").alias("b"), "items")
-    direct = near.select("a", "b")
-    ring = F.floor(F.col("d") / width + 1e-9).cast("int")
-    homes = far.select("root", "parts", "node", "items", F.explode(F.array(ring, ring - 1)).alias("ring")).filter("ring >= 0")
-    block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.concat_ws("-", F.col("ring"), F.least(block, j), F.greatest(block, j)))
-    split = homes.select("root", F.explode(every).alias("part"), "node", "items")
-    return direct.unionByName(split.groupBy("root", "part").applyInArrow(_grouped(percent, False), "a long, b long"))
+    within = 1 - percent / 100 + 1e-9
+    links, level = [], 0
+    while True:
+        rows = cut(rows.dropDuplicates(["region", "node"]))
+        order = F.xxhash64("node", F.lit(level))
+        least = rows.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "node")).alias("p"))
+        chosen = cut(least.select("region", F.col("p.node").alias("node")))
+        pivots = rows.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, ["region", "node"]).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("node", "items"))).alias("pivots"))  # PIVOTS sets
+
+        def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for region, node, items, near in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    own = np.frombuffer(items, np.uint64)
+                    d = []
+                    for p in near:
+                        other = np.frombuffer(p["items"], np.uint64)
+                        common = len(np.intersect1d(own, other, assume_unique=True))
+                        d.append(1 - common / max(1, len(own) + len(other) - common))
+                    out += [(f"{region}/{j}", node, items, near[j]["node"], x <= within) for j, x in enumerate(d) if x <= min(d) + 2 * within]
+                cols = list(zip(*out, strict=True)) if out else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()), strict=True)], names=["region", "node", "items", "pivot", "ball"])
+
+        few = pivots.agg(F.coalesce(F.sum(F.expr("aggregate(pivots, 0L, (a, p) -> a + length(p.items))")), F.lit(0))).first()[0] <= PIVOT_BYTES
+        placed = cut(rows.join(F.broadcast(pivots) if few else pivots, "region").select("region", "node", "items", "pivots").mapInArrow(seen, "region string, node long, items binary, pivot long, ball boolean"))
+        links.append(placed.filter("ball and node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        sizes = placed.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("items") / 8).alias("items"), F.min("ball").alias("whole"))
+        before = rows.groupBy("region").agg(F.count(F.lit(1)).alias("before"))
+        parts = F.ceil(F.greatest(F.col("docs") / (GROUP_DOCS // 2), F.col("items") / (GROUP_ITEMS // 2))).cast("int")
+        sizes = sizes.withColumn("parent", F.regexp_replace("region", "/[0-9]+$", "")).join(before.withColumnRenamed("region", "parent"), "parent")
+        todo = cut(sizes.filter(~F.col("whole") & (F.col("docs") > 1)).select("region", (F.col("docs") > 0.8 * F.col("before")).alias("stuck"), _too_large().alias("large"), parts.alias("parts")))
+        of = lambda condition, placed=placed, todo=todo: placed.select("region", "node", "items").join(F.broadcast(todo.filter(condition)) if todo.count() <= BROADCAST_IDS else todo.filter(condition), "region")
+        links.append(of("not large").select("region", "node", "items").groupBy("region").applyInArrow(_grouped(percent, False), "a long, b long"))
+        level += 1
+        rest = "large and stuck" if level < LEVELS else "large"
+        block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.concat_ws("-", "region", F.least(block, j), F.greatest(block, j)))
+        links.append(of(rest).select(F.explode(pair).alias("region"), "node", "items").groupBy("region").applyInArrow(_grouped(percent, False), "a long, b long"))
+        if level == LEVELS or not todo.filter("large and not stuck").limit(1).count():
+            break
+        rows = of("large and not stuck").select("region", "node", "items")
+    found = links[0]
+    for more in links[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -292,11 +349,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are lower-cased in A-Z and split at ASCII white space; a set holds the distinct runs of ``k`` words, or
     the whole sequence if it is shorter. Texts link when 100 * intersection >= ``percent`` * union. The component's
     id is the least doc_id that links reach. Null and empty texts have 0 shingles and are their own component.
-    Rows with a null id take part in links; they get the component's id. Repeated rows each give a row.
-    Shingles and sets are compared by 64-bit hashes.
+    Rows with a null id take part in links; they get the component's id (null if all of it have none). Repeated rows
+    each give a row. Very long texts are read whole. Shingles and sets are compared by 64-bit hashes.
     """
-    small_batches(docs.sparkSession)
-    docs = _named(docs, id_col, text_col)
+    return _classes(_named(docs, id_col, text_col), k, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, n, node, component_id) of every row; ``node`` is the hash of its set."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, items = set(), [], 0
@@ -328,20 +388,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = both.filter("common").groupBy("node").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "node").limit(COMMON)
     hashes = np.array([r[0] for r in often.select("node").collect()], np.int64).view(np.uint64)
     full = digest.filter("n > 0")
-    roots = _roots(docs, full.filter("doc_id is not null"), hashes, k, percent)
-    rooted = cut(full.join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root")))
-    first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(digest.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    roots = cut(_roots(docs, full, hashes, k, percent))
+    # by node, so that copies are combined before anything is shuffled; only what differs from the row's own id is joined back
+    nodes = full.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    rooted = nodes.join(roots, "node", "left").select("node", "least", "rows", "root")
+    first = rooted.filter("root is not null").groupBy("root").agg(F.min("least").alias("first"))
+    changed = rooted.filter("root is not null or rows > 1").join(first, "root", "left").select("node", F.coalesce("first", "least").alias("component_id"))
+    changed = cut(changed)
+    changed = F.broadcast(changed) if changed.count() <= BROADCAST_IDS else changed
+    return digest.join(changed, "node", "left").select("doc_id", "n", "node", F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def kept(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near duplicates: the one with the least doc_id; columns stay.
+    """One row of each group of near duplicates: the one with the least doc_id; columns stay, whatever their names.
 
-    Texts without words stay, as do rows without an id. Of repeated rows one stays.
+    Rows without words and rows without an id stay. If an id is there more than once, each of its texts is decided on by
+    itself, and of rows with equal id and text one stays. Null, empty and very long texts are as in ``near_duplicates``.
     """
-    found = near_duplicates(docs, k=k, percent=percent)
-    ids = found.filter("doc_id = component_id").select("doc_id")
-    if ids.count() != ids.distinct().count():
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    found = cut(_classes(_named(docs, "doc_id", "text"), k, percent).filter("doc_id is not null"))
+    many, different = found.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    gone = found.filter("doc_id <> component_id")
+    if many == different:
+        ids = gone.select("doc_id")
+        return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs.doc_id == ids.doc_id, "left_anti")
+
+    @F.pandas_udf("long")
+    def node_of(texts):
+        import pandas as pd
+
+        return pd.Series([set_hash(s) for _, s in doc_sets(pa.array(texts, pa.string()), k)])
+
+    name = "".join(["_", *docs.columns])
+    once = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).withColumn(name, node_of("text"))
+    gone = gone.select("doc_id", "node").distinct()
+    return once.join(gone, (once.doc_id == gone.doc_id) & (once[name] == gone.node), "left_anti").drop(name).unionByName(docs.filter("doc_id is null"))

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from marigrid.llm import jaccard
 
@@ -68,7 +69,7 @@ def test_equals_brute_force(docs, prose, odd, k, percent):
 
 
 def test_split_clusters_lose_no_link(docs, prose, monkeypatch):
-    """Clusters over a task's bound go through rings and blocks."""
+    """Clusters over a task's bound go through pivots, and blocks where sets are all alike."""
     monkeypatch.setattr(jaccard, "GROUP_DOCS", 12)
     rng, base, rows = random.Random(1), prose(120, 5).split(), []
     for i in range(150):
@@ -80,6 +81,57 @@ def test_split_clusters_lose_no_link(docs, prose, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, 90)
 
 
+def test_large_clusters_shrink_by_pivots(docs, prose, monkeypatch):
+    """Chains of edits far from each other's ends: regions of pivots shrink, level by level, and no link is lost."""
+    monkeypatch.setattr(jaccard, "GROUP_DOCS", 10)
+    monkeypatch.setattr(jaccard, "PIVOTS", 5)
+    rng, rows = random.Random(6), []
+    for f in range(2):
+        text = prose(200, 40 + f).split()
+        for i in range(90):
+            rows.append((1000 * f + i, " ".join(text)))
+            for _ in range(1 + i % 3):
+                text[rng.randrange(200)] = f"y{f}-{i}-{rng.random()}"
+    got = jaccard.near_duplicates(docs(rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 3, 90)
+
+
+def test_pivots_are_used(prose):
+    rng, base, sets = random.Random(2), prose(300, 9).split(), []
+    for _ in range(30):
+        sets.append(np.unique(np.array([hash(tuple(base[j : j + 3])) for j in range(298)], np.int64).view(np.uint64)))
+        for _ in range(3):
+            base[rng.randrange(300)] = f"z{rng.random()}"
+    g = jaccard.Group(sets, 90)
+    g.join(np.arange(30))
+    assert g.regions[0] > 1 and max(g.regions) >= 1
+    jac = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b))
+    whole = jaccard.Group(sets, 90)
+    for i in range(30):
+        whole.link(i, np.array([j for j in range(30) if j != i and jac(sets[i], sets[j])], int))
+    assert (g.root == whole.root).all()
+
+
+@pytest.mark.parametrize("middle", [None, 2])
+def test_links_through_rows_without_an_id(docs, prose, middle):
+    text = prose(120, 3).split()
+    nearer, far = list(text), list(text)
+    nearer[50] = far[50] = "one"
+    far[90] = "two"
+    rows = [(1, " ".join(text)), (middle, " ".join(nearer)), (3, " ".join(far))]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs(rows)).collect()}
+    assert got == {1: 1, middle: 1, 3: 1}
+    assert brute(rows, 3, 90) != brute([rows[0], rows[2]], 3, 90)
+    assert {r.doc_id for r in jaccard.kept(docs(rows), k=3, percent=90).collect()} == {1} | ({None} if middle is None else set())
+
+
+def test_kept_decides_on_each_text_of_an_id(docs, prose):
+    a, b, c = prose(80, 1), prose(80, 2), prose(80, 3)
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, b), (None, a), (None, a)]
+    got = sorted(((r.doc_id or 0), r.text) for r in jaccard.kept(docs(rows)).collect())
+    assert got == sorted([(1, a), (2, b), (3, c), (0, a), (0, a)])
+
+
 def test_kept(docs, prose, odd):
     rows = corpus(prose) + [(5000 + i if i is not None else None, t) for i, t in odd]
     table = docs(rows)
