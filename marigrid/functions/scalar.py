@@ -100,14 +100,15 @@ def pareto_acf(lag: Column, scale: Column, shape: Column) -> Column:
     return F.pow(1 + shape * lag / scale, -1 / shape)
 
 
-def burr_acf(lag: Column, scale: Column, shape1: Column, shape2: Column) -> Column:
-    """Burr XII."""
-    return F.pow(1 + shape2 * F.pow(lag / scale, shape1), -(1 / (shape1 * shape2)))
+def burr_acf(lag: Column, scale: Column, shape1: Column, shape2: Column, plain: bool = False) -> Column:
+    """Burr XII. The stored exponent is -shape2 / shape1; the ``plain`` one is -1 / (shape1 * shape2)."""
+    return F.pow(1 + shape2 * F.pow(lag / scale, shape1), -1 / (shape1 * shape2) if plain else -shape2 / shape1)
 
 
-def fgn_acf(lag: Column, hurst: Column) -> Column:
-    """Fractional Gaussian noise."""
-    return 0.5 * (F.pow(F.abs(lag - 1), 2 * hurst) - 2 * F.pow(F.abs(lag), 2 * hurst) + F.pow(F.abs(lag + 1), 2 * hurst))
+def fgn_acf(lag: Column, hurst: Column, plain: bool = False) -> Column:
+    """Fractional Gaussian noise. The stored rule halves the last of the three terms, the ``plain`` one their sum."""
+    before, at, after = F.pow(F.abs(lag - 1), 2 * hurst), F.pow(F.abs(lag), 2 * hurst), F.pow(F.abs(lag + 1), 2 * hurst)
+    return 0.5 * (before - 2 * at + after) if plain else before - 2 * at + after / 2
 
 
 def transformation_curve(rho: Column, b: Column, c: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from marigrid.params import Disaggregation
 
 #: Gaussian correlations at which targets are computed.
 RHO_Z = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
+#: Candidate days that are held at once, nearest ones whose means are then taken exactly; size and reach of tabulated quantiles.
+CHUNK, NEAR, TABLE, _REACH = 4096, 16, 1 << 16, 8.0
 _NODES, _WEIGHTS = np.polynomial.hermite.hermgauss(40)
 
 
@@ -70,9 +73,13 @@ def curve(rho: np.ndarray, b: float, c: float) -> np.ndarray:
 
 
 def fit_curve(rho_x: np.ndarray, rho_z: np.ndarray) -> tuple[float, float]:
-    """(b, c) by damped Gauss-Newton steps within bounds, to four places."""
-    ok = np.isfinite(rho_x)
-    x, z, p = rho_x[ok], rho_z[ok], np.array([0.5, 0.9])
+    """(b, c) by damped Gauss-Newton steps within bounds, to four places.
+
+    There is no curve (NaN) if a point is negative, NaN or infinite.
+    """
+    if not (np.isfinite(rho_x).all() and (rho_x >= 0).all()):
+        return math.nan, math.nan
+    x, z, p = rho_x, rho_z, np.array([0.5, 0.9])
     for _ in range(50):
         f = curve(x, *p)
         step = 1e-6 * np.maximum(np.abs(p), 1e-3)
@@ -87,7 +94,7 @@ def fit_curve(rho_x: np.ndarray, rho_z: np.ndarray) -> tuple[float, float]:
 
 
 def correlation_curves(params: DataFrame, family: str) -> DataFrame:
-    """(params, points array, b, c), once for each distinct tuple; scales are at least 1e-4."""
+    """(params, points array, b, c), once for each distinct tuple; scales are at least 1e-4. Tuples without a curve have null b and c."""
     names = dist.PARAMETERS[family]
     tuples = params.select(*(key4(F.greatest(F.col(n), F.lit(1e-4)) if n == "scale" else F.col(n)).cast("double").alias(n) for n in names)).dropna().distinct()
 
@@ -150,28 +157,52 @@ def best_block(rng: np.random.Generator, mean: float, blocks: int, family: str,
 
     The state holds uniforms, which also start the next day's Gaussian series, as the stored rule has it. After
     a missing day (``state`` None) an AR(1) series starts it; the first day (empty state) is white noise.
+    Candidates are drawn ``CHUNK`` at a time beside the nearest so far by tabulated quantiles; of the ``NEAR`` nearest,
+    exact quantiles decide.
     """
     a, noise = autoregression(rho, None if state is None else len(state), from_zero)
     p, n = len(a), spec.hours
-    z = np.empty((blocks, p + n))
+    start = np.zeros(p)
     if p and state is None:
         first = rho[1] if len(rho) > 1 else 0.0
-        start = np.zeros(p)
         for i in range(p):
             start[i] = (start[i - 1] * first if i else 0.0) + rng.normal(0, math.sqrt(max(1 - first**2, 0)))
-        z[:, :p] = start
     elif p:
-        z[:, :p] = state[-p:]
-    e = rng.normal(0, noise, (blocks, n))
-    back = a[::-1]
+        start = state[-p:]
+    # what the start and each hour's noise add to every hour: the recursion as one product
+    steady, answer = np.concatenate([start, np.zeros(n)]), np.concatenate([np.zeros(p), [1.0], np.zeros(n - 1)])
     for i in range(n):
-        z[:, p + i] = z[:, i : p + i] @ back + e[:, i]
-    u = 0.5 * (1 + np.tanh(0.7978845608028654 * z[:, p:]))
+        steady[p + i] = steady[i : p + i] @ a[::-1]
+        if i:
+            answer[p + i] = answer[i : p + i] @ a[::-1]
+    spread = (noise * np.tril(answer[p:][np.maximum(np.subtract.outer(np.arange(n), np.arange(n)), 0)])).astype(np.float32)
+    centre, table = steady[p:, None].astype(np.float32), _quantiles(family, tuple(params))
+    found: list[np.ndarray] = []
+    for done in range(0, blocks, CHUNK):
+        z = spread @ rng.standard_normal((n, min(CHUNK, blocks - done)), dtype=np.float32) + centre
+        place = np.clip((z + _REACH) * (len(table) / (2 * _REACH)), 0, len(table) - 1).astype(np.int32)
+        off = np.abs(table[place].mean(0) - mean)
+        some = np.argpartition(off, min(NEAR, len(off)) - 1)[:NEAR]
+        found = [np.concatenate([*found, np.concatenate([off[some][None], z[:, some]])], axis=1)]
+        found = [found[0][:, np.argsort(found[0][0], kind="stable")[:NEAR]]]
+    u = _uniform(found[0][1:].T.astype(float))
     x = dist.ppf(family, u, *params)
     k = int(np.abs(x.mean(1) - mean).argmin())
     return x[k], np.concatenate([state if state is not None else np.zeros(0), u[k]])[-spec.lags :]
 
 
+def _uniform(z: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(0.7978845608028654 * z))
+
+
+@lru_cache(maxsize=64)
+def _quantiles(family: str, params: tuple[float, ...]) -> np.ndarray:
+    """Quantiles of a distinct tuple at the middles of equal steps of Gaussian values."""
+    at = (np.arange(TABLE) + 0.5) * (2 * _REACH / TABLE) - _REACH
+    coarse = at[:: TABLE // 8192]
+    return np.interp(at, coarse, dist.ppf(family, _uniform(coarse), *params)).astype(np.float32)
+
+
 def disaggregate(days: DataFrame, keys: Sequence[str], family: str, spec: Disaggregation = Disaggregation(), from_zero: bool = False) -> DataFrame:
     """(keys, time, ntr float) hourly, from days with xk, the marginal's parameters, acs_scale, acs_shape, b, c and v.
 
@@ -193,13 +224,15 @@ def disaggregate(days: DataFrame, keys: Sequence[str], family: str, spec: Disagg
                 state = None
                 continue
             rho = curve(np.exp(-((lag / r.acs_scale) ** r.acs_shape)), r.b, r.c)
-            x, state = best_block(rng, r.xk, int(min(max(r.v, 1), spec.most_blocks)), family, params, rho, state, spec, from_zero)
+            x, state = best_block(rng, r.xk, int(max(r.v, 1)), family, params, rho, state, spec, from_zero)
             values.append(x)
         out = pd.DataFrame({"time": np.concatenate(times), "ntr": np.concatenate(values).astype("float32")})
         out[list(keys)] = key
         return out[[*keys, "time", "ntr"]]
 
-    return days.groupBy(*keys).applyInPandas(one, f"{_keys_schema(days, keys)}, time timestamp_ntz, ntr float")
+    # few bytes but much work: as many tasks as the session has for a shuffle, which AQE doesn't merge by size
+    tasks = int(days.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return days.repartition(tasks, *keys).groupBy(*keys).applyInPandas(one, f"{_keys_schema(days, keys)}, time timestamp_ntz, ntr float")
 
 
 def interpolate_series(df: DataFrame, keys: Sequence[str], value: str, step: str, method: str, time: str = "time", tolerance: float = 1e-2) -> DataFrame:

@@ -36,11 +36,11 @@ def interpolate_linear(df: DataFrame, keys: Sequence[str], value: str, step: str
     return full.select(*keys, time, F.when(F.col(value).isNotNull(), F.col(value)).otherwise(line).alias(value))
 
 
-def low_and_high(df: DataFrame, keys: Sequence[str], value: str, rows: int, time: str = "time", by_group: bool = False) -> DataFrame:
-    """``low``, the trailing mean of ``rows`` rows, and ``high``, the rest.
+def low_and_high(df: DataFrame, keys: Sequence[str], value: str, rows: int, time: str = "time", by_group: bool = True) -> DataFrame:
+    """``low``, the trailing mean of ``rows`` rows, and ``high``, the rest; each series starts anew.
 
-    The stored rule rolls over the series laid end to end in order of keys and time; ``by_group`` starts each
-    series anew. Without it the whole input has one order, which a window does in one task: use it on one cell.
+    The stored rule rolls over the series laid end to end in order of keys and time. Without ``by_group`` it does so;
+    the whole input then has one order, which a window does in one task: use it on one cell.
     """
     w = (Window.partitionBy(*keys).orderBy(time) if by_group else Window.orderBy(*keys, time)).rowsBetween(1 - rows, 0)
     low = F.when(F.count(value).over(w) == rows, F.avg(value).over(w))

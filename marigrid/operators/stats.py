@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marigrid.functions.distributions import f_sf
+
 #: Probabilities of the quantile tables.
 QUANTILES = [round(i / 100, 2) for i in range(1, 99)] + [0.999, 0.9999, 0.99999, 1.0]
 
@@ -40,12 +43,21 @@ def f_statistic(r2: Column, n: Column) -> Column:
     return r2 / (1 - r2) * (n - 2)
 
 
+def f_p_value(f: Column, d1: Column, d2: Column) -> Column:
+    """The upper tail of the F distribution; null where the statistic or the degrees are."""
+
+    @F.pandas_udf("double")
+    def tail(f, d1, d2):
+        return pd.Series([None if pd.isna(v) or b <= 0 else f_sf(v, a, b) for v, a, b in zip(f, d1, d2, strict=True)], dtype="float64")
+
+    return tail(f.cast("double"), d1.cast("double"), d2.cast("double"))
+
+
 def ols3(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str) -> DataFrame:
     """Slopes m_x of three standardised regressors, intercept b and r2, by the normal equations.
 
     The moments come from one grouped pass; 3 by 3 systems of correlations are solved in closed form.
     """
-    a, b, c = xs
     rows = df.dropna(subset=[*xs, y]).groupBy(*keys).agg(
         *(F.corr(p, q).alias(f"r_{i}{j}") for i, p in enumerate(xs) for j, q in enumerate(xs) if i < j),
         *(F.corr(p, y).alias(f"r_{i}y") for i, p in enumerate(xs)),
@@ -53,6 +65,12 @@ def ols3(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str) -> DataF
         *(F.min(p).alias(f"min_{p}") for p in xs), *(F.max(p).alias(f"max_{p}") for p in xs),
         F.avg(y).alias("b"), F.stddev_pop(y).alias("__sy"), F.count(F.lit(1)).alias("n"),
     )
+    return solved3(rows, keys, xs)
+
+
+def solved3(rows: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
+    """The regression of ``ols3`` from correlations (r_01, r_02, r_12, r_0y, r_1y, r_2y) and moments."""
+    a, b, c = xs
     r01, r02, r12, y0, y1, y2 = (F.col(n) for n in ("r_01", "r_02", "r_12", "r_0y", "r_1y", "r_2y"))
     det = 1 + 2 * r01 * r02 * r12 - r01 * r01 - r02 * r02 - r12 * r12
     s0 = (y0 * (1 - r12 * r12) + y1 * (r02 * r12 - r01) + y2 * (r01 * r12 - r02)) / det

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marigrid.operators.calendar import centers
+from marigrid.operators.stats import solved3
 from marigrid.params import Window as Recurring
 
 
@@ -96,18 +96,69 @@ def annual_window(df: DataFrame, window: Recurring, time: str = "time", match: s
 
 
 def pooled_moments(df: DataFrame, window: Recurring, keys: Sequence[str], values: Sequence[str], time: str = "time") -> DataFrame:
-    """Count, mean and population deviation of each annual window from daily moments, which cover each row once.
+    """Count, mean and population deviation of each annual window from daily moments, which cover each row once."""
+    rows, about = _window_sums(df, window, keys, values, (), time)
+    stats = []
+    for v in values:
+        s, q = F.col(f"__s_{v}") / F.col("n"), F.col(f"__q_{v}_{v}") / F.col("n")
+        stats += [(s + about[v]).alias(f"{v}_mean"), F.sqrt(F.greatest(q - s * s, F.lit(0.0))).alias(f"{v}_std")]
+    return rows.select(*keys, "center_day", "n", *stats)
+
+
+def window_ols(df: DataFrame, window: Recurring, keys: Sequence[str], x: str, y: str, time: str = "time") -> DataFrame:
+    """R2 in each annual window, from daily moments and cross products: slope m, intercept b, r2, stdev and range of x, n.
 
-    Sums are taken about the values' rough center, so that squares keep their digits.
+    The rows aren't laid out once for each window they are in: only one row a day is. Rows with a null count nowhere.
     """
-    about = {v: F.lit(df.agg(F.avg(v)).first()[0] or 0.0) for v in values}
+    rows, about = _window_sums(df.dropna(subset=[x, y]), window, keys, [x, y], [(x, y)], time, [x])
+    m = _moments(rows, [x, y])
+    slope = m(x, y) / F.nullif(m(x, x), F.lit(0.0))
+    mean = lambda v: F.col(f"__s_{v}") / F.col("n") + about[v]
+    return rows.select(
+        *keys, "center_day", slope.alias("m"), (mean(y) - slope * mean(x)).alias("b"), (m(x, y) * m(x, y) / F.nullif(m(x, x) * m(y, y), F.lit(0.0))).alias("r2"),
+        F.sqrt(F.greatest(m(x, x), F.lit(0.0))).alias("stdev"), F.col(f"__lo_{x}").alias("min_x"), F.col(f"__hi_{x}").alias("max_x"), "n",
+    )
+
+
+def window_ols3(df: DataFrame, window: Recurring, keys: Sequence[str], xs: Sequence[str], y: str, time: str = "time") -> DataFrame:
+    """R1 in each annual window, the source's central fit: three standardised regressors, from daily moments and cross products."""
+    pairs = [(p, q) for i, p in enumerate(xs) for q in xs[i + 1 :]]
+    rows, about = _window_sums(df.dropna(subset=[*xs, y]), window, keys, [*xs, y], [*pairs, *((x, y) for x in xs)], time, xs)
+    m = _moments(rows, [*xs, y])
+    r = lambda p, q: m(p, q) / F.sqrt(F.nullif(m(p, p) * m(q, q), F.lit(0.0)))
+    ready = rows.select(
+        *keys, "center_day", "n", *(r(p, q).alias(f"r_{xs.index(p)}{xs.index(q)}") for p, q in pairs), *(r(x, y).alias(f"r_{i}y") for i, x in enumerate(xs)),
+        *((F.col(f"__s_{x}") / F.col("n") + about[x]).alias(f"z_mean_{x}") for x in xs), *(F.sqrt(F.greatest(m(x, x), F.lit(0.0))).alias(f"z_std_{x}") for x in xs),
+        *(F.col(f"__lo_{x}").alias(f"min_{x}") for x in xs), *(F.col(f"__hi_{x}").alias(f"max_{x}") for x in xs),
+        (F.col(f"__s_{y}") / F.col("n") + about[y]).alias("b"), F.sqrt(F.greatest(m(y, y), F.lit(0.0))).alias("__sy"),
+    )
+    return solved3(ready, [*keys, "center_day"], xs)
+
+
+def _moments(rows: DataFrame, values: Sequence[str]):
+    """The central second moment of two of the values from their sums."""
+
+    def m(p: str, q: str) -> Column:
+        name = f"__q_{p}_{q}" if f"__q_{p}_{q}" in rows.columns else f"__q_{q}_{p}"
+        return F.col(name) / F.col("n") - F.col(f"__s_{p}") * F.col(f"__s_{q}") / (F.col("n") * F.col("n"))
+
+    return m
+
+
+def _window_sums(df: DataFrame, window: Recurring, keys: Sequence[str], values: Sequence[str], pairs: Sequence[tuple[str, str]], time: str, ranges: Sequence[str] = ()) -> tuple[DataFrame, dict[str, Column]]:
+    """(count n, sums __s, products __q, ranges __lo and __hi of each annual window, rough centers of the values).
+
+    Each day's sums are taken once and then added up over the windows that hold the day. They are taken about the values'
+    rough centers (one aggregate for all), so that squares keep their digits.
+    """
+    rough = df.agg(*(F.avg(v).alias(v) for v in values)).first()
+    about = {v: F.lit(float(rough[v] or 0.0)) for v in values}
+    off = {v: F.col(v) - about[v] for v in values}
+    products = [(v, v) for v in values] + list(pairs)
     day = df.groupBy(*keys, F.date_trunc("day", F.col(time)).cast("timestamp_ntz").alias("__t")).agg(
-        F.count(F.lit(1)).alias("__n"), *reduce(list.__add__, [[F.sum(F.col(v) - about[v]).alias(f"__s_{v}"), F.sum((F.col(v) - about[v]) ** 2).alias(f"__q_{v}")] for v in values])
-    )
+        F.count(F.lit(1)).alias("__n"), *(F.sum(off[v]).alias(f"__s_{v}") for v in values), *(F.sum(off[p] * off[q]).alias(f"__q_{p}_{q}") for p, q in products),
+        *(F.min(v).alias(f"__lo_{v}") for v in ranges), *(F.max(v).alias(f"__hi_{v}") for v in ranges),
+    )
+    sums = [*(f"__s_{v}" for v in values), *(f"__q_{p}_{q}" for p, q in products)]
     grouped = annual_window(day, window, "__t").groupBy(*keys, "center_day")
-    n = F.sum("__n")
-    stats = [n.alias("n")]
-    for v in values:
-        s, q = F.sum(f"__s_{v}"), F.sum(f"__q_{v}")
-        stats += [(s / n + about[v]).alias(f"{v}_mean"), F.sqrt(F.greatest(q / n - (s / n) ** 2, F.lit(0.0))).alias(f"{v}_std")]
-    return grouped.agg(*stats)
+    return grouped.agg(F.sum("__n").alias("n"), *(F.sum(c).alias(c) for c in sums), *(F.min(f"__lo_{v}").alias(f"__lo_{v}") for v in ranges), *(F.max(f"__hi_{v}").alias(f"__hi_{v}") for v in ranges)), about

@@ -30,12 +30,9 @@ class Window:
 class Compat:
     """Which reading of an ambiguous step to take; the default is the documented behaviour of the data's producers."""
 
-    rolling_by_group: bool = False
     tauu_corrected: bool = False
     tauv_own_slope: bool = False
     extrapolated_either_side: bool = False
-    acf_from_lag_zero: bool = False
-    gaps_count_as_lags: bool = False
 
 
 @dataclass(frozen=True)
@@ -45,5 +42,4 @@ class Disaggregation:
     confidence: float = 0.95
     clip: float = 0.99
     hours: int = 24
-    most_blocks: int = 20_000
     seed: int = 7

@@ -20,20 +20,36 @@ def residual(levels: DataFrame, tides: DataFrame, mean_level: DataFrame, keys: S
     return left_chain([levels, tides, mean_level], keys).withColumn("ntr", F.col("twl") - F.col("tides") - F.col("msl")).dropna(subset=["ntr"])
 
 
-def day_of_year_stats(df: DataFrame, keys: Sequence[str], values: Sequence[str], half: int = 15, time: str = "time") -> DataFrame:
-    """Mean and population deviation by day of year over all rows within ``half`` rows, pooled over the years.
+def day_of_year_stats(df: DataFrame, keys: Sequence[str], values: Sequence[str], half: int = 15, time: str = "time", neighbours: int = 0, cell: Sequence[str] = ("x", "y")) -> DataFrame:
+    """Count, mean and population deviation by day of year over all rows within ``half`` rows, pooled over the years.
 
-    Row sums and squares roll along each series; sums by day then divide, so no window is ever laid out.
+    Row sums and squares roll along each series, about the values' rough centers (one aggregate for all); sums by day then
+    divide, so no window is ever laid out. With ``neighbours``, a cell's window also holds the cells up to so many steps
+    of the grid away in either direction (W2): sums by cell and day are added up, not rows. Cells outside the grid
+    count as missing.
     """
+    rough = df.agg(*(F.avg(v).alias(v) for v in values)).first()
+    about = {v: F.lit(float(rough[v] or 0.0)) for v in values}
     w = Window.partitionBy(*keys).orderBy(time).rowsBetween(-half, half)
     rows = df.withColumn("dayofyear", F.dayofyear(time))
     for v in values:
-        rows = rows.withColumns({f"__n_{v}": F.count(v).over(w), f"__s_{v}": F.sum(v).over(w), f"__q_{v}": F.sum(F.col(v) * F.col(v)).over(w)})
+        off = F.col(v) - about[v]
+        rows = rows.withColumns({f"__n_{v}": F.count(v).over(w), f"__s_{v}": F.sum(off).over(w), f"__q_{v}": F.sum(off * off).over(w)})
+    names = [f"__{k}_{v}" for v in values for k in "nsq"]
+    sums = rows.groupBy(*keys, "dayofyear").agg(*(F.sum(c).alias(c) for c in names))
+    if neighbours:
+        steps = df.sparkSession.range(-neighbours, neighbours + 1).withColumnRenamed("id", "__step")
+        for axis in cell:
+            # the grid's axes are small: positions of their distinct values
+            axes = df.select(axis).distinct().withColumn("__at", F.row_number().over(Window.orderBy(axis)))
+            near = axes.crossJoin(steps).select(F.col(axis).alias("__from"), (F.col("__at") + F.col("__step")).alias("__at")).join(axes.withColumnRenamed(axis, "__to"), "__at").select("__from", "__to")
+            others = [k for k in keys if k != axis]
+            sums = sums.join(F.broadcast(near), F.col(axis) == F.col("__from")).groupBy(*others, F.col("__to").alias(axis), "dayofyear").agg(*(F.sum(c).alias(c) for c in names))
     stats: list[Column] = []
     for v in values:
-        n, s, q = F.sum(f"__n_{v}"), F.sum(f"__s_{v}"), F.sum(f"__q_{v}")
-        stats += [(s / n).alias(f"{v}_mean"), F.sqrt(F.greatest(q / n - (s / n) ** 2, F.lit(0.0))).alias(f"{v}_std")]
-    return rows.groupBy(*keys, "dayofyear").agg(*stats)
+        n, s, q = (F.col(f"__{k}_{v}") for k in "nsq")
+        stats += [n.alias(f"{v}_n"), (s / n + about[v]).alias(f"{v}_mean"), F.sqrt(F.greatest(q / n - (s / n) ** 2, F.lit(0.0))).alias(f"{v}_std")]
+    return sums.select(*keys, "dayofyear", *stats)
 
 
 def bias_corrected(df: DataFrame, hist: DataFrame, obs: DataFrame, keys: Sequence[str], values: Sequence[str], time: str = "time") -> DataFrame:

@@ -53,19 +53,24 @@ def disaggregate(stream: DataFrame, key: str, family: str, spec: Disaggregation
     """Days of one series after another to hours; state is the last ``spec.lags`` values.
 
     Days of a batch are taken in order; draws are seeded by series and day, so a replayed batch gives the same
-    hours.
+    hours. Days without parameters are null and start the state anew.
     """
     names, lag = dist.PARAMETERS[family], np.arange(1, spec.lags + 1)
 
     def work(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        z = np.array(state.get[0]) if state.exists else np.zeros(0)
+        kept = state.get[0] if state.exists else []
+        z = None if kept is None else np.array(kept)
         rows = pd.concat(list(batches)).sort_values("time")
         for r in rows.itertuples(index=False):
             rng = np.random.default_rng([spec.seed, *f"{k[0]}|{r.time}".encode()])
+            if not np.isfinite([float("nan") if v is None else v for v in (r.xk, r.b, r.c, r.v, r.acs_scale, r.acs_shape, *(getattr(r, n) for n in names))]).all():
+                z = None
+                yield pd.DataFrame({key: k[0], "time": pd.date_range(r.time, periods=spec.hours, freq="h"), "ntr": np.full(spec.hours, np.nan, "float32")})
+                continue
             rho = curve(np.exp(-((lag / r.acs_scale) ** r.acs_shape)), r.b, r.c)
-            x, z = best_block(rng, r.xk, int(min(max(r.v, 1), spec.most_blocks)), family, [getattr(r, n) for n in names], rho, z, spec)
+            x, z = best_block(rng, r.xk, int(max(r.v, 1)), family, [getattr(r, n) for n in names], rho, z, spec)
             yield pd.DataFrame({key: k[0], "time": pd.date_range(r.time, periods=spec.hours, freq="h"), "ntr": x.astype("float32")})
-        state.update((z.tolist(),))
+        state.update((None if z is None else z.tolist(),))
 
     kind = dict(stream.dtypes)[key]
     return stream.groupBy(key).applyInPandasWithState(work, f"`{key}` {kind}, time timestamp_ntz, ntr float", "z array<double>", "append", GroupStateTimeout.NoTimeout)

@@ -115,3 +115,18 @@ def test_disaggregation_hits_daily_means_and_is_repeatable(spark):
             assert set(hours) == {-99}
         else:
             assert np.mean(hours) == pytest.approx(x, abs=0.05)
+
+
+def test_curve_needs_whole_points():
+    rho = np.array(disagg.RHO_Z)
+    for bad in (np.nan, np.inf, -0.01):
+        assert np.isnan(disagg.fit_curve(np.where(np.arange(len(rho)) == 3, bad, rho), rho)).all()
+
+
+def test_blocks_in_chunks_are_as_good(monkeypatch):
+    rho = 0.6 ** np.arange(1, 49)
+    x, z = disagg.best_block(np.random.default_rng(1), 0.03, 30_000, "norm", (0.0, 1.0), rho, np.zeros(0), Disaggregation())
+    assert abs(x.mean() - 0.03) < 1e-3 and len(x) == len(z) == 24
+    monkeypatch.setattr(disagg, "CHUNK", 7)
+    y, _ = disagg.best_block(np.random.default_rng(1), 0.03, 2000, "norm", (0.0, 1.0), rho, np.zeros(0), Disaggregation())
+    assert abs(y.mean() - 0.03) < 0.01

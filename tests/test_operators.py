@@ -105,8 +105,8 @@ def test_regridding_keeps_constants(spark):
 
 def test_rolling_across_groups_or_not(spark):
     df = rows(spark, [("a", 1, 1.0), ("a", 2, 3.0), ("b", 1, 5.0), ("b", 2, 7.0)], "k string, time long, v double")
-    stored = resample.low_and_high(df, ["k"], "v", 2).orderBy("k", "time").collect()
-    plain = resample.low_and_high(df, ["k"], "v", 2, by_group=True).orderBy("k", "time").collect()
+    stored = resample.low_and_high(df, ["k"], "v", 2, by_group=False).orderBy("k", "time").collect()
+    plain = resample.low_and_high(df, ["k"], "v", 2).orderBy("k", "time").collect()
     assert [r.low for r in stored] == [None, 2.0, 4.0, 6.0]
     assert [r.low for r in plain] == [None, 2.0, None, 6.0]
 
@@ -192,3 +192,23 @@ def test_lookup_plans(spark):
     big = rows(spark, [(dt(2000, 1, 1), 1)], "time timestamp_ntz, id long")
     plan = windows.annual_window(big, Window(2000, 2000))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_p_value_of_f(spark):
+    from marigrid.operators import stats
+
+    rows = spark.createDataFrame([(4.964602743730712, 1, 10), (4.04265212, 1, 48), (3.0, 1, 0), (None, 1, 5)], "f double, d1 int, d2 int")
+    got = [r.p for r in rows.select(stats.f_p_value(F.col("f"), F.col("d1"), F.col("d2")).alias("p")).collect()]
+    assert got[0] == pytest.approx(0.05, abs=1e-6) and got[1] == pytest.approx(0.05, abs=1e-4) and got[2:] == [None, None]
+
+
+def test_moments_far_from_zero(spark):
+    """Values whose spread is small beside their size keep their deviation."""
+    from marigrid.plans import water
+
+    rows = [(1.0, 1.0, dt(2001, 1, 1) + timedelta(days=d), 1e9 + d % 2) for d in range(730)]
+    df = spark.createDataFrame(rows, "x double, y double, time timestamp_ntz, v double")
+    got = water.day_of_year_stats(df, ["x", "y"], ["v"]).filter("dayofyear = 200").first()
+    assert got.v_std == pytest.approx(0.5, abs=1e-3) and got.v_mean == pytest.approx(1e9 + 0.5, abs=0.1)
+    wide = water.day_of_year_stats(df.unionByName(df.withColumn("x", F.lit(5.0))), ["x", "y"], ["v"], neighbours=1).filter("dayofyear = 200").collect()
+    assert len(wide) == 2 and all(r.v_mean == pytest.approx(got.v_mean) for r in wide)
