@@ -158,7 +158,7 @@ def best_block(rng: np.random.Generator, mean: float, blocks: int, family: str,
     The state holds uniforms, which also start the next day's Gaussian series, as the stored rule has it. After
     a missing day (``state`` None) an AR(1) series starts it; the first day (empty state) is white noise.
     Candidates are drawn ``CHUNK`` at a time beside the nearest so far by tabulated quantiles; of the ``NEAR`` nearest,
-    exact quantiles decide.
+    interpolated quantiles decide.
     """
     a, noise = autoregression(rho, None if state is None else len(state), from_zero)
     p, n = len(a), spec.hours
@@ -176,7 +176,7 @@ def best_block(rng: np.random.Generator, mean: float, blocks: int, family: str,
         if i:
             answer[p + i] = answer[i : p + i] @ a[::-1]
     spread = (noise * np.tril(answer[p:][np.maximum(np.subtract.outer(np.arange(n), np.arange(n)), 0)])).astype(np.float32)
-    centre, table = steady[p:, None].astype(np.float32), _quantiles(family, tuple(params))
+    centre, (at, exact, table) = steady[p:, None].astype(np.float32), _quantiles(family, tuple(params))
     found: list[np.ndarray] = []
     for done in range(0, blocks, CHUNK):
         z = spread @ rng.standard_normal((n, min(CHUNK, blocks - done)), dtype=np.float32) + centre
@@ -185,10 +185,10 @@ def best_block(rng: np.random.Generator, mean: float, blocks: int, family: str,
         some = np.argpartition(off, min(NEAR, len(off)) - 1)[:NEAR]
         found = [np.concatenate([*found, np.concatenate([off[some][None], z[:, some]])], axis=1)]
         found = [found[0][:, np.argsort(found[0][0], kind="stable")[:NEAR]]]
-    u = _uniform(found[0][1:].T.astype(float))
-    x = dist.ppf(family, u, *params)
+    z = found[0][1:].T.astype(float)
+    x = np.interp(z, at, exact)
     k = int(np.abs(x.mean(1) - mean).argmin())
-    return x[k], np.concatenate([state if state is not None else np.zeros(0), u[k]])[-spec.lags :]
+    return x[k], np.concatenate([state if state is not None else np.zeros(0), _uniform(z[k])])[-spec.lags :]
 
 
 def _uniform(z: np.ndarray) -> np.ndarray:
@@ -196,11 +196,15 @@ def _uniform(z: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=64)
-def _quantiles(family: str, params: tuple[float, ...]) -> np.ndarray:
-    """Quantiles of a distinct tuple at the middles of equal steps of Gaussian values."""
-    at = (np.arange(TABLE) + 0.5) * (2 * _REACH / TABLE) - _REACH
-    coarse = at[:: TABLE // 8192]
-    return np.interp(at, coarse, dist.ppf(family, _uniform(coarse), *params)).astype(np.float32)
+def _quantiles(family: str, params: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(Gaussian values, a distinct tuple's quantiles at them, quantiles at the middles of ``TABLE`` equal steps).
+
+    Straight lines between 8192 values are within 1e-6 of the scale, less than the hours' float shows.
+    """
+    at = np.linspace(-_REACH, _REACH, 8192)
+    exact = dist.ppf(family, _uniform(at), *params)
+    fine = (np.arange(TABLE) + 0.5) * (2 * _REACH / TABLE) - _REACH
+    return at, exact, np.interp(fine, at, exact).astype(np.float32)
 
 
 def disaggregate(days: DataFrame, keys: Sequence[str], family: str, spec: Disaggregation = Disaggregation(), from_zero: bool = False) -> DataFrame:
