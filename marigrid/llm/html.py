@@ -291,7 +291,7 @@ def extract(pages: DataFrame, model: gbt.Trees | None = None) -> DataFrame:
     made single blanks. Null, empty and unreadable html gives an empty text; null ids and urls and repeated rows
     stay. Whole pages are read; there is no shuffle.
     """
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
     model = model or train()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
