@@ -51,21 +51,38 @@ def problems(arguments: Column, fields: Column) -> Column:
 
 
 def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
-    """(conv_id, call_id, depth, name, status, problems, json) of every call and of results without one.
+    """(conv_id, call_id, depth, name, status, problems, json, n_calls, n_results) of every call and of results without one.
 
     calls: conv_id, call_id, parent_id, name, arguments (JSON text); results: conv_id, call_id, content;
     tools: name, fields array<struct<name, type, required>>. Calls and results are joined by (conv_id, call_id).
     (depth, call_id) is a topological order within a conversation. ``status`` is "linked", "no result" or
     "no call". ``problems`` joins what the tool's schema finds by ", "; text that is no JSON is "not an object",
-    names without a tool are "unknown tool". ``json`` is canonical: sorted keys, no blanks. Null keys never
-    link. Repeated calls or results of an id are kept as the least of them, with ties broken by content.
+    names without a tool are "unknown tool". ``json`` is canonical: sorted keys, no blanks. Rows with a null key never
+    link: each is a row of its own. Repeated calls or results of an id are shown by the least of them, with ties broken by
+    content, and counted in ``n_calls`` and ``n_results``. Empty and very long texts are kept whole.
     """
-    call = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("parent_id", "name", "arguments")).alias("c")).select("conv_id", "call_id", "c.*")
-    order = depths(call)
-    answer = results.groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.count(F.lit(1)).alias("answers"))
-    parsed = call.join(order, ["conv_id", "call_id"], "left").withColumn("parsed", F.try_parse_json("arguments")).withColumn("called", F.lit(True))
-    linked = parsed.join(answer, ["conv_id", "call_id"], "full").join(tools, "name", "left")
+    keyed = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    columns = ["conv_id", "call_id", "depth", "name", "status", "problems", "json", "n_calls", "n_results"]
+    lone = [_linked(*pair, tools).select(columns) for pair in (
+        (calls.filter(~keyed).select("conv_id", "call_id", F.lit(None).cast("long").alias("depth"), "name", "arguments", F.lit(1).cast("long").alias("n_calls")).withColumns({"content": F.lit(None).cast("string"), "n_results": F.lit(0).cast("long")}),),
+        (results.filter(~keyed).select("conv_id", "call_id", "content").withColumns({"depth": F.lit(None).cast("long"), "name": F.lit(None).cast("string"), "arguments": F.lit(None).cast("string"), "n_calls": F.lit(0).cast("long"), "n_results": F.lit(1).cast("long")}),),
+    )]
+    call = calls.filter(keyed).groupBy("conv_id", "call_id").agg(F.min(F.struct("parent_id", "name", "arguments")).alias("c"), F.count(F.lit(1)).alias("n_calls")).select("conv_id", "call_id", "c.*", "n_calls")
+    answer = results.filter(keyed).groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.count(F.lit(1)).alias("n_results"))
+    both = call.join(depths(call), ["conv_id", "call_id"], "left").join(answer, ["conv_id", "call_id"], "full").fillna(0, ["n_calls", "n_results"])
+    return _linked(both, tools).select(columns).unionByName(lone[0]).unionByName(lone[1])
+
+
+def messages(turns: DataFrame) -> DataFrame:
+    """The rows of ``link`` for turns that neither call nor answer: status "message", the role as ``name``, role and text as ``json``."""
+    text = F.to_json(F.struct(F.col("text").alias("content"), F.col("role")), {"ignoreNullFields": "false"})
+    none = lambda kind: F.lit(None).cast(kind)
+    return turns.select("conv_id", F.concat(F.lit("c"), F.col("turn").cast("string")).alias("call_id"), none("long").alias("depth"), F.col("role").alias("name"), F.lit("message").alias("status"), none("string").alias("problems"), text.alias("json"), F.lit(0).cast("long").alias("n_calls"), F.lit(0).cast("long").alias("n_results"))
+
+
+def _linked(rows: DataFrame, tools: DataFrame) -> DataFrame:
+    linked = rows.withColumn("parsed", F.try_parse_json("arguments")).withColumn("called", F.col("n_calls") > 0).join(tools, "name", "left")
     found = F.when(F.col("fields").isNull(), F.array(F.lit("unknown tool"))).otherwise(problems(F.coalesce(F.col("parsed"), F.parse_json(F.lit("null"))), F.col("fields")))
-    status = F.when(F.col("called").isNull(), "no call").when(F.col("answers").isNull(), "no result").otherwise("linked")
+    status = F.when(~F.col("called"), "no call").when(F.col("n_results") == 0, "no result").otherwise("linked")
     text = F.to_json(F.struct(F.col("parsed").alias("arguments"), "depth", F.col("call_id").alias("id"), "name", F.col("content").alias("result")), {"ignoreNullFields": "false"})
-    return linked.select("conv_id", "call_id", "depth", "name", status.alias("status"), F.when(F.col("called"), F.array_join(found, ", ")).alias("problems"), text.alias("json"))
+    return linked.select("conv_id", "call_id", "depth", "name", status.alias("status"), F.when(F.col("called"), F.array_join(found, ", ")).alias("problems"), text.alias("json"), "n_calls", "n_results")

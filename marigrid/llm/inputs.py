@@ -33,6 +33,11 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.union(again).union(extra).union(wide)
 
 
+def other_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that ``tool_calls`` doesn't read: those of the system and of any other role."""
+    return table(spark, sf_dir, "conversations").filter("role is null or role not in ('user', 'assistant')")
+
+
 def tool_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(calls, results, tools): user turns call a tool, the turn after them has its result, the user turn before them is their parent."""
     turns = table(spark, sf_dir, "conversations")
@@ -82,11 +87,14 @@ call AS (
 res AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'),
 j AS (SELECT coalesce(call.conv_id, res.conv_id) AS conv_id, coalesce(call.call_id, res.call_id) AS call_id, depth, name, n, arguments, content, call.call_id IS NULL AS no_call, res.call_id IS NULL AS no_result
       FROM call FULL JOIN res ON call.conv_id = res.conv_id AND call.call_id = res.call_id)
-SELECT conv_id, call_id, depth, name,
+SELECT conv_id, call_id, depth, name, CASE WHEN no_call THEN 0 ELSE 1 END AS n_calls, CASE WHEN no_result THEN 0 ELSE 1 END AS n_results,
        CASE WHEN no_call THEN 'no call' WHEN no_result THEN 'no result' ELSE 'linked' END AS status,
        CASE WHEN no_call THEN NULL WHEN name = 'answer' THEN 'unknown tool'
             WHEN n % 5 = 0 THEN CASE name WHEN 'search' THEN 'missing query' ELSE 'missing query, type limit' END
             WHEN (n % 7 = 0) = (name = 'search') THEN 'type limit' ELSE '' END AS problems,
        '{"arguments":' || coalesce(arguments, 'null') || ',"depth":' || coalesce(CAST(depth AS VARCHAR), 'null') || ',"id":' || to_json(call_id) || ',"name":' || coalesce(CAST(to_json(name) AS VARCHAR), 'null') || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS json
 FROM j
+UNION ALL
+SELECT conv_id, 'c' || turn, NULL, role, 0, 0, 'message', NULL, '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """

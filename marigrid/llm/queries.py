@@ -30,7 +30,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(*inputs.tool_calls(spark, sf_dir))
+    return chat.link(*inputs.tool_calls(spark, sf_dir)).unionByName(chat.messages(inputs.other_turns(spark, sf_dir)))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

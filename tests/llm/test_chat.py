@@ -47,3 +47,19 @@ def test_repeats_nulls_and_empty(spark):
     assert run(spark, [], []) == {}
     long = "w " * 200_000
     assert json.loads(run(spark, [(1, "c", None, "find", json.dumps({"q": long}))], [(1, "c", long)])[1, "c"].json)["result"] == long
+
+
+def test_null_keys_keep_their_rows_and_repeats_are_counted(spark):
+    tools = spark.createDataFrame([("find", FIELDS)], TOOLS)
+    calls = [(1, "c", None, "find", '{"q":"a"}', "x"), (1, "c", None, "find", '{"q":"a"}', "x"), (1, None, None, "find", '{"q":"b"}', "x"), (1, None, None, "find", "{}", "x"), (None, "c", None, None, None, "x")]
+    results = [(1, "c", "y", "x"), (1, None, "u", "x"), (1, None, "v", "x"), (None, "c", "w", "x"), (None, None, None, "x")]
+    out = chat.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), tools).collect()
+    assert sorted((r.status, r.n_calls, r.n_results) for r in out) == sorted([("linked", 2, 1)] + [("no result", 1, 0)] * 3 + [("no call", 0, 1)] * 4)
+    assert {json.loads(r.json)["result"] for r in out} == {"y", "u", "v", "w", None}
+
+
+def test_other_turns_are_messages(spark):
+    turns = spark.createDataFrame([(1, 0, "system", 'say "é"'), (None, None, None, None)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.messages(turns).collect()}
+    assert got[1].json == '{"content":"say \\"é\\"","role":"system"}' and got[1].name == "system" and got[1].call_id == "c0"
+    assert got[None].json == '{"content":null,"role":null}' and got[None].status == "message"
