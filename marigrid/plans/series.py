@@ -226,18 +226,18 @@ def window_ols(t: Tables) -> DataFrame:
     f"""
 {FITS},
 g AS (SELECT center_day, corr(l_quantity, l_discount) AS p, corr(l_quantity, l_tax) AS q, corr(l_discount, l_tax) AS r, corr(l_quantity, l_extendedprice) AS a, corr(l_discount, l_extendedprice) AS b, corr(l_tax, l_extendedprice) AS c,
-  avg(l_extendedprice) AS mean, stddev_pop(l_extendedprice) AS s, count(*) AS n, avg(l_quantity) AS zm, stddev_pop(l_tax) AS zs FROM p GROUP BY 1),
+  sum(l_extendedprice) AS total, stddev_pop(l_extendedprice) AS s, count(*) AS n, avg(l_quantity) AS zm, stddev_pop(l_tax) AS zs FROM p GROUP BY 1),
 h AS (SELECT *, 1 - r * r - p * (p - q * r) + q * (p * r - q) AS det FROM g),
 e AS (SELECT *, (a * (1 - r * r) - p * (b - r * c) + q * (b * r - c)) / det AS u, ((b - r * c) - a * (p - q * r) + q * (p * c - b * q)) / det AS v, ((c - b * r) - p * (p * c - b * q) + a * (p * r - q)) / det AS w FROM h)
-SELECT center_day, round(u * s, 3) AS m_l_quantity, round(v * s, 3) AS m_l_discount, round(w * s, 3) AS m_l_tax, round(mean, 3) AS b, round(u * a + v * b + w * c, 6) AS r2, n, round(zm, 6) AS z_mean_l_quantity, round(zs, 8) AS z_std_l_tax FROM e
+SELECT center_day, round(u * s, 3) AS m_l_quantity, round(v * s, 3) AS m_l_discount, round(w * s, 3) AS m_l_tax, round(total, 2) AS b_times_n, round(u * a + v * b + w * c, 6) AS r2, n, round(zm, 6) AS z_mean_l_quantity, round(zs, 8) AS z_std_l_tax FROM e
 """,
 )
 def window_ols3(t: Tables) -> DataFrame:
-    """2.7 with R1: the source's central fit."""
+    """2.7 with R1: the source's central fit. The intercept, a mean of cents, is shown as a sum."""
     out = windows.window_ols3(t.lineitem, YEARS, [], ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "l_shipdate")
     slopes = ["m_l_quantity", "m_l_discount", "m_l_tax"]
-    out = out.select("center_day", *slopes, "b", "r2", "n", "z_mean_l_quantity", "z_std_l_tax")
-    return rounded(rounded(rounded(out, 3, *slopes, "b"), 6, "r2", "z_mean_l_quantity"), 8, "z_std_l_tax")
+    out = out.select("center_day", *slopes, (F.col("b") * F.col("n")).alias("b_times_n"), "r2", "n", "z_mean_l_quantity", "z_std_l_tax")
+    return rounded(rounded(rounded(rounded(out, 3, *slopes), 2, "b_times_n"), 6, "r2", "z_mean_l_quantity"), 8, "z_std_l_tax")
 
 
 @query("window_interval", f"WITH {CENTERS}, s AS (SELECT ROW_NUMBER() OVER () AS id, time + INTERVAL 12 HOUR AS time, value FROM daily) SELECT center_day, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT DISTINCT center_day, id, value FROM s JOIN c ON time BETWEEN center - INTERVAL 15 DAY AND center + INTERVAL 15 DAY) GROUP BY 1", "daily")
@@ -346,12 +346,13 @@ def doy_pooled_stats(t: Tables) -> DataFrame:
     return rounded(rounded(out.select("status", "x", "y", F.col("dayofyear").cast("long").alias("dayofyear"), F.col("value_n").alias("n"), total, F.col("value_std").alias("std")), 2, "total"), 4, "std")
 
 
-@query("doy_spatial_stats", "WITH s AS (SELECT x, y, date_trunc('day', time) AS time, avg(value) AS v FROM daily GROUP BY ALL), r AS (SELECT x, y, dayofyear(time) AS doy, v - 150000 AS v, row_number() OVER (PARTITION BY x, y ORDER BY time) AS i FROM s), k AS (SELECT a.x, a.y, a.doy, b.v FROM r a JOIN r b ON a.x = b.x AND a.y = b.y AND b.i BETWEEN a.i - 15 AND a.i + 15), m AS (SELECT x, y, doy, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM k GROUP BY ALL), g AS (SELECT c.x, c.y, m.doy, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM (SELECT DISTINCT x, y FROM s) c JOIN m ON abs(c.x - m.x) <= 1 AND abs(c.y - m.y) <= 1 GROUP BY ALL) SELECT x, y, doy AS dayofyear, round(s / n + 150000, 4) AS mean, round(sqrt(q / n - (s / n) ** 2), 3) AS std FROM g", "daily")
+@query("doy_spatial_stats", "WITH s AS (SELECT x, y, date_trunc('day', time) AS time, sum(value) AS v FROM daily GROUP BY ALL), r AS (SELECT x, y, dayofyear(time) AS doy, v - 150000 AS v, row_number() OVER (PARTITION BY x, y ORDER BY time) AS i FROM s), k AS (SELECT a.x, a.y, a.doy, b.v FROM r a JOIN r b ON a.x = b.x AND a.y = b.y AND b.i BETWEEN a.i - 15 AND a.i + 15), m AS (SELECT x, y, doy, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM k GROUP BY ALL), g AS (SELECT c.x, c.y, m.doy, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM (SELECT DISTINCT x, y FROM s) c JOIN m ON abs(c.x - m.x) <= 1 AND abs(c.y - m.y) <= 1 GROUP BY ALL) SELECT x, y, doy AS dayofyear, n::BIGINT AS n, round(s + n * 150000, 2) AS total, round(sqrt(q / n - (s / n) ** 2), 3) AS std FROM g", "daily")
 def doy_spatial_stats(t: Tables) -> DataFrame:
-    """With the eight cells around."""
-    days = resample.to_step(t.daily, ["x", "y"], ["value"])
+    """Daily sums with those of the eight cells around."""
+    days = t.daily.groupBy("x", "y", F.date_trunc("day", "time").cast("timestamp_ntz").alias("time")).agg(F.sum("value").alias("value"))
     out = water.day_of_year_stats(days, ["x", "y"], ["value"], neighbours=1)
-    return rounded(rounded(out.select("x", "y", F.col("dayofyear").cast("long").alias("dayofyear"), F.col("value_mean").alias("mean"), F.col("value_std").alias("std")), 4, "mean"), 3, "std")
+    total = (F.col("value_mean") * F.col("value_n")).alias("total")
+    return rounded(rounded(out.select("x", "y", F.col("dayofyear").cast("long").alias("dayofyear"), F.col("value_n").alias("n"), total, F.col("value_std").alias("std")), 2, "total"), 3, "std")
 
 
 @query("bias_correct", f"WITH {DOY} SELECT s.x, s.y, s.time, round((v - (h.mean - o.mean)) / (h.std / o.std), 1) AS corrected FROM s JOIN p h ON h.status = 'F' AND h.x = s.x AND h.y = s.y AND h.doy = dayofyear(s.time) JOIN p o ON o.status = 'O' AND o.x = s.x AND o.y = s.y AND o.doy = h.doy WHERE s.status = 'F'", "daily")
