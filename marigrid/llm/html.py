@@ -18,30 +18,35 @@ from marigrid.llm.common import small_batches
 PAGES = 600
 #: Kinds of block elements; each kind is a feature.
 KINDS = {
-    "page": "html body", "article": "article", "main": "main", "section": "section", "div": "div center", "p": "p", "heading": "h1 h2 h3 h4 h5 h6 hgroup",
+    "page": "html body", "article": "article", "main": "main", "section": "section", "div": "div center noscript", "p": "p", "heading": "h1 h2 h3 h4 h5 h6 hgroup",
     "list": "ul ol dl menu", "item": "li dt dd", "table": "table thead tbody tfoot tr td th caption", "quote": "blockquote pre figure figcaption details summary",
     "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form fieldset dialog", "other": "address hr search",
 }
 #: Parts of class, id and role tokens.
 GOOD = "article content main post entry story text prose body".split()
 BAD = "ad ads advert advertisement banner sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs header masthead footer copyright sidebar widget aside related recommended share social cookie consent notice alert popup modal newsletter subscribe signup login search comment comments reply respond disqus discussion form toolbar pagination pager tags skip".split()
-#: Elements whose content is never text.
-SKIPPED = "script style title template noscript svg math iframe object textarea select button canvas video audio map".split()
+#: Elements whose content is never text; without an end tag the first take all that follows, as in browsers, the others nothing.
+RAW = "script style title textarea".split()
+SKIPPED = [*RAW, *"template svg iframe select button".split()]
 _KIND = {t: k for k, (_, tags) in enumerate(KINDS.items()) for t in tags.split()}
 _NAMES = list(KINDS)
 _FORM, _DIV = _NAMES.index("form"), _NAMES.index("div")
 _END_P = {t for t in _KIND if t not in {"html", "body", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption"}}
 #: An open element that such a start tag ends, and what bounds the search for it.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+)>)", re.S)
+# quotes count after an equals sign only; one that is never closed is a character like others
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*+)([^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')?+[^>=]*+)*+)(>)?)", re.S)
+# the rest of a page in which a tag's quotes hide its end
+_PLAIN = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>)?)", re.S)
 _SKIP = {t: re.compile(rf"</{t}\s*>", re.I) for t in SKIPPED}
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_HEAD = re.compile(r"</head\s*>|<body[\s>]", re.I)
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _TOKEN = re.compile(r"[a-z]+")
 _GOOD, _BAD = set(GOOD), set(BAD)
 
 
 class Page:
-    """Block nodes in page order and the runs of text that stand in them."""
+    """Block nodes in page order and the runs of text that stand in them; read in time linear in the page's length."""
 
     __slots__ = ("kind", "label", "parent", "runs", "tags", "tokens")
 
@@ -49,6 +54,8 @@ class Page:
         self.parent, self.kind, self.tokens, self.tags, self.label = [-1], [0], [(0, 0)], [0], [1]
         self.runs: list[tuple[int, str, int]] = []  # node, text, characters in links
         stack: list[tuple[str, int]] = []
+        places: dict[str, list[int]] = {t: [] for t in _KIND}  # of each tag on the stack
+        endless: set[str] = set()  # elements without an end tag from here on
         words: list[str] = []
         links, in_link, at = 0, 0, 0
 
@@ -61,15 +68,20 @@ class Page:
             words, links = [], 0
 
         def close(names: set[str], bound: set[str]) -> None:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in names:
-                    flush()
-                    del stack[i:]
-                    return
-                if stack[i][0] in bound:
-                    return
-
-        for m in iter(lambda: _TAG.search(html, at), None):
+            last = max((places[t][-1] for t in names if places[t]), default=-1)
+            if last >= 0 and last >= max((places[t][-1] for t in bound if places[t]), default=-1):
+                flush()
+                while len(stack) > last:
+                    places[stack.pop()[0]].pop()
+
+        def after(tag: str, end: re.Pattern) -> re.Match | None:
+            found = None if tag in endless else end.search(html, at)
+            if not found:
+                endless.add(tag)
+            return found
+
+        pattern = _TAG
+        for m in iter(lambda: pattern.search(html, at), None):
             if m.start() > at:
                 piece = html[at : m.start()]
                 words.append(piece)
@@ -78,6 +90,12 @@ class Page:
             at = m.end()
             if m[2] is None:
                 continue
+            if not m[4]:  # it has no end, or a quote hides it
+                if pattern is _TAG:
+                    pattern, at = _PLAIN, m.start()
+                else:
+                    words.append(m[0])
+                continue
             tag = m[2].lower()
             self.tags[stack[-1][1] if stack else 0] += 1
             if m[1]:
@@ -90,12 +108,12 @@ class Page:
                 continue
             if tag in _SKIP:
                 if not m[3].endswith("/") or tag in ("script", "style"):
-                    end = _SKIP[tag].search(html, at)
-                    at = end.end() if end else len(html)
+                    end = after(tag, _SKIP[tag])
+                    at = end.end() if end else len(html) if tag in RAW else at
                 words.append(" ")
                 continue
             if tag == "head":
-                end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(html, at)
+                end = after(tag, _HEAD)
                 if end:
                     at = end.start()
                 continue
@@ -123,6 +141,7 @@ class Page:
                         good, bad = good or not found.isdisjoint(_GOOD), bad or not found.isdisjoint(_BAD)
                     elif labelled and name == "data-y":
                         label = int("".join(values))
+            places[tag].append(len(stack))
             stack.append((tag, len(self.kind)))
             self.parent.append(stack[-2][1] if len(stack) > 1 else 0)
             self.kind.append(_KIND[tag])
@@ -288,8 +307,9 @@ def extract(pages: DataFrame, model: gbt.Trees | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every row.
 
     ``text`` is the article's blocks in page order, one line each, character references decoded and white space
-    made single blanks. Null, empty and unreadable html gives an empty text; null ids and urls and repeated rows
-    stay. Whole pages are read; there is no shuffle.
+    made single blanks. Elements without an end tag and unclosed quotes lose no text but in scripts, styles, titles and
+    text areas, which take the rest of the page, as in browsers. Null, empty and unreadable html gives an empty text; null ids and urls and repeated rows
+    stay; other columns are ignored. Whole pages are read; there is no shuffle.
     """
     small_batches(pages.sparkSession)
     model = model or train()

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from marigrid.llm import gbt, html
@@ -74,3 +76,67 @@ def test_trees_learn():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
     model = gbt.fit(x[:2000], y[:2000])
     assert ((model.margin(x[2000:]) > 0) == (y[2000:] > 0)).mean() > 0.97
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>If <math><mi>x</mi> = <mn>2</mn></math> holds, it <object data=a.svg>is shown here</object>.</p>", "If x = 2 holds, it is shown here."),
+        ("<p>One.</p><video src=a><p>Two.</p><button><p>Three.</p>", "One.\nTwo.\nThree."),
+        ("<p>One <button>Go</button>two <select><option>A</select>three.</p>", "One two three."),
+        ("<p>One.</p><style>p{}<p>Two.</p>", "One."),
+        ('<p title="a > b">One.</p><p title=\'it\'s\'>Two.</p><p 5">Three.</p>', "One.\nTwo.\nThree."),
+        ('<p class="open>One.</p><p>Two.</p>', "One.\nTwo."),
+        ("<p>1 < 2 and a<b", "1 < 2 and a<b"),
+    ],
+)
+def test_no_text_is_lost_to_markup(page, text):
+    assert "\n".join(t for _, t, _ in html.Page(page).runs) == text
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<div></p>", "<a '", '<a b="', '<a b="c>', "<button>", "<head>", "<p><li></td>", "a" * 20, "<!--", "<", "&", "</div"])
+@pytest.mark.parametrize("around", [("", ""), ("<p ", ">"), ('<p "', "='>")])
+def test_reading_takes_linear_time(piece, around):
+    start = time.process_time()
+    html.Page(around[0] + piece * 100_000 + around[1])
+    assert time.process_time() - start < 10
+
+
+#: Written by hand: nothing of them comes from the generator that the trees learn from.
+BY_HAND = [
+    (
+        """<html><body class="single"><div id="top-menu" class="navbar"><a href="/">Home</a> | <a href="/w">World</a> | <a href="/s">Sport</a></div>
+<div class="wrapper"><div class="entry-content"><h1>River ferry returns after nine years</h1>
+<p>The ferry between the old mill and the market quay ran again on Saturday, nine years after the council withdrew its grant. About 400 people crossed in the first six hours.</p>
+<blockquote>We had stopped hoping, said a baker who has worked on the far bank since 1998.</blockquote>
+<p>A single fare costs two crowns; children travel free. The boat, built in 1964, was repaired by volunteers.</p></div>
+<div class="sidebar"><h3>Most read</h3><ul><li><a href="/1">Ten bridges to see</a></li><li><a href="/2">Winter timetable</a></li></ul></div></div>
+<div class="footer">Printed in the valley. All rights reserved.</div></body></html>""",
+        ["River ferry returns after nine years", "The ferry between", "We had stopped hoping", "A single fare costs"],
+        ["World", "Most read", "Winter timetable", "All rights reserved"],
+    ),
+    (
+        """<!DOCTYPE html><html lang=en><head><title>Bread</title></head><body><header><a href=/>Kitchen notes</a><nav><ul><li><a href=/soups>Soups</a><li><a href=/cakes>Cakes</a></ul></nav></header>
+<main><article><h2>Rye bread in a cold oven</h2><p>Mix 400 g of rye flour with 300 g of warm water, salt and a ladle of sour dough, and leave it overnight under a cloth.
+<p>In the morning the dough should have doubled. Turn it into a tin without kneading.<ol><li>Put the tin into the cold oven and heat it to 220 degrees.</li><li>Bake for fifty minutes, then let the loaf rest until evening.</li></ol></article>
+<section id=comments class=comments><h3>2 comments</h3><div class=comment><p>Mine came out flat, what did I do wrong?</p></div><div class=comment><p>Try more sour dough.</p></div></section></main>
+<aside class=promo><p>Order our cookbook today!</p></aside><footer><p>Kitchen notes, since 2009</p></footer></body></html>""",
+        ["Rye bread in a cold oven", "Mix 400 g of rye flour", "In the morning the dough", "Put the tin into", "Bake for fifty minutes"],
+        ["Soups", "Mine came out flat", "Try more sour dough", "cookbook", "since 2009"],
+    ),
+    (
+        """<body><div class="cookie-consent"><p>We use cookies to make this site better. <a href=/c>Settings</a></p></div><table><tr><td class="menu"><a href=/a>Archive</a><br><a href=/b>About</a></td>
+<td class="main"><h1>Notes on tides</h1><p>Twice a day the water in the bay climbs by four metres, and the mud flats vanish. Sailors keep a table of the hours beside the door.</p>
+<p>The highest water does not come at full moon but a day and a half later, because the sea takes time to answer.</p><div class="share-buttons"><a href=t>Tweet</a> <a href=m>Mail</a></div></td></tr></table>
+<form class="newsletter"><p>Get our letter</p><input name=mail></form></body>""",
+        ["Notes on tides", "Twice a day the water", "The highest water does not come"],
+        ["We use cookies", "Archive", "Tweet", "Get our letter"],
+    ),
+]
+
+
+@pytest.mark.parametrize(("page", "has", "lacks"), BY_HAND)
+def test_pages_written_by_hand(model, page, has, lacks):
+    lines = one(model, page).split("\n")
+    assert [h for h in has if not any(line.startswith(h) for line in lines)] == []
+    assert [x for x in lacks if any(x in line for line in lines)] == []
