@@ -44,16 +44,30 @@ def fit_marginals(df: DataFrame, keys: Sequence[str], value: str, family: str) -
     return df.select(*keys, value).groupBy(*keys).applyInPandas(one, f"{_keys_schema(df, keys)}, param string, value double")
 
 
-def fit_acf(acf: DataFrame, keys: Sequence[str], family: str = "weibull") -> DataFrame:
-    """(keys, scale, shape, mae): the curve with the least mean absolute error, parameters to two places."""
-    curve = {"weibull": lambda lag, s, k: np.exp(-((lag / s) ** k)), "paretoII": lambda lag, s, k: (1 + k * lag / s) ** (-1 / k)}[family]
+#: Parameters of the correlation curves by family, and the curves.
+ACF_PARAMETERS = {"weibull": ("scale", "shape"), "paretoII": ("scale", "shape"), "burrXII": ("scale", "shape1", "shape2")}
+_CURVES = {
+    "weibull": lambda lag, s, k: np.exp(-((lag / s) ** k)),
+    "paretoII": lambda lag, s, k: (1 + k * lag / s) ** (-1 / k),
+    "burrXII": lambda lag, s, k, m: (1 + m * (lag / s) ** k) ** (-m / k),
+}
+
+
+def fit_acf(acf: DataFrame, keys: Sequence[str], family: str = "weibull", places: int | None = 2) -> DataFrame:
+    """(keys, the family's parameters, mae): the curve with the least mean absolute error.
+
+    Parameters are given to two places, as they are stored; None keeps them whole. The error is that of the whole ones.
+    """
+    names, curve = ACF_PARAMETERS[family], _CURVES[family]
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lag, rho = rows["lag"].to_numpy(float), rows["acf"].to_numpy(float)
-        s, k = nelder_mead(lambda p: float(np.abs(curve(lag, *p) - rho).mean()), [max(len(lag), 1), 1.0], low=0.05)
-        return pd.DataFrame([(*key, round(float(s), 2), round(float(k), 2), float(np.abs(curve(lag, s, k) - rho).mean()))], columns=[*keys, "scale", "shape", "mae"])
+        found = nelder_mead(lambda p: float(np.abs(curve(lag, *p) - rho).mean()), [max(len(lag), 1), *[1.0] * (len(names) - 1)], 200 * len(names), low=0.05)
+        shown = [float(p) if places is None else round(float(p), places) for p in found]
+        return pd.DataFrame([(*key, *shown, float(np.abs(curve(lag, *found) - rho).mean()))], columns=[*keys, *names, "mae"])
 
-    return acf.select(*keys, "lag", "acf").dropna().groupBy(*keys).applyInPandas(one, f"{_keys_schema(acf, keys)}, scale double, shape double, mae double")
+    kinds = ", ".join(f"{n} double" for n in [*names, "mae"])
+    return acf.select(*keys, "lag", "acf").dropna().groupBy(*keys).applyInPandas(one, f"{_keys_schema(acf, keys)}, {kinds}")
 
 
 def correlation_points(family: str, params: Sequence[float]) -> np.ndarray:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marigrid.functions.scalar import in_box, key4
 from marigrid.operators.joins import points_in_cells
+from marigrid.params import BBox
 
 
 def axis_bounds(axis: DataFrame, name: str) -> DataFrame:
@@ -57,3 +62,30 @@ def regrid(values: DataFrame, weights: DataFrame, value: str, time: str = "time"
     """G1: area-weighted means on the target grid; missing sources lower the weights' sum instead of the mean."""
     known = values.select(F.col("x").alias("sx"), F.col("y").alias("sy"), time, value).dropna(subset=[value])
     return known.join(weights, ["sx", "sy"]).groupBy("x", "y", time).agg((F.sum(F.col(value) * F.col("weight")) / F.sum("weight")).alias(value))
+
+
+def outside_mask(df: DataFrame, mask: DataFrame, keys: Sequence[str] = ("x", "y")) -> DataFrame:
+    """Rows of cells that the mask (land, say) doesn't hold; coordinates meet at four places."""
+    held = mask.select(*(key4(F.col(k)).alias(f"__m{i}") for i, k in enumerate(keys))).distinct()
+    on = reduce(lambda a, b: a & b, (key4(F.col(k)) == F.col(f"__m{i}") for i, k in enumerate(keys)))
+    return df.join(held, on, "left_anti")
+
+
+def central_location(ocean: DataFrame, whole: DataFrame, x: float, y: float, box: BBox) -> DataFrame:
+    """One row (ok): the point is within the grid's range and the box around it has cells of ``ocean``."""
+    within = F.lit(x).between(F.min("x"), F.max("x")) & F.lit(y).between(F.min("y"), F.max("y"))
+    some = ocean.agg(F.coalesce(F.bool_or(in_box(F.col("x"), F.col("y"), box)), F.lit(False)).alias("__some"))
+    return whole.agg(F.coalesce(within, F.lit(False)).alias("__in")).crossJoin(F.broadcast(some)).select((F.col("__in") & F.col("__some")).alias("ok"))  # one row each
+
+
+def complete_cells(df: DataFrame, values: Sequence[str], keys: Sequence[str] = ("x", "y")) -> DataFrame:
+    """K8: rows of cells that lack no value at any time."""
+    whole = reduce(lambda a, b: a & b, (F.col(v).isNotNull() for v in values))
+    return df.join(df.groupBy(*keys).agg(F.bool_and(whole).alias("__all")).filter("__all").drop("__all"), list(keys), "left_semi")
+
+
+def snapped(df: DataFrame, axis: DataFrame, name: str) -> DataFrame:
+    """K8: a coordinate moved to the nearest one of an axis, ties to the lesser. The axis (some hundred values) goes along as one array."""
+    one = axis.agg(F.collect_set(name).alias("__axis"))
+    near: Column = F.array_min(F.transform("__axis", lambda v: F.struct(F.abs(v - F.col(name)).alias("d"), v.alias("v"))))["v"]
+    return df.crossJoin(F.broadcast(one)).withColumn(name, F.when(F.col(name).isNotNull(), near)).drop("__axis")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -116,6 +117,28 @@ def l_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return b.select(*keys, b0.alias("l1"), (2 * b1 - b0).alias("l2"), (6 * b2 - 6 * b1 + b0).alias("l3"), (20 * b3 - 30 * b2 + 12 * b1 - b0).alias("l4"), "n")
 
 
+def dispersion(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """From sites' L-moments, their averages and ratios weighted by n, and V, the weighted spread of l2 / l1."""
+    n = F.col("n")
+    rows = moments.withColumns({"__t1": F.col("l2") / F.col("l1"), "__t3": F.col("l3") / F.col("l2"), "__t4": F.col("l4") / F.col("l2")})
+    mean = lambda c: F.sum(F.col(c) * n) / F.sum(n)
+    means = rows.groupBy(*keys).agg(mean("l1").alias("l1"), mean("l2").alias("l2"), mean("__t1").alias("t1"), mean("__t3").alias("t3"), mean("__t4").alias("t4"), F.sum(n).alias("n"))
+    around = rows.select(*keys, "__t1", F.col("n").alias("__n")).join(means.select(*keys, F.col("t1").alias("__m")), list(keys))
+    spread = around.groupBy(*keys).agg((F.sum((F.col("__t1") - F.col("__m")) ** 2 * F.col("__n")) / F.sum("__n")).alias("v"))
+    return means.join(spread, list(keys))
+
+
+def summed(frames: Sequence[DataFrame], keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Sums of many frames' values by their keys; a frame that lacks a key adds nothing."""
+    rows = reduce(lambda a, b: a.unionByName(b), (f.select(*keys, *values) for f in frames))
+    return rows.groupBy(*keys).agg(*(F.sum(v).alias(v) for v in values))
+
+
+def whole_means(df: DataFrame, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Means over the rows that lack none of the values."""
+    return df.dropna(subset=list(values)).groupBy(*keys).agg(*(F.avg(v).alias(v) for v in values))
+
+
 def capped(df: DataFrame, keys: Sequence[str], value: str, level: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """``value`` at most its greatest among rows whose level is in [low, high]."""
     top = F.max(F.when(F.col(level).between(low, high), F.col(value))).over(Window.partitionBy(*keys))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marigrid.functions.scalar import burr_acf, fgn_acf, interpolate, pareto_acf, transformation_curve, weibull_acf
+from marigrid.functions.scalar import burr_acf, fgn_acf, interpolate, pareto_acf, stress, transformation_curve, weibull_acf
 from marigrid.operators import acf, disagg, grid, resample, stats, windows
 from marigrid.operators.joins import lookup_by_month_day, nearest
 from marigrid.params import Compat, Window
@@ -325,6 +325,20 @@ def l_moments(t: Tables) -> DataFrame:
     return rounded(stats.l_moments(t.daily, ["x", "y"], "value"), 3, "l1", "l2", "l3", "l4")
 
 
+@query("l_moment_dispersion", """
+WITH r AS (SELECT status, x, y, value AS v, row_number() OVER (PARTITION BY status, x, y ORDER BY value) AS i, count(*) OVER (PARTITION BY status, x, y) AS n FROM daily WHERE status <> 'P'),
+b AS (SELECT status, x, y, avg(v) AS b0, avg((i - 1) / (n - 1) * v) AS b1, avg((i - 1) * (i - 2) / ((n - 1) * (n - 2)) * v) AS b2, avg((i - 1) * (i - 2) * (i - 3) / ((n - 1) * (n - 2) * (n - 3)) * v) AS b3, count(*) AS n FROM r GROUP BY ALL),
+l AS (SELECT status, b0 AS l1, 2 * b1 - b0 AS l2, (2 * b1 - b0) / b0 AS t1, (6 * b2 - 6 * b1 + b0) / (2 * b1 - b0) AS t3, (20 * b3 - 30 * b2 + 12 * b1 - b0) / (2 * b1 - b0) AS t4, n FROM b),
+m AS (SELECT *, sum(t1 * n) OVER (PARTITION BY status) / sum(n) OVER (PARTITION BY status) AS a FROM l)
+SELECT status, round(sum(l1 * n) / sum(n), 2) AS l1, round(sum(l2 * n) / sum(n), 3) AS l2, round(sum(t1 * n) / sum(n), 8) AS t1, round(sum(t3 * n) / sum(n), 8) AS t3, round(sum(t4 * n) / sum(n), 8) AS t4, sum(n)::BIGINT AS n, round(sum((t1 - a) ** 2 * n) / sum(n), 10) AS v FROM m GROUP BY 1
+""", "daily")
+def l_moment_dispersion(t: Tables) -> DataFrame:
+    """Sites pooled by weight, and their spread."""
+    sites = stats.l_moments(t.daily.filter("status <> 'P'"), ["status", "x", "y"], "value")
+    out = rounded(rounded(stats.dispersion(sites, ["status"]), 2, "l1"), 3, "l2")
+    return rounded(rounded(out, 8, "t1", "t3", "t4"), 10, "v")
+
+
 DOY = """
 s AS (SELECT x, y, date_trunc('day', time) AS time, avg(value) AS v, status FROM daily WHERE status IN ('F', 'O') GROUP BY ALL),
 r AS (SELECT status, x, y, dayofyear(time) AS doy, count(v) OVER w AS n, sum(v) OVER w AS s, sum(v * v) OVER w AS q FROM s WINDOW w AS (PARTITION BY status, x, y ORDER BY time ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)),
@@ -431,6 +445,38 @@ def ntr_corrected(t: Tables) -> DataFrame:
     return rows.select("k", "j", F.round(F.col("ntr_hf") + F.col("ntr_lf"), 5).alias("ntr_total"))
 
 
+@query(
+    "fitted_total",
+    f"""
+WITH {CENTERS}, w AS (SELECT DISTINCT center_day, center + to_days(CAST(k AS INTEGER)) AS t0 FROM c, range(-15, 16) r(k)),
+s AS (SELECT l_shipdate AS time, u * abs(u) AS tu, v * abs(v) AS tv, l_tax * 100 AS ps, CAST(l_linenumber AS DOUBLE) AS nino, l_extendedprice / 10000 AS z FROM (SELECT *, (l_quantity - 25) * 0.9 AS u, l_discount * 100 - 5 AS v FROM lineitem)),
+p AS (SELECT * FROM s JOIN w ON time = t0),
+g AS (SELECT center_day, corr(tu, tv) AS p, corr(tu, ps) AS q, corr(tv, ps) AS r, corr(tu, z) AS a, corr(tv, z) AS b, corr(ps, z) AS c, avg(z) AS mean, stddev_pop(z) AS sd, avg(tu) AS mu, avg(tv) AS mv, avg(ps) AS mp, stddev_pop(tu) AS su, stddev_pop(tv) AS sv, stddev_pop(ps) AS sp, regr_slope(z, nino) AS ml, regr_intercept(z, nino) AS bl FROM p GROUP BY 1),
+h AS (SELECT *, 1 - r * r - p * (p - q * r) + q * (p * r - q) AS det FROM g),
+f AS (SELECT *, sd * (a * (1 - r * r) - p * (b - r * c) + q * (b * r - c)) / det AS cu, sd * ((b - r * c) - a * (p - q * r) + q * (p * c - b * q)) / det AS cv, sd * ((c - b * r) - p * (p * c - b * q) + a * (p * r - q)) / det AS cp FROM h),
+n AS (SELECT time, avg(cu * (tu - mu) / su + cv * (tv - mv) / sv + cp * (ps - mp) / sp + mean + ml * nino + bl) AS ntr FROM s JOIN f ON strftime(time, '%m%d') = center_day GROUP BY 1),
+t AS (SELECT o_orderdate AS time, avg(o_totalprice) / 1e6 AS tides FROM orders GROUP BY 1),
+o AS (SELECT date_trunc('month', o_orderdate) AS month, avg(o_totalprice) / 1e6 AS msl FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT time, round(msl + tides + ntr, 6) AS twl FROM n JOIN t USING (time) JOIN o ON date_trunc('month', time) = month
+""",
+)
+def fitted_total(t: Tables) -> DataFrame:
+    """2.7 with R1 and R2, R12, R31: windows are fitted, the fits applied to their days, and the parts added up."""
+    u, v = (F.col("l_quantity") - 25) * 0.9, F.col("l_discount") * 100 - 5
+    d = t.lineitem.select(F.col("l_shipdate").alias("time"), u.alias("uas"), u.alias("uas_corrected"), v.alias("vas_corrected"), (F.col("l_tax") * 100).alias("psl_corrected"), F.col("l_linenumber").cast("double").alias("nino34"), (F.col("l_extendedprice") / 10000).alias("z"))
+    ready = d.withColumns({"tauu": stress(F.col("uas_corrected")), "tauv": stress(F.col("vas_corrected")), "slp": F.col("psl_corrected")})
+    slow = windows.window_ols(ready, YEARS, [], "nino34", "z").select("center_day", F.col("m").alias("m_lf"), F.col("b").alias("b_lf"))
+    fits = windows.window_ols3(ready, YEARS, [], ["tauu", "tauv", "slp"], "z").join(slow, "center_day")
+    plain = Compat(tauu_corrected=True, tauv_own_slope=True, extrapolated_either_side=True)
+    rows = water.low_frequency(water.high_frequency(lookup_by_month_day(d, fits, key="center_day"), plain))
+    ntr = rows.groupBy("time").agg(F.avg(F.col("ntr_hf") + F.col("ntr_lf")).alias("ntr"))
+    month = lambda c: F.date_trunc("month", c).cast("timestamp_ntz")
+    tides = t.orders.groupBy(F.col("o_orderdate").alias("time")).agg((F.avg("o_totalprice") / 1e6).alias("tides"))
+    monthly = t.orders.filter("o_orderstatus = 'F'").groupBy(month("o_orderdate").alias("month")).agg((F.avg("o_totalprice") / 1e6).alias("msl"))
+    msl = tides.select("time", month("time").alias("month")).join(monthly, "month").select("time", "msl")
+    return rounded(water.total_level(tides, ntr, msl, ["time"]).select("time", "twl"), 6, "twl")
+
+
 @query("shift_marginals", "WITH s AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'loc' ELSE 'scale' END AS param, p_size - 25.0::DOUBLE AS oh, p_retailprice / 100 - 15 AS od, p_size * 2.0::DOUBLE AS cd FROM part), c AS (SELECT p_partkey, param, CASE WHEN param = 'a' THEN least(greatest(oh, -50), 50) ELSE oh END AS oh, CASE WHEN param = 'a' THEN least(greatest(od, -50), 50) ELSE od END AS od, CASE WHEN param = 'a' THEN least(greatest(cd, -50), 50) ELSE cd END AS cd FROM s) SELECT p_partkey, param, 0.0 + round_even(CASE param WHEN 'loc' THEN oh + cd - od WHEN 'scale' THEN oh * cd / nullif(od, 0) ELSE least(greatest(sinh(asinh(oh) + asinh(cd) - asinh(od)), -50), 50) END, 4)::DOUBLE AS hourly_cmip FROM c")
 def shift_marginals(t: Tables) -> DataFrame:
     """R25, P19."""
@@ -537,6 +583,15 @@ def fit_marginals(t: Tables) -> DataFrame:
     return disagg.fit_marginals(t.daily.withColumn("value", F.col("value") / 1e5), ["x", "y"], "value", "skewnorm")
 
 
+@query("fit_acf_burr")
+def fit_acf_burr(t: Tables) -> DataFrame:
+    """R19 for Burr XII: the fit and its agreement with the empirical curve."""
+    known = acf.empirical_acf(t.hourly("view", "v"), ["stn"], "v", 12, 48).select("stn", "lag", "acf")
+    fits = disagg.fit_acf(known, ["stn"], "burrXII", places=None)
+    fitted = known.join(fits, "stn").withColumn("fit", burr_acf(F.col("lag"), F.col("scale"), F.col("shape1"), F.col("shape2")))
+    return fits.select("stn", *(F.round(n, 2).alias(n) for n in ("scale", "shape1", "shape2"))).join(stats.fit_metrics(fitted, ["stn"], "fit", "acf"), "stn")
+
+
 @query("fit_acf")
 def fit_acf(t: Tables) -> DataFrame:
     """R18, R19."""

@@ -10,6 +10,7 @@ from marigrid.operators import grid, joins, stats, windows
 from marigrid.params import BBox
 from marigrid.plans import water
 from marigrid.plans.registry import Tables, query, rounded
+from marigrid.sources.readers import standard_date
 
 
 @query("lon_wrap", "SELECT s_suppkey AS stn, round((((s_suppkey * 7.25 - 90 + 180) % 360 + 360) % 360) - 180, 6) AS lon FROM supplier")
@@ -287,3 +288,70 @@ def group_any(t: Tables) -> DataFrame:
 def key_rounding(t: Tables) -> DataFrame:
     """J13's keys."""
     return t.lineitem.groupBy(key4(F.col("l_tax") / 3).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("complete_cells", "SELECT x, y, status, round(sum(value), 2) AS total FROM daily WHERE (x, y) NOT IN (SELECT (x, y) FROM (SELECT x, y, CASE WHEN value > 495000 AND y < 3 THEN NULL ELSE value END AS v FROM daily) WHERE v IS NULL) GROUP BY ALL", "daily")
+def complete_cells(t: Tables) -> DataFrame:
+    """K8: cells that lack no value."""
+    rows = t.daily.withColumn("v", F.when(~((F.col("value") > 495000) & (F.col("y") < 3)), F.col("value")))
+    return rounded(grid.complete_cells(rows, ["v"]).groupBy("x", "y", "status").agg(F.sum("value").alias("total")), 2, "total")
+
+
+@query("snap_to_axis", "WITH q AS (SELECT s_suppkey, s_acctbal / 100 AS lon FROM supplier), r AS (SELECT s_suppkey, CAST(n_nationkey * 4 AS DOUBLE) AS x, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(n_nationkey * 4 - lon), n_nationkey) AS i FROM q, nation) SELECT s_suppkey, x FROM r WHERE i = 1")
+def snap_to_axis(t: Tables) -> DataFrame:
+    """K8: the nearest coordinate of an axis."""
+    axis = t.nation.select((F.col("n_nationkey") * 4).cast("double").alias("x"))
+    return grid.snapped(t.supplier.select("s_suppkey", (F.col("s_acctbal") / 100).alias("x")), axis, "x")
+
+
+@query("ocean_cells", "SELECT x, y, count(*) AS n FROM daily WHERE (x, y) NOT IN (SELECT (x, y) FROM grid WHERE x + y > 5) GROUP BY ALL", "daily", "grid")
+def ocean_cells(t: Tables) -> DataFrame:
+    """Cells out of a mask."""
+    return grid.outside_mask(t.daily, t.grid.filter("x + y > 5")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("central_location", "SELECT 2.5 BETWEEN min(x) AND max(x) AND 1.5 BETWEEN min(y) AND max(y) AND bool_or(x + y <= 5 AND x BETWEEN 2 AND 3 AND y BETWEEN 1 AND 2) AS ok FROM grid", "grid")
+def central_location(t: Tables) -> DataFrame:
+    """G4."""
+    return grid.central_location(grid.outside_mask(t.grid, t.grid.filter("x + y > 5")), t.grid, 2.5, 1.5, BBox(2, 1, 3, 2))
+
+
+@query("frames_sum", "SELECT nation, round(sum(balance), 2) AS balance FROM (SELECT c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier) GROUP BY 1")
+def frames_sum(t: Tables) -> DataFrame:
+    """A19."""
+    frames = [t.customer.select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance")), t.supplier.select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))]
+    return rounded(stats.summed(frames, ["nation"], ["balance"]), 2, "balance")
+
+
+@query("whole_row_means", "SELECT l_returnflag, round(avg(a), 7) AS a, round(avg(l_discount), 8) AS l_discount FROM (SELECT *, CASE WHEN l_quantity <= 40 THEN l_quantity END AS a FROM lineitem) WHERE a IS NOT NULL AND l_discount IS NOT NULL GROUP BY 1")
+def whole_row_means(t: Tables) -> DataFrame:
+    """A21."""
+    rows = t.lineitem.withColumn("a", F.when(F.col("l_quantity") <= 40, F.col("l_quantity")))
+    return rounded(rounded(stats.whole_means(rows, ["a", "l_discount"], ["l_returnflag"]), 7, "a"), 8, "l_discount")
+
+
+@query("standard_calendar", "SELECT o_orderkey, CAST(make_date(y, 1, 1) + CAST(round_even(((o_orderkey % 12) * 30 + o_custkey % 30 + 1) * dayofyear(make_date(y, 12, 31)) / 360.0::DOUBLE, 0) - 1 AS INTEGER) AS DATE) AS d FROM (SELECT *, year(o_orderdate) AS y FROM orders)")
+def standard_calendar(t: Tables) -> DataFrame:
+    """Dates of a year of 360 days."""
+    month, day = (F.col("o_orderkey") % 12 + 1).cast("int"), (F.col("o_custkey") % 30 + 1).cast("int")
+    return t.orders.select("o_orderkey", standard_date(F.year("o_orderdate"), month, day).alias("d"))
+
+
+@query(
+    "emission_table",
+    """
+WITH n AS (SELECT unnest(['Emissions|CO2|MAGICC Fossil and Industrial', 'Emissions|CO2', 'Emissions|N2O', 'Emissions|Sulfur', 'Emissions|VOC', 'Emissions|HFC4310mee', 'Emissions|NOx', 'Emissions|NH3', 'Emissions|CH4', 'Population']) AS variable, unnest(range(10)) AS k),
+l AS (SELECT variable, y AS year, p_retailprice * (y - 1999) + p_size AS value FROM part JOIN n ON p_partkey % 10 = k, range(2000, 2003) r(y) WHERE p_size % 3 > 0),
+w AS (SELECT year, avg(value) FILTER (variable = 'Emissions|CO2|MAGICC Fossil and Industrial') AS fossil, avg(value) FILTER (variable = 'Emissions|CO2') AS co2, avg(value) FILTER (variable = 'Emissions|N2O') AS n2o, avg(value) FILTER (variable = 'Emissions|Sulfur') AS sulfur,
+  avg(value) FILTER (variable = 'Emissions|VOC') AS voc, avg(value) FILTER (variable = 'Emissions|HFC4310mee') AS hfc, avg(value) FILTER (variable = 'Emissions|NOx') AS nox, avg(value) FILTER (variable = 'Emissions|NH3') AS nh3, avg(value) FILTER (variable = 'Emissions|CH4') AS ch4 FROM l GROUP BY 1)
+SELECT CAST(year AS INTEGER) AS year, round(fossil * 12 / 44000, 7) AS "FossilCO2", round((co2 - fossil) / 1000, 7) AS "OtherCO2", round(n2o * 28 / 44 / 1000, 7) AS "N2O", round(sulfur * 32 / 64, 7) AS "SOx", round(voc, 7) AS "NMVOC", round(hfc, 7) AS "HFC43-10", round(nox * 14 / 30, 7) AS "NOx", round(nh3 * 14 / 17, 7) AS "NH3", round(ch4, 7) AS "CH4" FROM w
+""",
+)
+def emission_table(t: Tables) -> DataFrame:
+    """P13, P16, P12, P17."""
+    names = ["CO2|MAGICC Fossil and Industrial", "CO2", "N2O", "Sulfur", "VOC", "HFC4310mee", "NOx", "NH3", "CH4"]
+    variable = F.get(F.array(*(F.lit(f"Emissions|{n}") for n in names), F.lit("Population")), (F.col("p_partkey") % 10).cast("int"))
+    years = {str(y): F.col("p_retailprice") * (y - 1999) + F.col("p_size") for y in range(2000, 2003)}
+    rows = t.part.select(variable.alias("variable"), F.when(F.col("p_size") % 3 > 0, "clean").otherwise("raw").alias("stage"), *(c.alias(y) for y, c in years.items()))
+    shown = ["FossilCO2", "OtherCO2", "N2O", "SOx", "NMVOC", "HFC43-10", "NOx", "NH3", "CH4"]
+    return rounded(water.emission_table(rows, list(years)).select("year", *shown), 7, *shown)

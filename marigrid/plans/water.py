@@ -160,3 +160,23 @@ def scenario_period(df: DataFrame, start: int, split: int = 2015, time: str = "t
     """Histories from ``start`` on; scenarios as long after ``split`` as ``start`` is before it."""
     last = F.make_timestamp_ntz(F.lit(2 * split - start), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
     return df.filter(F.when(F.col(exp).startswith("hist"), F.year(time) >= start).otherwise(F.col(time) <= last))
+
+
+#: R35, fixed values: columns of an emission file in their order, names that differ from the database's, and factors of units.
+SPECIES = "FossilCO2 OtherCO2 CH4 N2O SOx CO NMVOC NOx BC OC NH3 CF4 C2F6 C6F14 HFC23 HFC32 HFC43-10 HFC125 HFC134a HFC143a HFC227ea HFC245fa SF6".split()
+RENAMED = {"CO2": "OtherCO2", "CO2|MAGICC Fossil and Industrial": "FossilCO2", "HFC4310mee": "HFC43-10", "Sulfur": "SOx", "VOC": "NMVOC"}
+UNITS = {"FossilCO2": 12 / 44000, "N2O": 28 / (28 + 16) / 1000, "SOx": 32 / 64, "NOx": 14 / 30, "NH3": 14 / 17}
+
+
+def emission_table(df: DataFrame, years: Sequence[str]) -> DataFrame:
+    """(year, a column for each species) from rows (stage, variable, a column for each year) of one scenario.
+
+    Clean rows only; total carbon dioxide becomes the part that isn't fossil; species without rows are null.
+    """
+    long = df.filter("stage = 'clean'").unpivot(["variable"], list(years), "year", "value")
+    short = F.regexp_replace("variable", r"^Emissions\|", "")
+    names = F.create_map(*(F.lit(n) for pair in RENAMED.items() for n in pair))
+    rows = long.select(F.col("year").cast("int").alias("year"), F.coalesce(F.try_element_at(names, short), short).alias("species"), "value").filter(F.col("species").isin(SPECIES))
+    wide = rows.groupBy("year").pivot("species", SPECIES).agg(F.avg("value"))
+    other = (F.col("OtherCO2") - F.col("FossilCO2")) / 1000
+    return wide.select("year", *(other.alias(s) if s == "OtherCO2" else (F.col(f"`{s}`") * UNITS.get(s, 1.0)).alias(s) for s in SPECIES))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from marigrid.functions.scalar import wrap_longitude
 from marigrid.schema import nan_to_null
 
 
@@ -87,3 +88,27 @@ def availability(spark: SparkSession, log: dict[str, Sequence[str]]) -> DataFram
     """A download log (status -> names) as rows."""
     schema = StructType.fromDDL("status string, name string")
     return spark.createDataFrame([(s, n) for s, names in log.items() for n in names or ()], schema)
+
+
+def read_grid(spark: SparkSession, paths: str | Sequence[str], x: str = "lon", ordered: bool = False) -> DataFrame:
+    """Gridded Parquet with longitudes from -180 to 180. Rows have no order, as writers sort; ``ordered`` sorts by ``x``."""
+    df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+    df = df.withColumn(x, wrap_longitude(F.col(x)))
+    return df.orderBy(x) if ordered else df
+
+
+def standard_date(year: Column, month: Column, day: Column) -> Column:
+    """A date of a calendar with 360 days as the standard date at the same share of the year, ties to even."""
+    first = F.make_date(year, F.lit(1), F.lit(1))
+    length = F.dayofyear(F.make_date(year, F.lit(12), F.lit(31)))
+    return F.date_add(first, (F.bround(((month - 1) * 30 + day) * length / F.lit(360.0), 0) - 1).cast("int"))
+
+
+def scan_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """CSV or Parquet by the path's suffix; without a schema a CSV file's types are inferred."""
+    if path.endswith(".csv"):
+        reader = spark.read.option("header", True)
+        return nan_to_null((reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path))
+    if path.endswith((".parquet", ".pq")):
+        return spark.read.parquet(path)
+    raise ValueError(f"neither CSV nor Parquet: {path}")

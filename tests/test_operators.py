@@ -5,7 +5,7 @@ from datetime import datetime as dt, timedelta
 import numpy as np
 import pytest
 from marigrid.functions import scalar
-from marigrid.operators import acf, calendar, grid, joins, resample, stats, windows
+from marigrid.operators import acf, calendar, disagg, grid, joins, resample, stats, windows
 from marigrid.params import BBox, Compat, Window
 from marigrid.plans import water
 from marigrid.schema import nan_to_null
@@ -212,3 +212,24 @@ def test_moments_far_from_zero(spark):
     assert got.v_std == pytest.approx(0.5, abs=1e-3) and got.v_mean == pytest.approx(1e9 + 0.5, abs=0.1)
     wide = water.day_of_year_stats(df.unionByName(df.withColumn("x", F.lit(5.0))), ["x", "y"], ["v"], neighbours=1).filter("dayofyear = 200").collect()
     assert len(wide) == 2 and all(r.v_mean == pytest.approx(got.v_mean) for r in wide)
+
+
+def test_cells_masks_and_axes(spark):
+    df = spark.createDataFrame([(0.0, 0.0, 1.0), (0.0, 0.0, None), (1.0, 0.0, 2.0), (1.0, 0.0, 3.0)], "x double, y double, v double")
+    assert {(r.x, r.v) for r in grid.complete_cells(df, ["v"]).collect()} == {(1.0, 2.0), (1.0, 3.0)}
+    assert grid.outside_mask(df, spark.createDataFrame([(1.00001, 0.0)], "x double, y double")).count() == 2
+    axis = spark.createDataFrame([(0.0,), (2.0,), (5.0,)], "x double")
+    points = spark.createDataFrame([(1.0,), (3.6,), (99.0,), (None,)], "x double")
+    assert [r.x for r in grid.snapped(points, axis, "x").collect()] == [0.0, 5.0, 5.0, None]
+    box = BBox(0, 0, 0.5, 0.5)
+    ok = lambda ocean, x: grid.central_location(ocean, df, x, 0.0, box).first().ok
+    assert ok(df, 0.5) and not ok(df, 1.5) and not ok(df.filter("x = 1"), 0.5) and not ok(df.limit(0), 0.5)
+
+
+def test_burr_fit_and_dispersion(spark):
+    lags = [(1, k, (1 + 0.8 * (k / 5.0) ** 0.9) ** (-0.8 / 0.9)) for k in range(1, 40)]
+    got = disagg.fit_acf(spark.createDataFrame(lags, "s int, lag int, acf double"), ["s"], "burrXII").first()
+    assert got.mae < 3e-3  # the simplex stops in a kink of the absolute error
+    sites = spark.createDataFrame([(1, 10.0, 2.0, 0.5, 0.2, 30), (1, 20.0, 2.0, 0.5, 0.2, 10)], "g int, l1 double, l2 double, l3 double, l4 double, n int")
+    r = stats.dispersion(sites, ["g"]).first()
+    assert (r.l1, r.l2, r.n) == (12.5, 2.0, 40) and abs(r.t1 - 0.175) < 1e-12 and abs(r.v - (0.025**2 * 0.75 + 0.075**2 * 0.25)) < 1e-12

@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from marigrid import schema
 from marigrid.sources import readers, sinks
 from pyspark.sql import functions as F
@@ -69,3 +70,16 @@ def test_decoding_and_metadata(spark):
     s = spark.createDataFrame([(1, 1.0, 2.0, "CA", -8, True), (2, 1.0, 2.0, "CA", -8, False)], schema.STATIONS)
     assert readers.tidal_stations(s).count() == 1
     assert readers.availability(spark, {"ok": ["a", "b"], "missing": []}).count() == 2
+
+
+def test_grids_calendars_and_suffixes(spark, tmp_path):
+    spark.createDataFrame([(350.0,), (10.0,), (180.0,)], "lon double").write.parquet(str(tmp_path / "g.parquet"))
+    assert [r.lon for r in readers.read_grid(spark, str(tmp_path / "g.parquet"), ordered=True).collect()] == [-180.0, -10.0, 10.0]
+    days = spark.createDataFrame([(2001, 1, 1), (2001, 2, 30), (2001, 12, 30), (2000, 7, 1), (2000, 12, 30), (2000, None, 1)], "y int, m int, d int")
+    got = [str(r[0]) for r in days.select(readers.standard_date(F.col("y"), F.col("m"), F.col("d"))).collect()]
+    assert got == ["2001-01-01", "2001-03-02", "2001-12-31", "2000-07-02", "2000-12-31", "None"]
+    p = put(tmp_path / "a.csv", "a,b\n1,x\n2,\n")
+    assert [tuple(r) for r in readers.scan_table(spark, p).orderBy("a").collect()] == [(1, "x"), (2, None)]
+    assert readers.scan_table(spark, str(tmp_path / "g.parquet")).count() == 3
+    with pytest.raises(ValueError):
+        readers.scan_table(spark, "a.nc")
