@@ -130,12 +130,14 @@ def fit_texts(texts: list[str | None], toxic: list[int]) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """A model from at most ``per_class`` labelled rows of each class: those whose hashed id comes first.
 
-    Null labels and ids take no part. The sample's ids, bounded by ``per_class``, are broadcast.
+    Null labels and ids take no part. Of rows with one id and label the least text counts, once, so that no more than the
+    sample reaches the driver. The sample's ids, bounded by ``per_class``, are broadcast.
     """
     known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).dropna()
     first = [known.filter(F.col("__toxic") == c).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for c in (0, 1)]
     sample = F.broadcast(first[0].unionByName(first[1]))
-    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).join(sample, "__id").select("__id", "__text", "__toxic").collect()
+    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).join(sample, "__id")
+    rows = rows.groupBy("__id", "__toxic").agg(F.min("__text").alias("__text")).select("__id", "__text", "__toxic").collect()
     rows.sort(key=lambda r: (r[0], r[1] or "", r[2]))
     return fit_texts([r[1] for r in rows], [r[2] for r in rows])
 
@@ -161,7 +163,11 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def rejected(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without toxic rows; columns stay as they are."""
+    """``docs`` without toxic rows; columns stay as they are, whatever their names.
+
+    Each row is judged by its whole text, repeated ones alike; rows with null text stay, and those with an empty one if
+    the base rate is under one half. An empty table stays empty. There is no shuffle.
+    """
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")

@@ -47,6 +47,13 @@ def test_rows(spark, docs, odd, labelled):
     assert toxicity.rejected(docs(odd), model).count() == len(odd)
 
 
+def test_repeated_ids_count_once(spark, docs, labelled):
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in labelled], "doc_id long, quality int, toxic int")
+    once = toxicity.fit(docs([(i, t) for i, t, _ in labelled]), labels)
+    often = [(i, t) for i, t, _ in labelled] + [(7, "zz " + labelled[7][1])] * 50
+    assert toxicity.fit(docs(often), labels) == once
+
+
 def test_without_labels(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs([(1, "a b c")]), labels)
