@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,20 +18,23 @@ from marigrid.llm.text import mix, word_batches
 EDITS, RECALL = 0.2, 0.99
 #: Coordinates in a sample, samples of each walk, walks at most.
 BITS, SAMPLES, WALKS = 4, 32, 16
-#: Items that are sent to the tasks at once.
-BLOCK = 5000
+#: Items that are sent to the tasks at once, and words of them when all are padded to the longest; one item at least.
+BLOCK, BLOCK_WORDS = 5000, 2_000_000
 _PAD = np.uint64(0)
 _SHORT = 12
+_WORD = re.compile(r"[^\s!-/:-@\[-`{-~]+")
 
 
 @dataclass
 class Items:
     """Word hashes of the items, padded to equal length, and what the windows are compared with."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     words: np.ndarray
     size: np.ndarray
     edits: np.ndarray
+    #: Items that the walks can't be trusted with: all their anchored windows are compared.
+    sure: np.ndarray
     #: (walks, 3 * longest) salts; (walks, items, 3 * longest) embeddings; (walks, samples, bits) places from 0 to 1.
     salts: np.ndarray
     codes: np.ndarray
@@ -92,8 +96,11 @@ def _edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarr
     return np.array(out, np.uint64)
 
 
-def prepare(ids: list[int], texts: list[str | None], counts: dict[int, int], share: float = EDITS, recall: float = RECALL) -> Items:
-    """Items with words, embedded by as many walks as the target recall needs on copies with all edits allowed."""
+def prepare(ids: list[int | None], texts: list[str | None], counts: dict[int, int], share: float = EDITS, recall: float = RECALL) -> Items:
+    """Items with words, embedded by as many walks as the target recall needs on copies with all edits allowed.
+
+    Short items, whose few coordinates tell little, and those whose own copy no walk finds skip the filter.
+    """
     all_words = [w[r[i] : r[i + 1]] for _, w, r in word_batches(pa.array(texts, pa.string()), bare=True) for i in range(len(r) - 1)]
     some = [i for i, w in enumerate(all_words) if len(w)]
     words = [all_words[i] for i in some]
@@ -123,7 +130,7 @@ def prepare(ids: list[int], texts: list[str | None], counts: dict[int, int], sha
         owner += [r] * len(rare)
         place += rare
     order = np.argsort(np.array(hashes, np.uint64), kind="stable")
-    return Items(np.array([ids[i] for i in some], np.int64), table, size, edits, salts[: len(codes)], np.array(codes), places[: len(codes)], np.array(hashes, np.uint64)[order], np.array(owner, np.int64)[order], np.array(place, np.int64)[order])
+    return Items([ids[i] for i in some], table, size, edits, ~found | (size < _SHORT), salts[: len(codes)], np.array(codes), places[: len(codes)], np.array(hashes, np.uint64)[order], np.array(owner, np.int64)[order], np.array(place, np.int64)[order])
 
 
 def _bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -155,8 +162,7 @@ def matches(items: Items, words: np.ndarray, rows: np.ndarray, bits: np.ndarray)
     for part in range(0, len(key), 20_000):
         row, item, begin = key[part : part + 20_000].T
         size, edits = items.size[item], items.edits[item]
-        # a short item's few coordinates tell little: all its windows are compared exactly
-        hit = size < _SHORT
+        hit = items.sure[item]
         for t, salt in enumerate(items.salts):
             rest = np.flatnonzero(~hit)
             if not len(rest):
@@ -207,34 +213,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, recall: f
     floor(``share`` * words of the item) word edits. An item's edits + 1 rarest words in the corpus anchor the
     item-sized windows: one of them is untouched in any such place, so no window is lost. Windows that agree with
     the item in a bit sample of a CGK embedding are verified by exact edit distance. The items, in blocks of
-    ``BLOCK``, go to the tasks; documents aren't shuffled. Null and empty texts or items match nothing; repeated
-    rows give repeated results; null ids stay.
+    ``BLOCK``, go to the tasks, like lengths together; documents aren't shuffled. Null and empty texts or
+    items match nothing; repeated rows give repeated results; null ids of both stay; other columns are ignored. Very long
+    texts are searched whole.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     out = spark.createDataFrame([], SCHEMA)
-    block: list = []
-    for last, r in _with_last(benchmark.select("item_id", "text").dropna().toLocalIterator()):
-        block.append(r)
-        if len(block) < BLOCK and not last:
-            continue
+    for block in _blocks(benchmark.select("item_id", "text").dropna(subset=["text"]).orderBy(F.length("text")).toLocalIterator()):
         texts = [r[1] for r in block]
         vocabulary = np.unique(np.concatenate([w for _, w, _ in word_batches(pa.array(texts, pa.string()), bare=True)]))
         if len(vocabulary):
             items = prepare([r[0] for r in block], texts, _counts(docs, vocabulary), share, recall)
             out = out.unionByName(docs.mapInArrow(_search(items), SCHEMA))
-        block = []
     return out
 
 
-def _with_last(rows):
-    rows = iter(rows)
+def _blocks(rows) -> Iterator[list]:
+    """Rows, shortest texts first, in blocks of bounded size."""
+    block: list = []
+    longest = 0
     for r in rows:
-        for nxt in rows:
-            yield False, r
-            r = nxt
-        yield True, r
+        words = max(longest, len(_WORD.findall(r[1])))
+        if block and (len(block) == BLOCK or (len(block) + 1) * words > BLOCK_WORDS):
+            yield block
+            block, words = [], len(_WORD.findall(r[1]))
+        block.append(r)
+        longest = words
+    if block:
+        yield block
 
 
 def _search(items: Items):
@@ -242,7 +250,7 @@ def _search(items: Items):
         bits = _bitmap(items.anchor)
         for batch in batches:
             ids = batch.column(0)
-            found = [(ids[base + r].as_py(), int(items.ids[c]), s, e, d, int(items.size[c])) for base, words, rows in word_batches(batch.column(1), bare=True) for r, c, s, e, d in matches(items, words, rows, bits)]
+            found = [(ids[base + r].as_py(), items.ids[c], s, e, d, int(items.size[c])) for base, words, rows in word_batches(batch.column(1), bare=True) for r, c, s, e, d in matches(items, words, rows, bits)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 

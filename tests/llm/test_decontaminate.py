@@ -73,3 +73,13 @@ def test_short_items_and_empty_tables(spark, docs):
     assert {(r.doc_id, r.item_id, r.start_word, r.end_word) for r in got} == {(1, 5, 2, 4), (2, 6, 2, 3)}
     assert decontaminate.leaks(docs([]), bench(spark, [(5, "red fox")])).count() == 0
     assert decontaminate.leaks(docs([(1, "a b")]), bench(spark, [])).count() == 0
+
+
+def test_items_without_id_and_small_blocks(spark, docs, prose, monkeypatch):
+    items = [(None, prose(30, 1)), (None, prose(40, 2)), (3, prose(20, 3)), (3, prose(20, 4)), (4, prose(300, 5)), (5, "x,y;" * 20)]
+    table = docs([(i, prose(50, 90 + i) + " " + t) for i, (_, t) in enumerate(items)] + [(None, items[2][1])])
+    run = lambda: sorted(map(str, decontaminate.leaks(table, bench(spark, items)).drop("distance").collect()))
+    whole = run()
+    assert len(whole) == 7
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
+    assert run() == whole
