@@ -98,29 +98,32 @@ def fit_texts(texts: list[str | None], toxic: list[int]) -> Model:
     that tell the classes apart, 1 (mild) to 3 (severe). Without both classes nothing is toxic.
     """
     own = _distinct(texts)
-    docs, label = [Counter(words(texts[i])) for i in own], np.array([toxic[i] for i in own], int)
+    label = np.array([toxic[i] for i in own], int)
     if not len(label) or label.min() == label.max():
         return Model({}, (20.0, 21.0, 22.0))
-    has = [Counter(w for d, y in zip(docs, label, strict=True) if y == c for w in d) for c in (0, 1)]
-    n0, n1 = (label == 0).sum(), (label == 1).sum()
-
-    def chi2(w: bytes) -> float:
-        a, b = has[1][w], has[0][w]
-        c, d, n = n1 - a, n0 - b, n0 + n1
-        return n * (a * d - b * c) ** 2 / max((a + b) * (c + d) * n1 * n0, 1)
-
-    ranked = sorted(((-chi2(w), w) for w in set(has[0]) | set(has[1]) if has[0][w] + has[1][w] >= LEAST_DOCS))
-    lift = lambda w: abs(np.log((has[1][w] + 0.5) / (n1 + 1)) - np.log((has[0][w] + 0.5) / (n0 + 1)))
-    vocabulary = [w for c, w in ranked if -c >= LEAST_CHI2 and lift(w) >= np.log(LEAST_LIFT)][:FEATURES]
-    index = {w: i for i, w in enumerate(vocabulary)}
-    x = np.zeros((len(docs), len(index)))
-    telling = np.array([has[1][w] * n0 > has[0][w] * n1 for w in vocabulary], bool)
+    # texts as arrays of word numbers and counts: small beside the words themselves
+    number: dict[bytes, int] = {}
+    docs = [np.unique(np.array([number.setdefault(w, len(number)) for w in words(texts[i])], np.int64), return_counts=True) for i in own]
+    name = list(number)
+    has = [np.bincount(np.concatenate([d for (d, _), y in zip(docs, label, strict=True) if y == c]), minlength=len(name)) for c in (0, 1)]
+    n0, n1 = int((label == 0).sum()), int((label == 1).sum())
+    a, b = has[1], has[0]
+    c, d, n = n1 - a, n0 - b, n0 + n1
+    chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n1 * n0, 1)
+    lift = np.abs(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)))
+    fit_for_use = np.flatnonzero((a + b >= LEAST_DOCS) & (chi2 >= LEAST_CHI2) & (lift >= np.log(LEAST_LIFT)))
+    chosen = np.array(sorted(fit_for_use.tolist(), key=lambda i: (-chi2[i], name[i]))[:FEATURES], np.int64)
+    vocabulary = [name[i] for i in chosen]
+    slot = np.full(len(name), -1)
+    slot[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(docs), len(chosen)))
+    telling = a[chosen] * n0 > b[chosen] * n1
     used = np.zeros(len(docs))
-    for r, d in enumerate(docs):
-        for w, n in d.items():
-            if (i := index.get(w)) is not None:
-                x[r, i] = 1 + np.log(n)
-                used[r] += n * telling[i]
+    for r, (found, times) in enumerate(docs):
+        at, times = slot[found], times[slot[found] >= 0]
+        at = at[at >= 0]
+        x[r, at] = 1 + np.log(times)
+        used[r] = (times * telling[at]).sum()
     thirds = np.quantile(used[label == 1], [1 / 3, 2 / 3])
     y = np.where(label == 1, 1 + (used > thirds[0]) + (used > thirds[1]), 0)
     w, cuts = fit_cuts(x, y, GRADES)
