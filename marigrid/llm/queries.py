@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marigrid.llm import ann, chat, decontaminate, html, inputs, jaccard, packing, passages, token_counts, toxicity, urls
+from marigrid.llm import ann, audit, chat, decontaminate, fill_middle, html, inner_products, inputs, jaccard, oracles, packing, passages, token_counts, toxicity, urls
 from marigrid.llm.common import table
 
 
@@ -58,9 +59,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return inner_products.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents")))
+    digest = lambda name: F.sha2(F.col(name), 256).alias(f"{name}_sha256")
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": inputs.CHAT_SQL, "op8_url_filter": inputs.URLS_SQL}
+    own = {"op11_inner_products": oracles.INNER_PRODUCTS, "op12_filter_audit": oracles.FILTER_AUDIT, "op13_fill_middle": oracles.FILL_MIDDLE}
+    return {"op4_chat_format": inputs.CHAT_SQL, "op8_url_filter": inputs.URLS_SQL} | own
