@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from marigrid.params import BBox
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b; null where b is 0, so that one degenerate group costs its own value and not the job."""
+    return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation of two columns over the rows that have both; null where either doesn't vary."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return quotient(F.covar_pop(a, b), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def wrap_longitude(x: Column) -> Column:
     """Degrees from -180 (included) to 180 (excluded)."""
     return F.pmod(x + 180, F.lit(360.0)) - 180
@@ -52,8 +63,8 @@ def clip(x: Column, low: float | None, high: float | None) -> Column:
 
 
 def standardised(x: Column, mean: Column, std: Column) -> Column:
-    """F3."""
-    return (x - mean) / std
+    """F3; null where nothing varies."""
+    return quotient(x - mean, std)
 
 
 def extrapolated(x: Column, low: Column, high: Column, either: bool = False) -> Column:
@@ -73,7 +84,7 @@ def interpolate(x: Column, xs: Column, ys: Column) -> Column:
     below = F.size(F.filter(xs, lambda v: v <= x))
     i = F.least(F.greatest(below - 1, F.lit(0)), n - 2)
     x0, x1, y0, y1 = at(xs, i), at(xs, i + 1), at(ys, i), at(ys, i + 1)
-    return F.when(x <= at(xs, F.lit(0)), at(ys, F.lit(0))).when(x >= at(xs, n - 1), at(ys, n - 1)).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
+    return F.when(x <= at(xs, F.lit(0)), at(ys, F.lit(0))).when(x >= at(xs, n - 1), at(ys, n - 1)).otherwise(y0 + quotient((y1 - y0) * (x - x0), x1 - x0))
 
 
 def identifier(value: Column, names: Sequence[str]) -> Column:
@@ -91,18 +102,18 @@ def short_name(value: Column, removed: Sequence[str], most: int = 80) -> Column:
 
 
 def weibull_acf(lag: Column, scale: Column, shape: Column) -> Column:
-    """R17."""
-    return F.exp(-F.pow(lag / scale, shape))
+    """R17; null for scale 0, as the other curves are where they aren't defined."""
+    return F.exp(-F.pow(quotient(lag, scale), shape))
 
 
 def pareto_acf(lag: Column, scale: Column, shape: Column) -> Column:
     """R17."""
-    return F.pow(1 + shape * lag / scale, -1 / shape)
+    return F.pow(1 + quotient(shape * lag, scale), quotient(F.lit(-1.0), shape))
 
 
 def burr_acf(lag: Column, scale: Column, shape1: Column, shape2: Column, plain: bool = False) -> Column:
     """Burr XII. The stored exponent is -shape2 / shape1; the ``plain`` one is -1 / (shape1 * shape2)."""
-    return F.pow(1 + shape2 * F.pow(lag / scale, shape1), -1 / (shape1 * shape2) if plain else -shape2 / shape1)
+    return F.pow(1 + shape2 * F.pow(quotient(lag, scale), shape1), quotient(F.lit(-1.0), shape1 * shape2) if plain else quotient(-shape2, shape1))
 
 
 def fgn_acf(lag: Column, hurst: Column, plain: bool = False) -> Column:
@@ -112,5 +123,5 @@ def fgn_acf(lag: Column, hurst: Column, plain: bool = False) -> Column:
 
 
 def transformation_curve(rho: Column, b: Column, c: Column) -> Column:
-    """Gaussian correlation that gives a target correlation."""
-    return (F.pow(1 + b * rho, 1 - c) - 1) / (F.pow(1 + b, 1 - c) - 1)
+    """Gaussian correlation that gives a target correlation; null for b 0 or c 1."""
+    return quotient(F.pow(1 + b * rho, 1 - c) - 1, F.pow(1 + b, 1 - c) - 1)

@@ -19,7 +19,9 @@ from marigrid.functions import distributions as dist
 from marigrid.functions.interp import pchip, spline
 from marigrid.functions.optimize import nelder_mead
 from marigrid.functions.scalar import key4
+from marigrid.operators.calendar import centers
 from marigrid.params import Disaggregation
+from marigrid.params import Window as Recurring
 
 #: Gaussian correlations at which targets are computed.
 RHO_Z = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
@@ -44,6 +46,50 @@ def fit_marginals(df: DataFrame, keys: Sequence[str], value: str, family: str) -
     return df.select(*keys, value).groupBy(*keys).applyInPandas(one, f"{_keys_schema(df, keys)}, param string, value double")
 
 
+def window_marginals(df: DataFrame, window: Recurring, keys: Sequence[str], value: str, family: str, time: str = "time", match: str = "instant", hour: int = 0, block: int = 31) -> DataFrame:
+    """2.7 with R15: (keys, center_day, param, value) of the likelihood fits of all 366 annual windows.
+
+    Calendar days go in blocks of ``block`` centers. A task gets the days of one block, with half a window of
+    neighbouring days before and after it, of one key: rows go to two blocks or so and never 31-fold. In it,
+    each window's rows are slices of the years' sorted rows, one for each year. "instant" takes rows at ``hour`` of whole days,
+    "interval" the rows of the closed intervals around the centers. Windows with under three rows have no fit. Null
+    values take no part.
+    """
+    half = window.half
+    # 366 x years rows
+    at = centers(df.sparkSession, window, hour).withColumn("block", F.floor((F.dayofyear(F.to_date(F.concat(F.lit("1980"), "center_day"), "yyyyMMdd")) - 1) / block).cast("int"))
+    days = at.select("block", F.explode(F.sequence(F.to_date("center") - half, F.to_date("center") + half)).alias("__day")).distinct()
+    spans: dict[int, dict[str, list[int]]] = {}
+    for r in at.select("block", "center_day", F.unix_timestamp(F.col("center").cast("timestamp")).alias("s")).orderBy("center_day", "s").collect():
+        spans.setdefault(r.block, {}).setdefault(r.center_day, []).append(r.s)
+    rows = df.dropna(subset=[value]).select(*keys, F.col(time).cast("timestamp_ntz").alias("__t"), F.col(value).cast("double").alias("__v"))
+    if match == "instant":
+        rows = rows.filter(F.col("__t") == F.date_trunc("day", "__t").cast("timestamp_ntz") + F.expr(f"INTERVAL {hour} HOURS"))
+    near = rows.withColumn("__day", F.to_date("__t")).join(F.broadcast(days), "__day").select(*keys, F.col("block").alias("__block"), F.unix_timestamp(F.col("__t").cast("timestamp")).alias("__s"), "__v")
+
+    def one(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values(["__s", "__v"])
+        s, v = held["__s"].to_numpy(), held["__v"].to_numpy()
+        out = []
+        for center_day, middles in spans[key[-1]].items():
+            m = np.array(middles)
+            cuts = zip(np.searchsorted(s, m - half * 86400, "left"), np.searchsorted(s, m + half * 86400, "right"), strict=True)
+            # each row once, where windows of neighbouring years overlap
+            taken, x = 0, []
+            for a, b in cuts:
+                x.append(v[max(a, taken) : b])
+                taken = max(taken, b)
+            x = np.concatenate(x)
+            if len(x) > 2:
+                out += [(*key[:-1], center_day, k, float(f)) for k, f in dist.fit(family, x).items()]
+        return pd.DataFrame(out, columns=[*keys, "center_day", "param", "value"])
+
+    # few bytes but much work: as many tasks as the session has for a shuffle, which AQE doesn't merge by size
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = ", ".join(filter(None, [_keys_schema(df, keys), "center_day string, param string, value double"]))
+    return near.repartition(tasks, *keys, "__block").groupBy(*keys, "__block").applyInPandas(one, kinds)
+
+
 #: Parameters of the correlation curves by family, and the curves.
 ACF_PARAMETERS = {"weibull": ("scale", "shape"), "paretoII": ("scale", "shape"), "burrXII": ("scale", "shape1", "shape2")}
 _CURVES = {

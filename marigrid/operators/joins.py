@@ -39,22 +39,39 @@ def lookup_exact(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFr
     return left.join(right, on, "left").drop(*(f"__{c}{i}" for i in range(len(keys)) for c in "kl"))
 
 
-def nearest(queries: DataFrame, table: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
+def bucket(edges: Column, at: Column) -> Column:
+    """The number of edges under a value: equal values share a bucket; without edges it is 0."""
+    return F.coalesce(F.size(F.filter(edges, lambda e: e < at)), F.lit(0))
+
+
+def nearest(queries: DataFrame, table: DataFrame, keys: Sequence[str], at: str, value: str, carry: Sequence[str] = (), buckets: int = 32) -> DataFrame:
     """Queries with ``nearest``, the closest ``value`` of the table with the same keys; ties go to the lower.
 
-    Both sides are laid out in order once and each query takes the last value before and the first after it, so
-    the work doesn't grow with their product.
+    ``carry`` names columns of the table that come with the value (of rows with one value the greatest), so that nothing
+    has to be joined on a float again. Order has two levels: quantiles of each key's values (a sketch) cut them into
+    ``buckets``, which sort in tasks of their own, and each bucket's least and greatest values pass on to the buckets
+    beside it, also over empty ones. So few keys still use many tasks, and the work doesn't grow with the product of the
+    sides. Keys that the table lacks give nulls.
     """
     extra = [c for c in queries.columns if c not in (*keys, at)]
-    rows = queries.select(*keys, F.col(at).alias("__at"), F.lit(None).cast("double").alias("__v"), F.struct(*extra).alias("__q"), F.lit(1).alias("__kind"))
-    points = table.select(*keys, F.col(value).cast("double").alias("__at")).distinct().select(*keys, "__at", F.col("__at").alias("__v"), F.lit(None).alias("__q"), F.lit(0).alias("__kind"))
-    w = Window.partitionBy(*keys).orderBy("__at", "__kind")
-    low = F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    back = Window.partitionBy(*keys).orderBy(F.desc("__at"), F.desc("__kind"))
-    high = F.last("__v", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    both = rows.unionByName(points).withColumn("__low", low).withColumn("__high", high).filter("__kind = 1")
-    pick = F.when(F.col("__high").isNull() | (F.col("__at") - F.col("__low") <= F.col("__high") - F.col("__at")), F.col("__low")).otherwise(F.col("__high"))
-    return both.select(*keys, F.col("__at").alias(at), *(F.col(f"__q.{c}").alias(c) for c in extra), pick.alias("nearest"))
+    point = F.struct("__at", *carry)
+    points = table.groupBy(*keys, F.col(value).cast("double").alias("__at")).agg(*(F.max(c).alias(c) for c in carry), F.lit(0).alias("__kind")).dropna(subset=["__at"])
+    edges = points.groupBy(*keys).agg(F.percentile_approx("__at", [i / buckets for i in range(1, buckets)], 1000).alias("__edges"))
+    rows = queries.select(*keys, F.col(at).cast("double").alias("__at"), F.struct(F.col(at).alias("__own"), *extra).alias("__q"), F.lit(1).alias("__kind"))
+    both = rows.unionByName(points.select(*keys, "__at", point.alias("__p"), "__kind"), allowMissingColumns=True)
+    both = both.join(edges, list(keys), "left").withColumn("__bucket", bucket(F.col("__edges"), F.col("__at"))).drop("__edges")
+    # a row for each key and bucket
+    reach = both.groupBy(*keys, "__bucket").agg(F.min("__p").alias("__least"), F.max("__p").alias("__most"))
+    order = Window.partitionBy(*keys).orderBy("__bucket")
+    reach = reach.select(*keys, "__bucket", F.last("__most", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.last("__least", True).over(Window.partitionBy(*keys).orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)).alias("__after"))
+    both = both.join(reach, [*keys, "__bucket"])
+    w, back = Window.partitionBy(*keys, "__bucket").orderBy("__at", "__kind"), Window.partitionBy(*keys, "__bucket").orderBy(F.desc("__at"), F.desc("__kind"))
+    upto = lambda v: F.last("__p", ignorenulls=True).over(v.rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumns({"__low": F.coalesce(upto(w), "__before"), "__high": F.coalesce(upto(back), "__after")}).filter("__kind = 1")
+    low, high = F.col("__low.__at"), F.col("__high.__at")
+    pick = F.when(high.isNull() | (F.col("__at") - low <= high - F.col("__at")), F.col("__low")).otherwise(F.col("__high"))
+    found = found.withColumn("__pick", pick)
+    return found.select(*keys, F.col("__q.__own").alias(at), *(F.col(f"__q.{c}").alias(c) for c in extra), F.col("__pick.__at").alias("nearest"), *(F.col(f"__pick.{c}").alias(c) for c in carry))
 
 
 def binned(points: DataFrame, x: str, y: str, boxes: DataFrame, width: float, inside: Column) -> DataFrame:

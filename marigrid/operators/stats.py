@@ -1,15 +1,21 @@
-"""Distributions, regressions and goodness of fit as grouped aggregates."""
+"""Distributions, regressions and goodness of fit as grouped aggregates.
+
+A value that a group doesn't define (a ratio over 0, too few rows, collinear regressors) is null; the group's
+other values and all other groups stay.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marigrid.functions.distributions import f_sf
+from marigrid.functions.scalar import correlation, quotient
 
 #: Probabilities of the quantile tables.
 QUANTILES = [round(i / 100, 2) for i in range(1, 99)] + [0.999, 0.9999, 0.99999, 1.0]
@@ -40,8 +46,8 @@ def ols(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def f_statistic(r2: Column, n: Column) -> Column:
-    """For one regressor."""
-    return r2 / (1 - r2) * (n - 2)
+    """For one regressor; null for a perfect fit."""
+    return quotient(r2, 1 - r2) * (n - 2)
 
 
 def f_p_value(f: Column, d1: Column, d2: Column) -> Column:
@@ -49,7 +55,10 @@ def f_p_value(f: Column, d1: Column, d2: Column) -> Column:
 
     @F.pandas_udf("double")
     def tail(f, d1, d2):
-        return pd.Series([None if pd.isna(v) or b <= 0 else f_sf(v, a, b) for v, a, b in zip(f, d1, d2, strict=True)], dtype="float64")
+        known = (f.notna() & d1.notna() & d2.notna() & (d2 > 0)).to_numpy()
+        out = np.full(len(f), np.nan)
+        out[known] = f_sf(*(v.to_numpy()[known] for v in (f, d1, d2)))
+        return pd.Series(out).where(known)
 
     return tail(f.cast("double"), d1.cast("double"), d2.cast("double"))
 
@@ -60,8 +69,8 @@ def ols3(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str) -> DataF
     The moments come from one grouped pass; 3 by 3 systems of correlations are solved in closed form.
     """
     rows = df.dropna(subset=[*xs, y]).groupBy(*keys).agg(
-        *(F.corr(p, q).alias(f"r_{i}{j}") for i, p in enumerate(xs) for j, q in enumerate(xs) if i < j),
-        *(F.corr(p, y).alias(f"r_{i}y") for i, p in enumerate(xs)),
+        *(correlation(p, q).alias(f"r_{i}{j}") for i, p in enumerate(xs) for j, q in enumerate(xs) if i < j),
+        *(correlation(p, y).alias(f"r_{i}y") for i, p in enumerate(xs)),
         *(F.avg(p).alias(f"z_mean_{p}") for p in xs), *(F.stddev_pop(p).alias(f"z_std_{p}") for p in xs),
         *(F.min(p).alias(f"min_{p}") for p in xs), *(F.max(p).alias(f"max_{p}") for p in xs),
         F.avg(y).alias("b"), F.stddev_pop(y).alias("__sy"), F.count(F.lit(1)).alias("n"),
@@ -70,10 +79,14 @@ def ols3(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str) -> DataF
 
 
 def solved3(rows: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
-    """The regression of ``ols3`` from correlations (r_01, r_02, r_12, r_0y, r_1y, r_2y) and moments."""
+    """The regression of ``ols3`` from correlations (r_01, r_02, r_12, r_0y, r_1y, r_2y) and moments.
+
+    Regressors that are collinear (a determinant under 1e-12) or don't vary have null slopes and r2.
+    """
     a, b, c = xs
     r01, r02, r12, y0, y1, y2 = (F.col(n) for n in ("r_01", "r_02", "r_12", "r_0y", "r_1y", "r_2y"))
     det = 1 + 2 * r01 * r02 * r12 - r01 * r01 - r02 * r02 - r12 * r12
+    det = F.when(det > 1e-12, det)
     s0 = (y0 * (1 - r12 * r12) + y1 * (r02 * r12 - r01) + y2 * (r01 * r12 - r02)) / det
     s1 = (y0 * (r02 * r12 - r01) + y1 * (1 - r02 * r02) + y2 * (r01 * r02 - r12)) / det
     s2 = (y0 * (r01 * r12 - r02) + y1 * (r01 * r02 - r12) + y2 * (1 - r01 * r01)) / det
@@ -87,31 +100,34 @@ def fit_metrics(df: DataFrame, keys: Sequence[str], sim: str, obs: str) -> DataF
     w = Window.partitionBy(*keys)
     s, o = F.col(sim), F.col(obs)
     # average ranks, as ties share them
-    tied = lambda c: F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(w.partitionBy(*keys, c)) - 1) / 2
+    tied = lambda c: F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(w.orderBy(c).rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
     rows = df.dropna(subset=[sim, obs]).withColumns({"__rs": tied(sim), "__ro": tied(obs), "__mo": F.avg(obs).over(w), "__ms": F.avg(sim).over(w)})
     m = F.col("__mo")
-    cv = lambda c: F.stddev_pop(c) / F.avg(c)
+    cv = lambda c: quotient(F.stddev_pop(c), F.avg(c))
+    r = correlation(sim, obs)
     square = F.sum((s - o) ** 2)
     around = F.abs(s - m) + F.abs(o - m)
-    kge = lambda spread: 1 - F.sqrt((F.corr(sim, obs) - 1) ** 2 + (spread - 1) ** 2 + (F.avg(sim) / F.avg(obs) - 1) ** 2)
+    kge = lambda spread: 1 - F.sqrt((r - 1) ** 2 + (spread - 1) ** 2 + (quotient(F.avg(sim), F.avg(obs)) - 1) ** 2)
+    # a sum with a term that isn't defined isn't either
+    total = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
     return rows.groupBy(*keys).agg(
         F.sqrt(F.avg((s - o) ** 2)).alias("rmse"), F.avg((s - o) ** 2).alias("mse"), F.avg(F.abs(s - o)).alias("mae"), F.sqrt(square).alias("ed"),
-        F.sqrt(F.sum((o / m - s / F.col("__ms")) ** 2)).alias("ned"), (F.corr(sim, obs) ** 2).alias("r2"), F.corr(sim, obs).alias("pearson"), F.corr("__rs", "__ro").alias("spearman"),
-        (1 - square / F.sum((o - m) ** 2)).alias("nse"), (1 - F.sum(F.abs(s - o)) / F.sum(F.abs(o - m))).alias("nse_mod"),
-        (1 - F.sum(((s - o) / o) ** 2) / F.sum(((o - m) / m) ** 2)).alias("nse_rel"),
-        kge(F.stddev_pop(sim) / F.stddev_pop(obs)).alias("kge_2009"), kge(cv(sim) / cv(obs)).alias("kge_2012"),
-        (F.sum((s / o - 1) ** 2) / F.count(F.lit(1))).alias("relative_mse"), F.count(F.lit(1)).alias("n"),
+        F.sqrt(total((quotient(o, m) - quotient(s, F.col("__ms"))) ** 2)).alias("ned"), (r**2).alias("r2"), r.alias("pearson"), correlation("__rs", "__ro").alias("spearman"),
+        (1 - quotient(square, F.sum((o - m) ** 2))).alias("nse"), (1 - quotient(F.sum(F.abs(s - o)), F.sum(F.abs(o - m)))).alias("nse_mod"),
+        (1 - quotient(total(quotient(s - o, o) ** 2), total(quotient(o - m, m) ** 2))).alias("nse_rel"),
+        kge(quotient(F.stddev_pop(sim), F.stddev_pop(obs))).alias("kge_2009"), kge(quotient(cv(sim), cv(obs))).alias("kge_2012"),
+        (total((quotient(s, o) - 1) ** 2) / F.count(F.lit(1))).alias("relative_mse"), F.count(F.lit(1)).alias("n"),
     )
 
 
 def l_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """L-moments l1 to l4 from rank-weighted sums."""
+    """L-moments l1 to l4 from rank-weighted sums; the k-th is null for fewer than k rows."""
     w = Window.partitionBy(*keys)
     rows = df.dropna(subset=[value]).withColumn("__i", F.row_number().over(w.orderBy(value)).cast("double")).withColumn("__n", F.count(F.lit(1)).over(w).cast("double"))
     i, n, v = F.col("__i"), F.col("__n"), F.col(value)
     b = rows.groupBy(*keys).agg(
-        F.avg(v).alias("b0"), F.avg((i - 1) / (n - 1) * v).alias("b1"), F.avg((i - 1) * (i - 2) / ((n - 1) * (n - 2)) * v).alias("b2"),
-        F.avg((i - 1) * (i - 2) * (i - 3) / ((n - 1) * (n - 2) * (n - 3)) * v).alias("b3"), F.count(F.lit(1)).alias("n"),
+        F.avg(v).alias("b0"), F.avg(quotient(i - 1, n - 1) * v).alias("b1"), F.avg(quotient((i - 1) * (i - 2), (n - 1) * (n - 2)) * v).alias("b2"),
+        F.avg(quotient((i - 1) * (i - 2) * (i - 3), (n - 1) * (n - 2) * (n - 3)) * v).alias("b3"), F.count(F.lit(1)).alias("n"),
     )
     b0, b1, b2, b3 = (F.col(f"b{k}") for k in range(4))
     return b.select(*keys, b0.alias("l1"), (2 * b1 - b0).alias("l2"), (6 * b2 - 6 * b1 + b0).alias("l3"), (20 * b3 - 30 * b2 + 12 * b1 - b0).alias("l4"), "n")
@@ -120,7 +136,7 @@ def l_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def dispersion(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
     """From sites' L-moments, their averages and ratios weighted by n, and V, the weighted spread of l2 / l1."""
     n = F.col("n")
-    rows = moments.withColumns({"__t1": F.col("l2") / F.col("l1"), "__t3": F.col("l3") / F.col("l2"), "__t4": F.col("l4") / F.col("l2")})
+    rows = moments.withColumns({"__t1": quotient(F.col("l2"), F.col("l1")), "__t3": quotient(F.col("l3"), F.col("l2")), "__t4": quotient(F.col("l4"), F.col("l2"))})
     mean = lambda c: F.sum(F.col(c) * n) / F.sum(n)
     means = rows.groupBy(*keys).agg(mean("l1").alias("l1"), mean("l2").alias("l2"), mean("__t1").alias("t1"), mean("__t3").alias("t3"), mean("__t4").alias("t4"), F.sum(n).alias("n"))
     around = rows.select(*keys, "__t1", F.col("n").alias("__n")).join(means.select(*keys, F.col("t1").alias("__m")), list(keys))

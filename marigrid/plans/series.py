@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from marigrid.functions.scalar import burr_acf, fgn_acf, interpolate, pareto_acf, stress, transformation_curve, weibull_acf
 from marigrid.operators import acf, disagg, grid, resample, stats, windows
-from marigrid.operators.joins import lookup_by_month_day, nearest
+from marigrid.operators.joins import lookup_by_month_day
 from marigrid.params import Compat, Window
-from marigrid.plans import water
+from marigrid.plans import chain, water
 from marigrid.plans.registry import Tables, query, rounded
 
 YEARS = Window(1996, 2000, 30)
@@ -48,10 +48,11 @@ def sum_by_time(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(F.col("l_shipdate").alias("time")).agg(F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
-@query("baseline_median", "WITH s AS (SELECT priority, year(time) AS year, avg(value) AS value FROM daily GROUP BY ALL), m AS (SELECT priority, quantile_cont(value, 0.5) AS m FROM s WHERE year BETWEEN 1997 AND 1999 GROUP BY 1) SELECT priority, year, round(CASE WHEN year >= 1997 THEN m ELSE value END, 4) AS value FROM s JOIN m USING (priority)", "daily")
+@query("baseline_median", "WITH s AS (SELECT priority, year(time) + CASE WHEN priority = '5-LOW' THEN 10 ELSE 0 END AS year, avg(value) AS value FROM daily GROUP BY ALL), m AS (SELECT priority, min(year) AS y0, quantile_cont(value, 0.5) FILTER (year BETWEEN 1997 AND 1999) AS m FROM s GROUP BY 1) SELECT priority, year, round(CASE WHEN y0 >= 1999 THEN 0 WHEN year >= 1999 THEN m ELSE value END, 4) AS value FROM s JOIN m USING (priority)", "daily")
 def baseline_median(t: Tables) -> DataFrame:
-    """A9."""
-    s = t.daily.groupBy("priority", F.year("time").cast("long").alias("year")).agg(F.avg("value").alias("value"))
+    """A9. One priority's years are moved past the baseline, to show the branch without one."""
+    year = F.year("time").cast("long") + F.when(F.col("priority") == "5-LOW", 10).otherwise(0)
+    s = t.daily.groupBy("priority", year.alias("year")).agg(F.avg("value").alias("value"))
     return rounded(water.baseline_kept(s, ["priority"], 1997, 1999), 4, "value").select("priority", "year", "value")
 
 
@@ -76,42 +77,41 @@ def model_mean(t: Tables) -> DataFrame:
     return models.groupBy("x", "y").agg(F.round(F.avg("m"), 4).alias("value"))
 
 
-QUANTILES = "SELECT status, x, y, unnest(range(102)) AS level, unnest(quantile_cont(value, [i / 100.0 FOR i IN range(1, 99)] || [0.999, 0.9999, 0.99999, 1.0])) AS q FROM daily WHERE status IN ('F', 'O') GROUP BY status, x, y"
+QUANTILES = "SELECT status, x, y, unnest(range(102)) AS level, unnest(quantile_cont(value, [i / 100.0 FOR i IN range(1, 99)] || [0.999, 0.9999, 0.99999, 1.0])) AS q FROM daily GROUP BY status, x, y"
 
 
 @query("quantile_table", f"SELECT status, x, y, level, round(q, 7) AS q FROM ({QUANTILES})", "daily")
 def quantile_table(t: Tables) -> DataFrame:
     """A11."""
-    rows = t.daily.filter("status IN ('F', 'O')")
-    return rounded(stats.quantile_table(rows, ["status", "x", "y"], "value").select("status", "x", "y", F.col("level").cast("long").alias("level"), "q"), 7, "q")
+    return rounded(stats.quantile_table(t.daily, ["status", "x", "y"], "value").select("status", "x", "y", F.col("level").cast("long").alias("level"), "q"), 7, "q")
 
 
 @query(
     "probability_ratio",
     f"""
 WITH q AS (SELECT *, ([i / 100.0 FOR i IN range(1, 99)] || [0.999, 0.9999, 0.99999, 1.0])[level + 1]::DOUBLE AS pct FROM ({QUANTILES})),
-o AS (SELECT x, y, q, pct, lead(q) OVER w AS q1, lead(pct) OVER w AS pct1, first_value(q) OVER (PARTITION BY x, y ORDER BY level) AS low, last_value(q) OVER (PARTITION BY x, y ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS high
-      FROM q WHERE status = 'O' WINDOW w AS (PARTITION BY x, y ORDER BY level)),
-b AS (SELECT n.x, n.y, n.level, n.pct, CASE WHEN n.q <= max(o.low) THEN 0.01 WHEN n.q >= max(o.high) THEN 1.0 ELSE max(o.pct + (o.pct1 - o.pct) * (n.q - o.q) / (o.q1 - o.q)) FILTER (o.q <= n.q AND o.q1 > n.q) END AS p1
-      FROM q n JOIN o ON n.x = o.x AND n.y = o.y WHERE n.status = 'F' GROUP BY n.x, n.y, n.level, n.pct, n.q)
-SELECT x, y, level, round(p1 / pct, 5) AS ratio, round(1 - pct / p1, 5) + 0.0 AS far FROM b
+o AS (SELECT status, x, y, q, pct, lead(q) OVER w AS q1, lead(pct) OVER w AS pct1, first_value(q) OVER (PARTITION BY status, x, y ORDER BY level) AS low, last_value(q) OVER (PARTITION BY status, x, y ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS high
+      FROM q WHERE status <> 'F' WINDOW w AS (PARTITION BY status, x, y ORDER BY level)),
+b AS (SELECT o.status, n.x, n.y, n.level, n.pct, CASE WHEN n.q <= max(o.low) THEN 0.01 WHEN n.q >= max(o.high) THEN 1.0 ELSE max(o.pct + (o.pct1 - o.pct) * (n.q - o.q) / (o.q1 - o.q)) FILTER (o.q <= n.q AND o.q1 > n.q) END AS p1
+      FROM q n JOIN o ON n.x = o.x AND n.y = o.y WHERE n.status = 'F' GROUP BY o.status, n.x, n.y, n.level, n.pct, n.q)
+SELECT status, x, y, level, round(p1 / pct, 5) AS ratio, round(1 - pct / p1, 5) + 0.0 AS far FROM b
 """,
     "daily",
 )
 def probability_ratio(t: Tables) -> DataFrame:
-    """A11, F8, J2, R32."""
-    q = stats.quantile_table(t.daily.filter("status IN ('F', 'O')"), ["status", "x", "y"], "value")
-    out = water.probability_ratio(q.filter("status = 'F'").drop("status"), q.filter("status = 'O'").drop("status"), ["x", "y"])
-    out = rounded(out.select("x", "y", F.col("level").cast("long").alias("level"), "ratio", "far"), 5, "ratio", "far")
+    """The other statuses against F."""
+    q = stats.quantile_table(t.daily, ["status", "x", "y"], "value")
+    out = water.probability_ratio(q.filter("status = 'F'").drop("status"), q.filter("status <> 'F'"), ["x", "y"], ["status"])
+    out = rounded(out.select("status", "x", "y", F.col("level").cast("long").alias("level"), "ratio", "far"), 5, "ratio", "far")
     return out.withColumn("far", F.col("far") + 0.0)
 
 
-@query("percent_change", f"WITH q AS ({QUANTILES}) SELECT o.x, o.y, o.level, round(100 * (o.q - f.q) / f.q, 5) AS change FROM q o JOIN q f ON o.x = f.x AND o.y = f.y AND o.level = f.level WHERE o.status = 'O' AND f.status = 'F'", "daily")
+@query("percent_change", f"WITH q AS ({QUANTILES}) SELECT o.status, o.x, o.y, o.level, round(100 * (o.q - f.q) / f.q, 5) AS change FROM q o JOIN q f ON o.x = f.x AND o.y = f.y AND o.level = f.level WHERE o.status <> 'F' AND f.status = 'F'", "daily")
 def percent_change(t: Tables) -> DataFrame:
-    """R33."""
-    q = stats.quantile_table(t.daily.filter("status IN ('F', 'O')"), ["status", "x", "y"], "value")
-    out = water.percent_change(q.filter("status = 'O'"), q.filter("status = 'F'"), ["x", "y"])
-    return rounded(out.select("x", "y", F.col("level").cast("long").alias("level"), "change"), 5, "change")
+    """The other statuses against F."""
+    q = stats.quantile_table(t.daily, ["status", "x", "y"], "value")
+    out = water.percent_change(q.filter("status <> 'F'"), q.filter("status = 'F'"), ["x", "y"])
+    return rounded(out.select("status", "x", "y", F.col("level").cast("long").alias("level"), "change"), 5, "change")
 
 
 ROLL = "SELECT user_id AS stn, date_trunc('day', ts) AS time, avg(value) AS value FROM events GROUP BY 1, 2"
@@ -240,6 +240,27 @@ def window_ols3(t: Tables) -> DataFrame:
     return rounded(rounded(rounded(rounded(out, 3, *slopes), 2, "b_times_n"), 6, "r2", "z_mean_l_quantity"), 8, "z_std_l_tax")
 
 
+@query(
+    "window_acf",
+    f"""
+WITH {CENTERS},
+s AS (SELECT status, time, sum(value) AS v FROM daily GROUP BY ALL),
+p AS (SELECT DISTINCT status, center_day, time, v FROM s JOIN c ON time BETWEEN center - INTERVAL 15 DAY AND center + INTERVAL 15 DAY),
+g AS (SELECT *, row_number() OVER w AS i, lead(time) OVER w AS nxt, coalesce(time - lag(time) OVER w > INTERVAL 48 HOUR, false) AS new FROM p WINDOW w AS (PARTITION BY status, center_day ORDER BY time)),
+h AS (SELECT *, sum(new::INT) OVER (PARTITION BY status, center_day ORDER BY time) AS seg FROM g),
+e AS (SELECT status, center_day, seg, v, row_number() OVER (PARTITION BY status, center_day, seg ORDER BY time) AS j FROM h WHERE i > 1 AND (nxt IS NULL OR nxt - time <= INTERVAL 48 HOUR)),
+r AS (SELECT a.status, a.center_day, b.j - a.j AS lag, corr(a.v, b.v) AS acf, count(*) AS pairs FROM e a JOIN e b ON a.status = b.status AND a.center_day = b.center_day AND a.seg = b.seg AND b.j > a.j AND b.j <= a.j + 6 GROUP BY ALL)
+SELECT status, center_day, lag, round(acf, 6) AS acf, pairs FROM r WHERE acf IS NOT NULL AND NOT isnan(acf) QUALIFY max((acf < 0)::INT) OVER (PARTITION BY status, center_day ORDER BY lag) = 0
+""",
+    "daily",
+)
+def window_acf(t: Tables) -> DataFrame:
+    """2.7 with R18: empirical autocorrelation in all annual windows, from moments by day and lag."""
+    days = t.daily.groupBy("status", "time").agg(F.sum("value").alias("value"))
+    out = acf.window_acf(days, YEARS, ["status"], ["status"], "value", 6)
+    return out.select("status", "center_day", F.col("lag").cast("long").alias("lag"), F.round("acf", 6).alias("acf"), "pairs")
+
+
 @query("window_interval", f"WITH {CENTERS}, s AS (SELECT ROW_NUMBER() OVER () AS id, time + INTERVAL 12 HOUR AS time, value FROM daily) SELECT center_day, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT DISTINCT center_day, id, value FROM s JOIN c ON time BETWEEN center - INTERVAL 15 DAY AND center + INTERVAL 15 DAY) GROUP BY 1", "daily")
 def window_interval(t: Tables) -> DataFrame:
     """2.7, closed intervals, each row once."""
@@ -304,7 +325,7 @@ def ols_three(t: Tables) -> DataFrame:
     """
 WITH s AS (SELECT l_suppkey AS k, l_quantity * 1500 AS s, l_extendedprice AS o FROM lineitem),
 r AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY s) + (count(*) OVER (PARTITION BY k, s) - 1) / 2 AS rs, rank() OVER (PARTITION BY k ORDER BY o) + (count(*) OVER (PARTITION BY k, o) - 1) / 2 AS ro, avg(o) OVER (PARTITION BY k) AS m, avg(s) OVER (PARTITION BY k) AS ms FROM s)
-SELECT k AS l_suppkey, round(sqrt(avg((s - o) ** 2)), 3) AS rmse, round(avg(abs(s - o)), 3) AS mae, round(sqrt(sum((o / m - s / ms) ** 2)), 6) AS ned, round(corr(s, o), 8) AS pearson, round(corr(rs, ro), 8) AS spearman,
+SELECT k AS l_suppkey, round(sqrt(avg((s - o) ** 2)), 3) AS rmse, round(avg((s - o) ** 2) / 1e6, 6) AS mse, round(sqrt(sum((s - o) ** 2)), 3) AS ed, round(corr(s, o) ** 2, 8) AS r2, round(avg(abs(s - o)), 3) AS mae, round(sqrt(sum((o / m - s / ms) ** 2)), 6) AS ned, round(corr(s, o), 8) AS pearson, round(corr(rs, ro), 8) AS spearman,
   round(1 - sum((s - o) ** 2) / sum((o - m) ** 2), 6) AS nse, round(1 - sum(abs(s - o)) / sum(abs(o - m)), 6) AS nse_mod, round(1 - sum(((s - o) / o) ** 2) / sum(((o - m) / m) ** 2), 6) AS nse_rel,
   round(1 - sqrt((corr(s, o) - 1) ** 2 + (stddev_pop(s) / stddev_pop(o) - 1) ** 2 + (avg(s) / avg(o) - 1) ** 2), 6) AS kge_2009,
   round(1 - sqrt((corr(s, o) - 1) ** 2 + ((stddev_pop(s) / avg(s)) / (stddev_pop(o) / avg(o)) - 1) ** 2 + (avg(s) / avg(o) - 1) ** 2), 6) AS kge_2012, round(sum((s / o - 1) ** 2) / count(*), 6) AS relative_mse, count(*) AS n
@@ -314,9 +335,9 @@ FROM r GROUP BY 1
 def fit_metrics(t: Tables) -> DataFrame:
     """R4, R5."""
     rows = t.lineitem.select("l_suppkey", (F.col("l_quantity") * 1500).alias("sim"), F.col("l_extendedprice").alias("obs"))
-    out = stats.fit_metrics(rows, ["l_suppkey"], "sim", "obs").drop("mse", "ed", "r2")
-    out = rounded(out, 8, "pearson", "spearman")
-    return rounded(rounded(out, 6, "ned", "nse", "nse_mod", "nse_rel", "kge_2009", "kge_2012", "relative_mse"), 3, "rmse", "mae")
+    out = stats.fit_metrics(rows, ["l_suppkey"], "sim", "obs").withColumn("mse", F.col("mse") / 1e6)
+    out = rounded(out, 8, "pearson", "spearman", "r2")
+    return rounded(rounded(out, 6, "mse", "ned", "nse", "nse_mod", "nse_rel", "kge_2009", "kge_2012", "relative_mse"), 3, "rmse", "mae", "ed")
 
 
 @query("l_moments", "WITH r AS (SELECT x, y, value AS v, row_number() OVER (PARTITION BY x, y ORDER BY value) AS i, count(*) OVER (PARTITION BY x, y) AS n FROM daily), b AS (SELECT x, y, avg(v) AS b0, avg((i - 1) / (n - 1) * v) AS b1, avg((i - 1) * (i - 2) / ((n - 1) * (n - 2)) * v) AS b2, avg((i - 1) * (i - 2) * (i - 3) / ((n - 1) * (n - 2) * (n - 3)) * v) AS b3, count(*) AS n FROM r GROUP BY ALL) SELECT x, y, round(b0, 3) AS l1, round(2 * b1 - b0, 3) AS l2, round(6 * b2 - 6 * b1 + b0, 3) AS l3, round(20 * b3 - 30 * b2 + 12 * b1 - b0, 3) AS l4, n FROM b", "daily")
@@ -326,7 +347,7 @@ def l_moments(t: Tables) -> DataFrame:
 
 
 @query("l_moment_dispersion", """
-WITH r AS (SELECT status, x, y, value AS v, row_number() OVER (PARTITION BY status, x, y ORDER BY value) AS i, count(*) OVER (PARTITION BY status, x, y) AS n FROM daily WHERE status <> 'P'),
+WITH r AS (SELECT status, x, y, value AS v, row_number() OVER (PARTITION BY status, x, y ORDER BY value) AS i, count(*) OVER (PARTITION BY status, x, y) AS n FROM daily),
 b AS (SELECT status, x, y, avg(v) AS b0, avg((i - 1) / (n - 1) * v) AS b1, avg((i - 1) * (i - 2) / ((n - 1) * (n - 2)) * v) AS b2, avg((i - 1) * (i - 2) * (i - 3) / ((n - 1) * (n - 2) * (n - 3)) * v) AS b3, count(*) AS n FROM r GROUP BY ALL),
 l AS (SELECT status, b0 AS l1, 2 * b1 - b0 AS l2, (2 * b1 - b0) / b0 AS t1, (6 * b2 - 6 * b1 + b0) / (2 * b1 - b0) AS t3, (20 * b3 - 30 * b2 + 12 * b1 - b0) / (2 * b1 - b0) AS t4, n FROM b),
 m AS (SELECT *, sum(t1 * n) OVER (PARTITION BY status) / sum(n) OVER (PARTITION BY status) AS a FROM l)
@@ -334,20 +355,20 @@ SELECT status, round(sum(l1 * n) / sum(n), 2) AS l1, round(sum(l2 * n) / sum(n),
 """, "daily")
 def l_moment_dispersion(t: Tables) -> DataFrame:
     """Sites pooled by weight, and their spread."""
-    sites = stats.l_moments(t.daily.filter("status <> 'P'"), ["status", "x", "y"], "value")
+    sites = stats.l_moments(t.daily, ["status", "x", "y"], "value")
     out = rounded(rounded(stats.dispersion(sites, ["status"]), 2, "l1"), 3, "l2")
     return rounded(rounded(out, 8, "t1", "t3", "t4"), 10, "v")
 
 
 DOY = """
-s AS (SELECT x, y, date_trunc('day', time) AS time, avg(value) AS v, status FROM daily WHERE status IN ('F', 'O') GROUP BY ALL),
+s AS (SELECT x, y, date_trunc('day', time) AS time, avg(value) AS v, status FROM daily GROUP BY ALL),
 r AS (SELECT status, x, y, dayofyear(time) AS doy, count(v) OVER w AS n, sum(v) OVER w AS s, sum(v * v) OVER w AS q FROM s WINDOW w AS (PARTITION BY status, x, y ORDER BY time ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)),
 p AS (SELECT status, x, y, doy, sum(s) / sum(n) AS mean, sqrt(greatest(sum(q) / sum(n) - (sum(s) / sum(n)) ** 2, 0)) AS std FROM r GROUP BY ALL)
 """
 
 
 def _doy(t: Tables) -> tuple[DataFrame, DataFrame]:
-    days = resample.to_step(t.daily.filter("status IN ('F', 'O')"), ["status", "x", "y"], ["value"])
+    days = resample.to_step(t.daily, ["status", "x", "y"], ["value"])
     return days, water.day_of_year_stats(days, ["status", "x", "y"], ["value"])
 
 
@@ -369,13 +390,13 @@ def doy_spatial_stats(t: Tables) -> DataFrame:
     return rounded(rounded(out.select("x", "y", F.col("dayofyear").cast("long").alias("dayofyear"), F.col("value_n").alias("n"), total, F.col("value_std").alias("std")), 2, "total"), 3, "std")
 
 
-@query("bias_correct", f"WITH {DOY} SELECT s.x, s.y, s.time, round((v - (h.mean - o.mean)) / (h.std / o.std), 1) AS corrected FROM s JOIN p h ON h.status = 'F' AND h.x = s.x AND h.y = s.y AND h.doy = dayofyear(s.time) JOIN p o ON o.status = 'O' AND o.x = s.x AND o.y = s.y AND o.doy = h.doy WHERE s.status = 'F'", "daily")
+@query("bias_correct", f"WITH {DOY} SELECT s.status, s.x, s.y, s.time, round((v - (h.mean - o.mean)) / nullif(h.std / nullif(o.std, 0), 0), 1) AS corrected FROM s JOIN p h ON h.status = s.status AND h.x = s.x AND h.y = s.y AND h.doy = dayofyear(s.time) JOIN p o ON o.status = 'O' AND o.x = s.x AND o.y = s.y AND o.doy = h.doy WHERE s.status <> 'O'", "daily")
 def bias_correct(t: Tables) -> DataFrame:
-    """R11, J4."""
+    """The other statuses towards O."""
     days, st = _doy(t)
-    pick = lambda s: st.filter(F.col("status") == s).drop("status")
-    out = water.bias_corrected(days.filter("status = 'F'").drop("status"), pick("F"), pick("O"), ["x", "y"], ["value"])
-    return out.select("x", "y", "time", F.round("value_corrected", 1).alias("corrected"))
+    seen = st.filter("status = 'O'").withColumn("status", F.explode(F.array(F.lit("F"), F.lit("P"))))
+    out = water.bias_corrected(days.filter("status <> 'O'"), st.filter("status <> 'O'"), seen, ["status", "x", "y"], ["value"])
+    return out.select("status", "x", "y", "time", F.round("value_corrected", 1).alias("corrected"))
 
 
 @query("regrid_conservative", "WITH v AS (SELECT x, y, date_trunc('month', time) AS time, avg(value) AS value FROM daily GROUP BY ALL), t(x, y) AS (SELECT a * 1.5 + 0.25, b * 1.5 + 0.25 FROM range(3) r(a), range(3) s(b)), w AS (SELECT g.x AS sx, g.y AS sy, t.x, t.y, (least(g.x + 0.5, t.x + 0.75) - greatest(g.x - 0.5, t.x - 0.75)) * (sin(radians(least(g.y + 0.5, t.y + 0.75))) - sin(radians(greatest(g.y - 0.5, t.y - 0.75)))) AS w FROM (SELECT DISTINCT x, y FROM daily) g, t WHERE g.x - 0.5 < t.x + 0.75 AND t.x - 0.75 < g.x + 0.5 AND g.y - 0.5 < t.y + 0.75 AND t.y - 0.75 < g.y + 0.5) SELECT w.x::DOUBLE AS x, w.y::DOUBLE AS y, time, round(sum(value * w) / sum(w), 3) AS value FROM v JOIN w ON v.x = sx AND v.y = sy GROUP BY ALL", "daily")
@@ -583,6 +604,20 @@ def fit_marginals(t: Tables) -> DataFrame:
     return disagg.fit_marginals(t.daily.withColumn("value", F.col("value") / 1e5), ["x", "y"], "value", "skewnorm")
 
 
+@query("window_marginals")
+def window_marginals(t: Tables) -> DataFrame:
+    """2.7 with R15: a skew-normal fit for each status and calendar day; no SQL fits likelihoods, tests fit each window's rows one by one."""
+    days = t.daily.groupBy("status", "time").agg((F.avg("value") / 1e5).alias("value"))
+    return disagg.window_marginals(days, YEARS, ["status"], "value", "skewnorm")
+
+
+@query("window_fit_acf")
+def window_fit_acf(t: Tables) -> DataFrame:
+    """2.7 with R18, R19: the Weibull curve of each window's autocorrelation."""
+    days = t.daily.groupBy("status", "time").agg(F.sum("value").alias("value"))
+    return disagg.fit_acf(acf.window_acf(days, YEARS, ["status"], ["status"], "value", 6), ["status", "center_day"])
+
+
 @query("fit_acf_burr")
 def fit_acf_burr(t: Tables) -> DataFrame:
     """R19 for Burr XII: the fit and its agreement with the empirical curve."""
@@ -619,9 +654,21 @@ def disaggregate(t: Tables) -> DataFrame:
     """Each cell's days to hours; caches are computed for distinct tuples and joined by key."""
     d = t.daily.groupBy("x", "y", "time").agg(((F.avg("value") - 250000) / 1e6).alias("xk"))
     days = d.withColumns({"a": F.col("x") - 2, "loc": F.lit(0.0), "scale": F.bround(0.1 + F.col("y") / 50, 4)})
-    curves = disagg.correlation_curves(days.select("a", "loc", "scale").distinct(), "skewnorm").drop("rho_x")
-    blocks = disagg.block_means(days.select("a", "loc", "scale").distinct(), "skewnorm").select("a", "loc", "scale", "xk", "v")
-    names = ["a", "loc", "scale"]
-    near = nearest(days.select(*names, "x", "y", "time", "xk"), blocks, names, "xk", "xk").join(blocks.withColumnRenamed("xk", "nearest"), [*names, "nearest"])
-    ready = near.join(curves, names, "left").withColumns({"acs_scale": F.lit(8.0), "acs_shape": F.lit(0.8)})
-    return disagg.disaggregate(ready.groupBy("x", "y", "time", "xk", *names, "b", "c", "acs_scale", "acs_shape").agg(F.max("v").alias("v")), ["x", "y"], "skewnorm")
+    ready = chain.with_blocks(days, "skewnorm", rest=["x", "y", "time"]).withColumns({"acs_scale": F.lit(8.0), "acs_shape": F.lit(0.8)})
+    return disagg.disaggregate(ready, ["x", "y"], "skewnorm")
+
+
+@query("hourly_totals")
+def hourly_totals(t: Tables) -> DataFrame:
+    """Chain C whole (2.7 with R15, R18, R19; R25; R20-R24; R30; R31): fitted in windows, shifted, cached, drawn and added up.
+
+    Hours come from items (those of one order at one hour of their day), smoothed over half a day so that they are
+    correlated; days to come, tides and levels from orders.
+    """
+    at = F.col("l_shipdate") + F.expr("make_dt_interval(0, cast(l_orderkey % 24 as int))")
+    hours = t.lineitem.groupBy(at.alias("time"), F.lit(0).alias("stn")).agg((F.avg("l_extendedprice") / 1e5).alias("v"))
+    hours = hours.select("stn", "time", windows.rolling_mean("v", ["stn"], "time", 11, full=False).alias("ntr"))
+    days = t.orders.groupBy(F.lit(0).alias("stn"), F.col("o_orderdate").alias("time")).agg((F.avg("o_totalprice") / 1e6).alias("ntr"), (F.max("o_totalprice") / 1e6).alias("msl"))
+    hour = F.explode(F.sequence(F.col("time"), F.col("time") + F.expr("INTERVAL 23 HOURS"), F.expr("INTERVAL 1 HOUR"))).alias("time")
+    tides = days.select("stn", hour).withColumn("tides", 0.5 * F.cos(2 * 3.141592653589793 / 12.42 * F.unix_timestamp(F.col("time").cast("timestamp")) / 3600))
+    return chain.hourly_totals(hours, days, tides, days.select("stn", "time", "msl"), ["stn"], YEARS, YEARS)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marigrid.functions.distributions import LIMITS
-from marigrid.functions.scalar import clip, extrapolated, in_dates, interpolate, standardised, stress
+from marigrid.functions.scalar import clip, extrapolated, in_dates, interpolate, quotient, standardised, stress
 from marigrid.operators.joins import left_chain, lookup_by_day_of_year
 from marigrid.operators.windows import detrended, rolling_mean
 from marigrid.params import Compat
@@ -53,12 +53,12 @@ def day_of_year_stats(df: DataFrame, keys: Sequence[str], values: Sequence[str],
 
 
 def bias_corrected(df: DataFrame, hist: DataFrame, obs: DataFrame, keys: Sequence[str], values: Sequence[str], time: str = "time") -> DataFrame:
-    """(v - (mean_hist - mean_obs)) / (std_hist / std_obs) by day of year."""
+    """(v - (mean_hist - mean_obs)) / (std_hist / std_obs) by day of year; null where either deviation is 0."""
     both = hist.select(*keys, "dayofyear", *(F.col(f"{v}_{s}").alias(f"__h_{v}_{s}") for v in values for s in ("mean", "std"))).join(
         obs.select(*keys, "dayofyear", *(F.col(f"{v}_{s}").alias(f"__o_{v}_{s}") for v in values for s in ("mean", "std"))), [*keys, "dayofyear"]
     )
     out = lookup_by_day_of_year(df, both, keys, time)
-    fixed = {v: (F.col(v) - (F.col(f"__h_{v}_mean") - F.col(f"__o_{v}_mean"))) / (F.col(f"__h_{v}_std") / F.col(f"__o_{v}_std")) for v in values}
+    fixed = {v: quotient(F.col(v) - (F.col(f"__h_{v}_mean") - F.col(f"__o_{v}_mean")), quotient(F.col(f"__h_{v}_std"), F.col(f"__o_{v}_std"))) for v in values}
     return out.withColumns({f"{v}_corrected": c for v, c in fixed.items()}).select(*df.columns, *(f"{v}_corrected" for v in values))
 
 
@@ -91,7 +91,7 @@ def regional_index(df: DataFrame, value: str, observed_std: float, keys: Sequenc
     whole = Window.partitionBy(*keys)
     centred = flat.withColumn("c", F.col("detrended") - F.avg("detrended").over(whole))
     smooth = centred.withColumn("s", rolling_mean("c", keys, "time", 4)).dropna(subset=["s"])
-    return smooth.select(*keys, "time", (F.col("s") * observed_std / F.stddev_pop("s").over(whole)).alias("index"))
+    return smooth.select(*keys, "time", quotient(F.col("s") * observed_std, F.stddev_pop("s").over(whole)).alias("index"))
 
 
 def datum_mean(df: DataFrame, keys: Sequence[str], value: str, first: str = "1983-01-01", last: str = "2001-12-30", time: str = "time") -> DataFrame:
@@ -102,10 +102,11 @@ def datum_mean(df: DataFrame, keys: Sequence[str], value: str, first: str = "198
 def mean_level(cube: DataFrame, thermal_ice: DataFrame) -> DataFrame:
     """From (x, y, time, zos, zostoga) and yearly (year, te, im): ice_melt, zostoga_plus_ice_melt and msl.
 
-    All series are shifted by their least value m before their ratio is taken. m is one row.
+    All series are shifted by their least value m before their ratio is taken; a year whose te is m has no ratio (null).
+    m is one row.
     """
     low = cube.agg(F.min("zostoga").alias("a")).crossJoin(thermal_ice.agg(F.min("te").alias("b"), F.min("im").alias("c"))).select(F.least("a", "b", "c").alias("m"))
-    ratio = thermal_ice.crossJoin(F.broadcast(low)).select("year", "m", ((F.col("im") - F.col("m")) / (F.col("te") - F.col("m"))).alias("r"))
+    ratio = thermal_ice.crossJoin(F.broadcast(low)).select("year", "m", quotient(F.col("im") - F.col("m"), F.col("te") - F.col("m")).alias("r"))
     z = F.col("zostoga") - F.col("m")
     rows = cube.withColumn("year", F.year("time")).join(ratio, "year").withColumn("ice_melt", z * F.col("r") + F.col("m")).withColumn("zostoga", z)
     rows = rows.withColumn("zostoga_plus_ice_melt", F.col("zostoga") + F.col("ice_melt") + F.col("m"))
@@ -130,30 +131,36 @@ def shifted_parameters(df: DataFrame, family: str) -> DataFrame:
 
     rows = df.withColumns({c: limited(F.col(c)) for c in ("hourly_obs", "daily_obs", "daily_cmip")})
     oh, od, cd = (F.col(c) for c in ("hourly_obs", "daily_obs", "daily_cmip"))
-    shift = F.when(param == "loc", oh + cd - od).when(param == "scale", oh * cd / od).when(param == "a", F.sinh(F.asinh(oh) + F.asinh(cd) - F.asinh(od))).when(param == "df", F.exp(F.ln(oh) + F.ln(cd) - F.ln(od)))
+    shift = F.when(param == "loc", oh + cd - od).when(param == "scale", quotient(oh * cd, od)).when(param == "a", F.sinh(F.asinh(oh) + F.asinh(cd) - F.asinh(od))).when(param == "df", F.exp(F.ln(oh) + F.ln(cd) - F.ln(od)))
     return rows.withColumn("hourly_cmip", shift).withColumn("hourly_cmip", F.bround(limited(F.col("hourly_cmip")), 4))
 
 
-def probability_ratio(natural: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, level, pct, q, p1, ratio, far): the actual chance of the natural quantiles.
+def probability_ratio(natural: DataFrame, actual: DataFrame, keys: Sequence[str], worlds: Sequence[str] = ()) -> DataFrame:
+    """(worlds, keys, level, pct, q, p1, ratio, far): the actual chance of the natural quantiles, in each of the actual worlds.
 
     Both are quantile tables; the actual one becomes two arrays of one row a key, read by interpolation.
     """
-    table = actual.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("q", "pct"))).alias("t"))  # 102 points
+    table = actual.groupBy(*worlds, *keys).agg(F.array_sort(F.collect_list(F.struct("q", "pct"))).alias("t"))  # 102 points
     p1 = interpolate(F.col("q"), F.col("t.q"), F.col("t.pct"))
     rows = natural.join(table, list(keys)).withColumn("p1", p1)
-    return rows.select(*keys, "level", "pct", "q", "p1", (F.col("p1") / F.col("pct")).alias("ratio"), (1 - F.col("pct") / F.col("p1")).alias("far"))
+    return rows.select(*worlds, *keys, "level", "pct", "q", "p1", quotient(F.col("p1"), F.col("pct")).alias("ratio"), (1 - quotient(F.col("pct"), F.col("p1"))).alias("far"))
 
 
 def percent_change(table: DataFrame, base: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Change of each quantile against the base, by level."""
-    return table.join(base.select(*keys, "level", F.col("q").alias("base_q")), [*keys, "level"]).withColumn("change", 100 * (F.col("q") - F.col("base_q")) / F.col("base_q"))
+    """Change of each quantile against the base, by level; null where the base is 0."""
+    return table.join(base.select(*keys, "level", F.col("q").alias("base_q")), [*keys, "level"]).withColumn("change", quotient(100 * (F.col("q") - F.col("base_q")), F.col("base_q")))
 
 
 def baseline_kept(df: DataFrame, keys: Sequence[str], first: int, last: int, value: str = "value", year: str = "year") -> DataFrame:
-    """The baseline's median for every year after its first one."""
-    base = df.groupBy(*keys).agg(F.percentile(F.when(F.col(year).between(first, last), F.col(value)), F.lit(0.5)).alias("__m"))
-    return df.join(base, list(keys)).withColumn(value, F.when(F.col(year) >= first, F.col("__m")).otherwise(F.col(value))).drop("__m")
+    """The median of the baseline's years, ``first`` to ``last``, for every year from ``last`` on.
+
+    A series that begins with ``last`` or later has no baseline and is 0 throughout. One that has years before but
+    none within the baseline is null from ``last`` on.
+    """
+    inside = F.when(F.col(year).between(first, last), F.col(value))
+    base = df.groupBy(*keys).agg(F.percentile(inside, F.lit(0.5)).alias("__m"), F.min(year).alias("__first"))
+    kept = F.when(F.col("__first") >= last, F.lit(0.0)).when(F.col(year) >= last, F.col("__m")).otherwise(F.col(value))
+    return df.join(base, list(keys)).withColumn(value, kept).drop("__m", "__first")
 
 
 def scenario_period(df: DataFrame, start: int, split: int = 2015, time: str = "time", exp: str = "exp") -> DataFrame:
