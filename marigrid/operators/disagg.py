@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marigrid.functions import distributions as dist
-from marigrid.functions.interp import pchip, spline
 from marigrid.functions.optimize import nelder_mead
 from marigrid.functions.scalar import key4
 from marigrid.operators.calendar import centers
@@ -297,25 +296,3 @@ def disaggregate(days: DataFrame, keys: Sequence[str], family: str, spec: Disagg
     # few bytes but much work: as many tasks as the session has for a shuffle, which AQE doesn't merge by size
     tasks = int(days.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return days.repartition(tasks, *keys).groupBy(*keys).applyInPandas(one, f"{_keys_schema(days, keys)}, time timestamp_ntz, ntr float")
-
-
-def interpolate_series(df: DataFrame, keys: Sequence[str], value: str, step: str, method: str, time: str = "time", tolerance: float = 1e-2) -> DataFrame:
-    """A series at every ``step`` from its first to its last stamp, the last left out for splines.
-
-    Monotone interpolation that leaves the known range by more than ``tolerance`` falls back to straight lines.
-    """
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=[value]).sort_values(time)
-        t, y = rows[time].to_numpy("datetime64[s]").astype(float), rows[value].to_numpy(float)
-        at = pd.date_range(rows[time].min(), rows[time].max(), freq=step, inclusive="left" if method == "spline" else "both")
-        x = at.to_numpy("datetime64[s]").astype(float)
-        got = np.full(len(x), y[0]) if len(y) == 1 else spline(t, y, x) if method == "spline" else pchip(t, y, x)
-        if method == "pchip" and len(got) and (got.max() > y.max() + tolerance or got.min() < y.min() - tolerance):
-            got = np.interp(x, t, y)
-        out = pd.DataFrame({time: at, value: got})
-        out[list(keys)] = key
-        return out[[*keys, time, value]]
-
-    rows = df.select(*keys, time, value).dropna()
-    return rows.groupBy(*keys).applyInPandas(one, f"{_keys_schema(df, keys)}, {time} timestamp_ntz, {value} double")
