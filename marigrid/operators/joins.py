@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marigrid.functions.scalar import key4, month_day
+from marigrid.functions.scalar import bucket, key4, month_day
 
 
 def left_chain(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
@@ -39,11 +39,6 @@ def lookup_exact(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFr
     return left.join(right, on, "left").drop(*(f"__{c}{i}" for i in range(len(keys)) for c in "kl"))
 
 
-def bucket(edges: Column, at: Column) -> Column:
-    """The number of edges under a value: equal values share a bucket; without edges it is 0."""
-    return F.coalesce(F.size(F.filter(edges, lambda e: e < at)), F.lit(0))
-
-
 def nearest(queries: DataFrame, table: DataFrame, keys: Sequence[str], at: str, value: str, carry: Sequence[str] = (), buckets: int = 32) -> DataFrame:
     """Queries with ``nearest``, the closest ``value`` of the table with the same keys; ties go to the lower.
 

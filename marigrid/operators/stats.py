@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marigrid.functions.distributions import f_sf
-from marigrid.functions.scalar import correlation, quotient
+from marigrid.functions.scalar import bucket, correlation, quotient
 
 #: Probabilities of the quantile tables.
 QUANTILES = [round(i / 100, 2) for i in range(1, 99)] + [0.999, 0.9999, 0.99999, 1.0]
@@ -37,6 +37,36 @@ def quantile_table(df: DataFrame, keys: Sequence[str], value: str, probabilities
     return q.select(*keys, F.posexplode("q").alias("level", "q")).select(*keys, "level", pct.alias("pct"), "q")
 
 
+def select_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float] = tuple(QUANTILES), buckets: int = 64) -> DataFrame:
+    """A11 where groups are large: the table of ``quantile_table`` by selection, so that no task holds a group's distinct values.
+
+    A sketch of each group gives edges of ``buckets``; their counts say which buckets hold the ranks beside the wanted
+    positions. Only rows of those buckets are shuffled, by group and bucket and as one count for each value, and put in
+    order there (sorts spill). Exact, as the edges only decide where values are looked for. Nulls count nowhere; groups
+    without values aren't in the result.
+    """
+    keys, held = list(keys), df.select(*keys, F.col(value).cast("double").alias("__v")).dropna(subset=["__v"])
+    known = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 2000).alias("__edges"))
+    beside = lambda a, b, on: a.join(b, on) if on else a.crossJoin(F.broadcast(b))  # noqa: E731  one row without keys
+    rows = beside(held, known.drop("__n"), keys).select(*keys, bucket(F.col("__edges"), F.col("__v")).alias("__bucket"), "__v")
+    counts = rows.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__c"))
+    counts = counts.withColumn("__before", F.sum("__c").over(Window.partitionBy(*keys).orderBy("__bucket")) - F.col("__c"))
+    # as many rows as probabilities for each group
+    at = F.get(F.array(*map(F.lit, probabilities)), F.col("level")) * (F.col("__n") - 1)
+    asked = known.select(*keys, "__n", F.explode(F.sequence(F.lit(0), F.lit(len(probabilities) - 1))).alias("level")).withColumns({"__lo": F.floor(at), "__part": at - F.floor(at)})
+    ranks = asked.select(*keys, F.explode(F.array("__lo", F.least(F.col("__lo") + 1, F.col("__n") - 1))).alias("__rank")).distinct()
+    ranks = beside(ranks, counts, keys).filter("__rank >= __before AND __rank < __before + __c")
+    wanted = ranks.groupBy(*keys, "__bucket", "__before").agg(F.collect_list("__rank").alias("__ranks"))
+    values = rows.join(wanted.select(*keys, "__bucket"), [*keys, "__bucket"], "left_semi").groupBy(*keys, "__bucket", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    values = values.withColumn("__upto", F.sum("__c").over(Window.partitionBy(*keys, "__bucket").orderBy("__v"))).join(wanted, [*keys, "__bucket"])
+    inside = F.filter("__ranks", lambda r: (r >= F.col("__before") + F.col("__upto") - F.col("__c")) & (r < F.col("__before") + F.col("__upto")))
+    found = values.select(*keys, "__v", F.explode(inside).alias("__rank"))
+    low = asked.join(found.select(*keys, F.col("__v").alias("__a"), F.col("__rank").alias("__lo")), [*keys, "__lo"])
+    both = low.withColumn("__hi", F.least(F.col("__lo") + 1, F.col("__n") - 1)).join(found.select(*keys, F.col("__v").alias("__b"), F.col("__rank").alias("__hi")), [*keys, "__hi"])
+    pct = F.get(F.array(*map(F.lit, probabilities)), F.col("level"))
+    return both.select(*keys, "level", pct.alias("pct"), (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part")).alias("q"))
+
+
 def ols(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """R2: slope m, intercept b, r2, deviation and range of x, n."""
     return df.dropna(subset=[x, y]).groupBy(*keys).agg(

@@ -87,6 +87,13 @@ def quantile_table(t: Tables) -> DataFrame:
     return rounded(stats.quantile_table(t.daily, ["status", "x", "y"], "value").select("status", "x", "y", F.col("level").cast("long").alias("level"), "q"), 7, "q")
 
 
+@query("quantile_select", "WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, [i / 100.0 FOR i IN range(1, 99)] || [0.999, 0.9999, 0.99999, 1.0]) AS q FROM lineitem GROUP BY 1) SELECT l_returnflag, unnest(range(102)) AS level, round(unnest(q), 6) AS q FROM q")
+def quantile_select(t: Tables) -> DataFrame:
+    """A11 of few large groups, by selection."""
+    out = stats.select_quantiles(t.lineitem, ["l_returnflag"], "l_extendedprice")
+    return rounded(out.select("l_returnflag", F.col("level").cast("long").alias("level"), "q"), 6, "q")
+
+
 @query(
     "probability_ratio",
     f"""

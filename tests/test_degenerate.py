@@ -94,3 +94,15 @@ def test_baseline(spark):
     assert [got["a", y] for y in (1995, 1998, 1999, 2004)] == [1995.0, 1998.0, 1997.0, 1997.0]
     assert {got["late", y] for y in range(2000, 2003)} == {0.0}
     assert got["gap", 1990] == 3.0 and got["gap", 2001] is None
+
+
+@pytest.mark.parametrize("buckets", [2, 64])
+def test_selected_quantiles_equal_percentile(spark, buckets):
+    rng = np.random.default_rng(7)
+    rows = [("ties", float(v)) for v in rng.integers(0, 4, 500)] + [("tail", float(v)) for v in rng.pareto(1.1, 700)] + [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None), ("same", 5.0), ("same", 5.0), ("same", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    wanted = {(r.g, r.level): r.q for r in stats.quantile_table(df, ["g"], "v").collect() if r.q is not None}
+    got = {(r.g, r.level): r.q for r in stats.select_quantiles(df, ["g"], "v", buckets=buckets).collect()}
+    assert got.keys() == wanted.keys()
+    assert all(math.isclose(got[k], wanted[k], rel_tol=1e-12) for k in got)
+    assert stats.select_quantiles(df, [], "v", [0.0, 0.5, 1.0], buckets).count() == 3
