@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marigrid.functions import scalar
 from marigrid.functions.scalar import burr_acf, fgn_acf, pareto_acf, stress, transformation_curve, weibull_acf
 from marigrid.operators import acf, disagg, grid, interpolate, resample, stats, windows
+from marigrid.operators.homogeneity import homogeneity as homogeneity_of
 from marigrid.operators.joins import lookup_by_month_day
 from marigrid.params import Compat, Window
 from marigrid.plans import chain, water
@@ -654,6 +655,12 @@ def fit_marginals(t: Tables) -> DataFrame:
     return disagg.fit_marginals(t.daily.withColumn("value", F.col("value") / 1e5), ["x", "y"], "value", "skewnorm")
 
 
+@query("homogeneity")
+def homogeneity(t: Tables) -> DataFrame:
+    """H of the cells of each status; simulated, so without SQL: tests hold it against regions of known kind."""
+    return homogeneity_of(t.daily, ["status"], ["x", "y"], "value", 200)
+
+
 @query("window_marginals")
 def window_marginals(t: Tables) -> DataFrame:
     """2.7 with R15: a skew-normal fit for each status and calendar day; no SQL fits likelihoods, tests fit each window's rows one by one."""

@@ -51,6 +51,7 @@ HOLDS = {
     "fit_acf": lambda rows: all(r.scale >= 0.05 and r.shape >= 0.05 and r.mae >= 0 for r in rows),
     "fit_acf_burr": lambda rows: all(r.rmse >= 0 and r.n > 0 and (r.pearson is None or abs(r.pearson) <= 1 + 1e-9) for r in rows),
     "fit_marginals": lambda rows: all(r.value > 0 for r in rows if r.param in ("scale", "record_length")) and all(0 <= r.value <= 1 for r in rows if r.param.endswith("pval")),
+    "homogeneity": lambda rows: all(r.sites > 1 and r.v >= 0 and r.mean_v > 0 and r.std_v > 0 and math.isclose(r.h, (r.v - r.mean_v) / r.std_v) for r in rows),
     "hourly_totals": lambda rows: all(math.isclose(r.twl, r.msl + r.tides + r.ntr, abs_tol=1e-6) for r in rows) and len(rows) % 24 == 0,
     "window_fit_acf": lambda rows: all(r.scale >= 0.05 and r.shape >= 0.05 and r.mae >= 0 for r in rows),
     "window_marginals": lambda rows: all(0 < r.value <= 31 * 5 for r in rows if r.param == "record_length") and all(r.value > 0 for r in rows if r.param == "scale"),
