@@ -258,5 +258,9 @@ def _search(items: Items):
 
 
 def kept(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark passage; columns stay. Rows without an id stay."""
+    """``docs`` without those that hold a benchmark passage; columns stay, whatever their names.
+
+    Rows without an id stay, as do null and empty texts; very long texts are read whole. Of rows with one id all go if one
+    of them holds a passage; repeated rows go or stay together. Without items, or without rows, nothing goes.
+    """
     return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
