@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marigrid.functions.scalar import in_box, key4
-from marigrid.operators.joins import points_in_cells
+from marigrid.operators.joins import binned, points_in_cells
 from marigrid.params import BBox
 
 
@@ -36,6 +36,22 @@ def spacing(axis: DataFrame, name: str) -> DataFrame:
     return steps.agg(F.median("d").alias("spacing"))
 
 
+def window_cells(grid: DataFrame, n_grids: float) -> DataFrame:
+    """2.7: (x, y, near_x, near_y): for each cell those within the box around it, edges included.
+
+    The box's side is ``n_grids`` times the larger of the axes' spacings (which only the distinct coordinates give); cells meet in
+    bins of that side, not all with all. An axis of one coordinate has no spacing; a grid of one cell is its own window.
+    """
+    points = grid.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct()
+    dx, dy = (spacing(points, axis).first()[0] for axis in "xy")
+    side = n_grids * max(dx or 0.0, dy or 0.0)
+    half = side / 2
+    boxes = points.select("x", "y", (F.col("x") - half).alias("xl"), (F.col("x") + half).alias("xu"), (F.col("y") - half).alias("yl"), (F.col("y") + half).alias("yu"))
+    inside = F.col("near_x").between(F.col("xl"), F.col("xu")) & F.col("near_y").between(F.col("yl"), F.col("yu"))
+    near = points.select(F.col("x").alias("near_x"), F.col("y").alias("near_y"))
+    return binned(near, "near_x", "near_y", boxes, side or 1.0, inside).select("x", "y", "near_x", "near_y")
+
+
 def to_cells(points: DataFrame, grid_cells: DataFrame, width: float, value: str, time: str = "time", x: str = "lon", y: str = "lat") -> DataFrame:
     """Mean of the points within each cell at each time."""
     return points_in_cells(points, grid_cells, width, x, y).groupBy("x", "y", time).agg(F.avg(value).alias(value))

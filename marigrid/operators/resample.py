@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marigrid.operators.calendar import spine
+from marigrid.operators.windows import with_row_index
+
+#: Rows of a block of a series laid end to end.
+BLOCK = 1 << 16
 
 
 def to_step(df: DataFrame, keys: Sequence[str], values: Sequence[str], step: str = "day", time: str = "time", shift: str | None = None) -> DataFrame:
@@ -39,9 +43,19 @@ def interpolate_linear(df: DataFrame, keys: Sequence[str], value: str, step: str
 def low_and_high(df: DataFrame, keys: Sequence[str], value: str, rows: int, time: str = "time", by_group: bool = True) -> DataFrame:
     """``low``, the trailing mean of ``rows`` rows, and ``high``, the rest; each series starts anew.
 
-    The stored rule rolls over the series laid end to end in order of keys and time. Without ``by_group`` it does so;
-    the whole input then has one order, which a window does in one task: use it on one cell.
+    The stored rule rolls over the series laid end to end in order of keys and time. Without ``by_group`` it does so:
+    rows are numbered in that order by counts of the first key, blocks of ``BLOCK`` numbers roll side by side, and the
+    last rows of a block go to the next one too, so that no task has the whole order.
     """
-    w = (Window.partitionBy(*keys).orderBy(time) if by_group else Window.orderBy(*keys, time)).rowsBetween(1 - rows, 0)
-    low = F.when(F.count(value).over(w) == rows, F.avg(value).over(w))
-    return df.withColumn("low", low).withColumn("high", F.col(value) - F.col("low"))
+
+    def split(rows_of: DataFrame, w: WindowSpec) -> DataFrame:
+        low = F.when(F.count(value).over(w) == rows, F.avg(value).over(w))
+        return rows_of.withColumn("low", low).withColumn("high", F.col(value) - F.col("low"))
+
+    if by_group:
+        return split(df, Window.partitionBy(*keys).orderBy(time).rowsBetween(1 - rows, 0))
+    size = max(BLOCK, rows)
+    numbered = with_row_index(df, keys[0], [*keys[1:], time], "__at").withColumn("__own", F.floor(F.col("__at") / size))
+    both = F.when(F.col("__at") % size > size - rows, F.array(F.col("__own"), F.col("__own") + 1)).otherwise(F.array("__own"))
+    haloed = split(numbered.withColumn("__block", F.explode(both)), Window.partitionBy("__block").orderBy("__at").rowsBetween(1 - rows, 0))
+    return haloed.filter("__block = __own").drop("__at", "__own", "__block")

@@ -148,6 +148,12 @@ def low_high_split(t: Tables) -> DataFrame:
     return rounded(resample.low_and_high(_station_days(t), ["stn"], "value", 7, by_group=True).select("stn", "time", "low", "high"), 6, "low", "high")
 
 
+@query("low_high_end_to_end", f"WITH s AS (SELECT stn, time, value, CASE WHEN count(*) OVER w = 7 THEN avg(value) OVER w END AS low FROM ({ROLL}) WINDOW w AS (ORDER BY stn, time ROWS 6 PRECEDING)) SELECT stn, time, round(low, 6) AS low, round(value - low, 6) AS high FROM s")
+def low_high_end_to_end(t: Tables) -> DataFrame:
+    """R6 as stored: series laid end to end."""
+    return rounded(resample.low_and_high(_station_days(t), ["stn"], "value", 7, by_group=False).select("stn", "time", "low", "high"), 6, "low", "high")
+
+
 @query("ecdf_rank", "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY value) / (count(*) OVER (PARTITION BY event_type) + 1) AS ecdf FROM events")
 def ecdf_rank(t: Tables) -> DataFrame:
     """W4."""
@@ -204,6 +210,12 @@ def cell_bounds(t: Tables) -> DataFrame:
     return grid.axis_bounds(t.part.select((F.col("p_size") * F.col("p_size")).cast("double").alias("x")), "x")
 
 
+@query("window_cells", "WITH g AS (SELECT DISTINCT x, y FROM daily), s AS (SELECT max(m) AS d FROM (SELECT median(d) AS m FROM (SELECT DISTINCT x - lag(x) OVER (ORDER BY x) AS d FROM (SELECT DISTINCT x FROM g)) UNION ALL SELECT median(d) FROM (SELECT DISTINCT y - lag(y) OVER (ORDER BY y) AS d FROM (SELECT DISTINCT y FROM g)))) SELECT a.x, a.y, b.x AS near_x, b.y AS near_y FROM g a, g b, s WHERE abs(a.x - b.x) <= 1.5 * d AND abs(a.y - b.y) <= 1.5 * d", "daily")
+def window_cells(t: Tables) -> DataFrame:
+    """2.7: the cells of windows of three grids."""
+    return grid.window_cells(t.daily, 3)
+
+
 @query("grid_spacing", "SELECT median(d) AS spacing FROM (SELECT DISTINCT x - lag(x) OVER (ORDER BY x) AS d FROM (SELECT DISTINCT CAST(p_size * p_size AS DOUBLE) AS x FROM part)) WHERE d IS NOT NULL")
 def grid_spacing(t: Tables) -> DataFrame:
     """A25."""

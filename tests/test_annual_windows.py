@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marigrid.functions import distributions as dist
-from marigrid.operators import acf, disagg, joins
+from marigrid.operators import acf, disagg, grid, joins, resample
 from marigrid.params import Disaggregation, Window
 from marigrid.plans import chain
 
@@ -158,3 +158,26 @@ def test_chain(spark):
     seen = seen - seen.mean(1, keepdims=True)
     lag1 = lambda a: (a[:, 1:] * a[:, :-1]).mean() / (a * a).mean()
     assert abs(lag1(within) - lag1(seen)) < 0.2
+
+
+@pytest.mark.parametrize(("block", "rows"), [(5, 3), (5, 5), (4, 9), (1 << 16, 3)])
+def test_series_end_to_end_in_blocks(spark, monkeypatch, block, rows):
+    monkeypatch.setattr(resample, "BLOCK", block)
+    rng = random.Random(block + rows)
+    table = [(k, j, i, rng.random() if rng.random() < 0.9 else None) for k in (1, 2, 3, None) for j in (1, 2) for i in range(rng.randint(1, 14))]
+    df = spark.createDataFrame(table, "k int, j int, time int, v double").repartition(4)
+    got = {(r.k, r.j, r.time): r.low for r in resample.low_and_high(df, ["k", "j"], "v", rows, by_group=False).collect()}
+    laid = sorted(table, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    for i, (k, j, at, _) in enumerate(laid):
+        held = [r[3] for r in laid[max(0, i - rows + 1) : i + 1]]
+        want = sum(held) / rows if len(held) == rows and None not in held else None
+        assert (got[k, j, at] is None) == (want is None) and (want is None or math.isclose(got[k, j, at], want))
+    assert len(got) == len(table)
+
+
+def test_window_cells(spark):
+    cells = [(float(x), float(y)) for x in range(0, 12, 2) for y in range(5) if (x, y) != (4, 2)]
+    got = {tuple(r) for r in grid.window_cells(spark.createDataFrame([*cells, cells[0]], "x double, y double"), 2).collect()}
+    assert got == {(*a, *b) for a in cells for b in cells if abs(a[0] - b[0]) <= 2 and abs(a[1] - b[1]) <= 2}
+    one = spark.createDataFrame([(3.0, 4.0)], "x double, y double")
+    assert [tuple(r) for r in grid.window_cells(one, 3).collect()] == [(3.0, 4.0, 3.0, 4.0)]
