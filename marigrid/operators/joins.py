@@ -39,6 +39,19 @@ def lookup_exact(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFr
     return left.join(right, on, "left").drop(*(f"__{c}{i}" for i in range(len(keys)) for c in "kl"))
 
 
+def lookup_packed(df: DataFrame, table: DataFrame, keys: Sequence[str], value: str, scale: float = 1000.0, stored: bool = True) -> DataFrame:
+    """``df`` with the ``value`` of the table's row whose three keys are equal once scaled and rounded (ties to even); a miss gives null.
+
+    The stored rule packs the keys into one number, a * 10^9 + b * 10^6 + c, so keys of a thousand steps and more or
+    below zero can stand for each other; without ``stored`` all three must be equal. Of rows with equal keys the least
+    value counts. Null keys miss.
+    """
+    a, b, c = (F.bround(F.col(k) * scale, 0).cast("long") for k in keys)
+    parts = {"__packed": a * 1_000_000_000 + b * 1_000_000 + c} if stored else {"__a": a, "__b": b, "__c": c}
+    right = table.withColumns(parts).groupBy(*parts).agg(F.min(value).alias(value))
+    return df.withColumns(parts).join(right, list(parts), "left").drop(*parts)
+
+
 def nearest(queries: DataFrame, table: DataFrame, keys: Sequence[str], at: str, value: str, carry: Sequence[str] = (), buckets: int = 32) -> DataFrame:
     """Queries with ``nearest``, the closest ``value`` of the table with the same keys; ties go to the lower.
 

@@ -211,6 +211,14 @@ def hash_lookup_miss(t: Tables) -> DataFrame:
     return joins.lookup_exact(t.part.select("p_partkey", "p_retailprice"), cache, ["p_retailprice"]).select("p_partkey", "b")
 
 
+@query("packed_lookup", "WITH k AS (SELECT *, CAST(round_even(l_discount * 1000, 0) AS BIGINT) * 1000000000 + CAST(round_even(l_tax * 1000, 0) AS BIGINT) * 1000000 + CAST(round_even(l_quantity / 100 * 1000, 0) AS BIGINT) AS k FROM lineitem), c AS (SELECT k, min(l_extendedprice) AS least FROM k WHERE l_linenumber = 1 GROUP BY 1) SELECT l_orderkey, l_linenumber, l_partkey, least FROM k LEFT JOIN c USING (k)")
+def packed_lookup(t: Tables) -> DataFrame:
+    """All items in a cache of orders' first items, by three floats in one number."""
+    rows = t.lineitem.withColumn("share", F.col("l_quantity") / 100)
+    cache = rows.filter("l_linenumber = 1").select("l_discount", "l_tax", "share", F.col("l_extendedprice").alias("least"))
+    return joins.lookup_packed(rows, cache, ["l_discount", "l_tax", "share"], "least").select("l_orderkey", "l_linenumber", "l_partkey", "least")
+
+
 @query("common_models_semi", "SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'signup')")
 def common_models_semi(t: Tables) -> DataFrame:
     """J16, O5."""

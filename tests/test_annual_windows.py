@@ -181,3 +181,17 @@ def test_window_cells(spark):
     assert got == {(*a, *b) for a in cells for b in cells if abs(a[0] - b[0]) <= 2 and abs(a[1] - b[1]) <= 2}
     one = spark.createDataFrame([(3.0, 4.0)], "x double, y double")
     assert [tuple(r) for r in grid.window_cells(one, 3).collect()] == [(3.0, 4.0, 3.0, 4.0)]
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_packed_lookup(spark, stored):
+    table = [(0.1, 0.2, 0.3, 7.0), (0.1, 0.2, 0.3, 5.0), (0.1, 0.201, -0.7, 9.0), (1.0, 0.0005, 0.0015, 4.0)]
+    asked = [(0, 0.1, 0.2, 0.3), (1, 0.1001, 0.19999, 0.3), (2, 0.1, 0.2, 1.3), (3, 1.0, 0.0, 0.002), (4, None, 0.2, 0.3), (5, 0.1, 0.201, -0.7), (6, 5.0, 5.0, 5.0)]
+    cache = spark.createDataFrame(table, "a double, b double, c double, d double")
+    got = {r.i: r.d for r in joins.lookup_packed(spark.createDataFrame(asked, "i int, a double, b double, c double"), cache, ["a", "b", "c"], "d", stored=stored).collect()}
+    pack = lambda v: tuple(round(x * 1000) for x in v)
+    key = (lambda v: pack(v)[0] * 10**9 + pack(v)[1] * 10**6 + pack(v)[2]) if stored else pack
+    for i, *v in asked:
+        hits = [d for *k, d in table if None not in v and key(k) == key(v)]
+        assert got[i] == (min(hits) if hits else None)
+    assert got[0] == 5.0 and got[6] is None
