@@ -38,6 +38,10 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: fl
     model = Trees(float(np.log(mean / (1 - mean))), depth)
     margin = np.full(n, model.base)
     inner = 2**depth - 1
+    # columns of two values are added up together, by the rows that have the upper one
+    flags = np.array([j for j in range(d) if len(cuts[j]) == 1], np.int64)
+    many = [j for j in range(d) if len(cuts[j]) > 1]
+    row, flag = np.nonzero(binned[:, flags])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
         g, h = p - y, p * (1 - p)
@@ -47,7 +51,18 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: fl
             first, width = 2**level - 1, 2**level
             local = at - first
             best = np.full(width, 1e-6)
-            for j in range(d):
+            if len(flags):
+                add = lambda w: np.bincount(local[row] * len(flags) + flag, w[row], width * len(flags)).reshape(width, -1)
+                g1, h1 = add(g), add(h)
+                gt, ht = np.bincount(local, g, width)[:, None], np.bincount(local, h, width)[:, None]
+                gain = g1**2 / (h1 + l2) + (gt - g1) ** 2 / (ht - h1 + l2) - gt**2 / (ht + l2)
+                gain[(h1 < least) | (ht - h1 < least)] = 0
+                k = gain.argmax(1)
+                top = gain[np.arange(width), k]
+                for node in np.flatnonzero(top > best):
+                    j = flags[k[node]]
+                    best[node], feature[first + node], limit[first + node] = top[node], j, cuts[j][0]
+            for j in many:
                 size = len(cuts[j]) + 1
                 key = local * size + binned[:, j]
                 gs = np.bincount(key, g, width * size).reshape(width, size).cumsum(1)
@@ -55,8 +70,8 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: fl
                 gt, ht = gs[:, -1:], hs[:, -1:]
                 gain = gs**2 / (hs + l2) + (gt - gs) ** 2 / (ht - hs + l2) - gt**2 / (ht + l2)
                 gain[(hs < least) | (ht - hs < least)] = 0
-                k = gain[:, :-1].argmax(1) if size > 1 else np.zeros(width, int)
-                top = gain[np.arange(width), k] if size > 1 else np.zeros(width)
+                k = gain[:, :-1].argmax(1)
+                top = gain[np.arange(width), k]
                 for node in np.flatnonzero(top > best):
                     best[node], feature[first + node], limit[first + node] = top[node], j, cuts[j][k[node]]
             at = 2 * at + 1 + (x[np.arange(n), feature[at]] > limit[at])

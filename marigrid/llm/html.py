@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
@@ -15,16 +16,35 @@ from marigrid.llm import gbt
 from marigrid.llm.common import small_batches
 
 #: Generated pages that the trees are fitted on: the documented bound of the sample.
-PAGES = 600
+PAGES = 900
+#: Columns that the tokens of class, id and role are hashed to.
+HASHED = 64
 #: Kinds of block elements; each kind is a feature.
 KINDS = {
-    "page": "html body", "article": "article", "main": "main", "section": "section", "div": "div center noscript", "p": "p", "heading": "h1 h2 h3 h4 h5 h6 hgroup",
+    "page": "html body", "article": "article", "main": "main", "section": "section", "div": "div center noscript", "p": "p", "title": "h1", "heading": "h2 h3 h4 h5 h6 hgroup",
     "list": "ul ol dl menu", "item": "li dt dd", "table": "table thead tbody tfoot tr td th caption", "quote": "blockquote pre figure figcaption details summary",
     "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form fieldset dialog", "other": "address hr search",
 }
 #: Parts of class, id and role tokens.
 GOOD = "article content main post entry story text prose body".split()
 BAD = "ad ads advert advertisement banner sponsor sponsored promo menu nav navbar navigation breadcrumb breadcrumbs header masthead footer copyright sidebar widget aside related recommended share social cookie consent notice alert popup modal newsletter subscribe signup login search comment comments reply respond disqus discussion form toolbar pagination pager tags skip".split()
+#: Pieces of words that notices and closing lines are made of, counted a node.
+NOTICES = "© cookie consent gdpr privacy copyright reserved subscribe newsletter disclaimer sponsored impressum datenschutz vorbehalten réservés confidentialité reservados privacidad".split()
+#: Names of parts in generated pages.
+PARTS = {
+    "menu": "menu nav navbar nav-main top-nav main-menu mw-panel mw-head site-nav topbar breadcrumb crumbs toc catlinks categories tag-list pager linklist portlet hamburger",
+    "notice": "cookie-notice cookie-bar gdpr gdpr-bar notice consent alert newsletter-signup privacy-popup overlay toast modal paywall",
+    "ad": "ad advert sponsored banner promo-unit dfp-slot billboard mpu",
+    "share": "share social-links follow-us",
+    "related": "related related-posts recommended read-also more-stories teaser trending most-read popular recirc",
+    "side": "sidebar widget side rail secondary infobox-links panel",
+    "footer": "footer copyright site-footer colophon legal bottom-bar imprint credits",
+    "comments": "comments comment-list respond discussion",
+    "main": "content post post-content entry-content article-body story prose main-text page-body body-copy mw-content-text",
+    "plain": "container wrap inner row col block box lead",
+}
+#: Sentences of generated notices and closing lines.
+SAID = ["We use cookies to improve this site.", "By using this site you accept cookies.", "Read our privacy policy.", "All rights reserved.", "\u00a9 2021", "Copyright 2019", "Subscribe to our newsletter.", "Sponsored"]
 #: Elements whose content is never text; without an end tag the first take all that follows, as in browsers, the others nothing.
 RAW = "script style title textarea".split()
 SKIPPED = [*RAW, *"template svg iframe select button".split()]
@@ -48,10 +68,11 @@ _GOOD, _BAD = set(GOOD), set(BAD)
 class Page:
     """Block nodes in page order and the runs of text that stand in them; read in time linear in the page's length."""
 
-    __slots__ = ("kind", "label", "parent", "runs", "tags", "tokens")
+    __slots__ = ("hashed", "kind", "label", "parent", "runs", "tags", "tokens")
 
     def __init__(self, html: str, labelled: bool = False):
         self.parent, self.kind, self.tokens, self.tags, self.label = [-1], [0], [(0, 0)], [0], [1]
+        self.hashed: list[tuple[int, int]] = []  # node, column of one of its tokens
         self.runs: list[tuple[int, str, int]] = []  # node, text, characters in links
         stack: list[tuple[str, int]] = []
         places: dict[str, list[int]] = {t: [] for t in _KIND}  # of each tag on the stack
@@ -139,6 +160,7 @@ class Page:
                     if name in ("class", "id", "role"):
                         found = set(_TOKEN.findall("".join(values).lower()))
                         good, bad = good or not found.isdisjoint(_GOOD), bad or not found.isdisjoint(_BAD)
+                        self.hashed += [(len(self.kind), zlib.crc32(t.encode()) % HASHED) for t in found]
                     elif labelled and name == "data-y":
                         label = int("".join(values))
             places[tag].append(len(stack))
@@ -159,10 +181,10 @@ _P = _NAMES.index("p")
 
 
 def features(page: Page) -> np.ndarray:
-    """A row for each node: kind, tokens, text, links, density, depth and how its siblings compare."""
+    """A row for each node: kind, tokens, text, links, density, depth, how its siblings compare and where the page's text lies."""
     n, parent, kind = len(page.kind), page.parent, page.kind
-    # characters, characters in links, runs, stops, tags, paragraphs and nodes of whole subtrees
-    sums = [[0, 0, 0, 0, t, int(k == _P), 1] for t, k in zip(page.tags, kind, strict=True)]
+    # characters, characters in links, runs, stops, tags, paragraphs, nodes, words of notices and prose (runs that aren't links) of whole subtrees
+    sums = [[0, 0, 0, 0, t, int(k == _P), 1, 0, 0] for t, k in zip(page.tags, kind, strict=True)]
     first: list[float] = [float("inf")] * n
     total = 0
     for node, text, link in page.runs:
@@ -171,6 +193,9 @@ def features(page: Page) -> np.ndarray:
         s[1] += link
         s[2] += 1
         s[3] += text.count(".") + text.count(",")
+        low = text.lower()
+        s[7] += sum(low.count(w) for w in NOTICES)
+        s[8] += len(text) - link if 2 * link < len(text) else 0
         first[node] = min(first[node], total)
         total += len(text)
     own = [s[0] for s in sums]
@@ -188,11 +213,28 @@ def features(page: Page) -> np.ndarray:
         seen[p, k] = seen.get((p, k), 0) + 1
     for v in range(n - 1, 0, -1):
         s, up = sums[v], sums[parent[v]]
-        for i in range(7):
+        for i in range(9):
             up[i] += s[i]
         if first[v] < first[parent[v]]:
             first[parent[v]] = first[v]
-    chars, linked, runs, stops, tags, paragraphs, nodes = np.array(sums, float).T
+    # the path from the root to ever the child with most prose, and where each node leaves it
+    heavy = [0] * n
+    for v in range(n - 1, 0, -1):
+        if not heavy[parent[v]] or sums[v][8] >= sums[heavy[parent[v]]][8]:
+            heavy[parent[v]] = v
+    on, v = [False] * n, 0
+    on[0] = True
+    while heavy[v]:
+        v = heavy[v]
+        on[v] = True
+    leaves = list(range(n))
+    for v in range(1, n):
+        if not on[v]:
+            leaves[v] = leaves[parent[v]]
+    chars, linked, runs, stops, tags, paragraphs, nodes, notices, prose = np.array(sums, float).T
+    split, rank = np.array(leaves), np.array(depth, float)
+    onward = np.array(heavy)[split]
+    all_prose = max(float(prose[0]), 1.0)
     up, own, start = np.array(parent), np.array(own, float), np.array(first)
     many = np.array(children, float)
     around = np.maximum(many[up], 1)
@@ -203,8 +245,16 @@ def features(page: Page) -> np.ndarray:
     numbers = [
         *np.array(page.tokens, float).T, *np.array(above, float).T, np.array(depth, float), np.log1p(chars), linked / size, chars / max(total, 1), np.log1p(many), np.log1p(paragraphs),
         chars / np.maximum(runs, 1), stops / size, np.array(place) / around, around, same / around, np.log1p(np.maximum(beside, 0)), start / max(total, 1), np.log1p(chars / np.maximum(tags, 1)), np.log1p(own), nodes,
+        np.log1p(notices), notices / size, prose / all_prose, np.array(on, float), rank - rank[split], rank[split], prose[split] / all_prose, np.where(onward > 0, prose[onward], 0) / np.maximum(prose[split], 1), np.arange(n) < onward, np.log1p(prose[onward]) - np.log1p(chars),
     ]
-    return np.concatenate([np.eye(len(KINDS))[kind], np.stack(numbers, 1)], 1)
+    out = np.zeros((n, len(KINDS) + len(numbers) + HASHED), np.float32)
+    out[np.arange(n), kind] = 1
+    for j, column in enumerate(numbers, len(KINDS)):
+        out[:, j] = column
+    if page.hashed:
+        node, column = np.array(page.hashed).T
+        out[node, len(KINDS) + len(numbers) + column] = 1
+    return out
 
 
 def decode(page: Page, margin: np.ndarray) -> np.ndarray:
@@ -224,28 +274,58 @@ def decode(page: Page, margin: np.ndarray) -> np.ndarray:
 
 
 def _generated(rng: np.random.Generator) -> str:
-    """A random page; data-y says whether a node holds main text."""
+    """A random page; data-y says whether a node holds main text. Names of parts are known, hashed or left out."""
     pick = lambda *a: a[rng.integers(len(a))]
+    law = rng.random() < 0.12  # its article is about what notices say
+    style = pick("named", "named", "named", "hashed", "bare", "mixed")  # how this page names its parts
+
+    ends = [""] * int(pick(6, 12, 25)) + [",", "."] + ["%%%"] * pick(0, 1)  # how often stops occur
 
     def words(n: int) -> str:
-        ends = ["", "", "", "", ",", "", "", ".", "%%%"]
         sizes, last = rng.integers(1, 11, max(1, n)), rng.integers(len(ends), size=max(1, n))
         out = " ".join("etaoinshrd"[:k] + ends[e] for k, e in zip(sizes.tolist(), last.tolist(), strict=True))
         return out.capitalize() + pick(".", ".", "")
 
-    def el(tag: str, inner: str, y: int, name: str = "") -> str:
+    def named(part: str) -> str:
+        how = pick("named", "hashed", "bare") if style == "mixed" else style
+        if how == "hashed":
+            return pick("css", "sc", "jsx", "x", "") + pick("-", "_") + "".join("abcdefghij0123456789"[k] for k in rng.integers(20, size=6))
+        return str(pick(*PARTS[part].split())) if how == "named" else ""
+
+    def el(tag: str, inner: str, y: int, part: str = "") -> str:
+        name = named(part) if part else named("plain") if style in ("hashed", "mixed") and rng.random() < 0.3 else ""
         attribute = f' {pick("class", "class", "id")}="{name}"' if name else ""
         return f'<{tag}{attribute} data-y="{y}">{inner}' + ("" if tag == "p" and rng.random() < 0.2 else f"</{tag}>")
 
+    def link(n: int) -> str:
+        return f'<a href="/x">{words(n)}</a>'
+
     def links(y: int = 0, tag: str = "ul") -> str:
-        return el(tag, "".join(el("li", f'<a href="/x">{words(rng.integers(1, 4))}</a>', y) for _ in range(rng.integers(3, 9))), y)
+        return el(tag, "".join(el("li", link(rng.integers(1, 4)), y) for _ in range(rng.integers(3, 9))), y)
+
+    def bar(part: str) -> str:
+        between = pick(" ", " | ", " / ", "<br>", "")
+        return el(pick("div", "div", "p", "span" if rng.random() < 0.2 else "div"), words(1) * (rng.random() < 0.2) + between.join(link(rng.integers(1, 3)) for _ in range(rng.integers(2, 9))), 0, part)
+
+    def said(n: int) -> str:
+        return " ".join([str(pick(*SAID)) for _ in range(rng.integers(1, 3))] + [words(n)] * (rng.random() < 0.7))
+
+    def notice() -> str:
+        text = said(rng.integers(3, 30)) if rng.random() < 0.75 else words(rng.integers(8, 40))
+        return el(pick("div", "div", "section"), pick(text, el("p", text, 0), el("div", el("p", text, 0), 0)) + pick("", f" {link(2)}", "<button>" + words(1) + "</button>"), 0, "notice")
 
-    def ad(name: str = "") -> str:
-        return pick(lambda: el("div", words(rng.integers(3, 30)), 0, name or pick("ad", "ads box", "advert", "sponsored", "banner", "promo-unit")), lambda: el("aside", el("h3", words(2), 0) + links(), 0, pick("", "related", "widget")), lambda: el("div", links(0), 0, pick("share", "social-links", "related-posts", "recommended")), lambda: el("form", el("p", words(6), 0) + '<input name="q">', 0, pick("", "newsletter", "search-form")), lambda: el("div", el("p", words(rng.integers(8, 40)), 0), 0, pick("cookie-notice", "notice", "consent", "alert", "newsletter-signup")), lambda: el("nav", links(0, "ol"), 0, pick("", "breadcrumb", "toc menu")))()
+    def ad() -> str:
+        return pick(
+            lambda: el("div", words(rng.integers(3, 30)), 0, "ad"), lambda: el(pick("aside", "div"), el(pick("h3", "h4", "p", "div"), words(2), 0) + pick(links, lambda: bar(""))(), 0, pick("related", "side")),
+            lambda: el("div", pick(links, lambda: bar(""))(), 0, pick("share", "related")), lambda: el("form", el("p", words(6), 0) + '<input name="q">', 0, "notice"), notice, lambda: el("nav", links(0, "ol"), 0, "menu"),
+            lambda: el(pick("p", "div"), words(2) + " " + link(rng.integers(3, 12)), 0, "related"), lambda: bar("menu"),
+        )()
 
     def paragraph() -> str:
         n = int(pick(rng.integers(1, 6), rng.integers(5, 40), rng.integers(20, 120), rng.integers(60, 300)))
         text = words(n)
+        if rng.random() < (0.6 if law else 0.03):
+            text = pick(said(rng.integers(1, 9)), f"{text} {said(rng.integers(8, 50))}", f"{words(rng.integers(4, 20))} {said(rng.integers(4, 20))} {said(3)}")
         if rng.random() < 0.25:
             text = f"<b>{text}" + pick("</b>", "<br>", "")
         if rng.random() < 0.25:
@@ -262,20 +342,30 @@ def _generated(rng: np.random.Generator) -> str:
             body.insert(int(rng.integers(len(body) + 1)), ad())
     if not clean and rng.random() < 0.2:
         body = [el("header", body[0] + el("p", words(5), 1), 1), *body[1:]]
-    inner = "".join(body)
-    tag, name = pick(("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "post-content"), ("div", "entry-content"), ("div", "article-body"), ("section", "story"), ("div", ""), ("div", "page text"), ("td", "main"))
-    main = el(tag, inner, 1, name)
-    if rng.random() < 0.3:
-        main = el(pick("main", "div", "section"), main, 1, pick("", "content", "container", "wrap"))
+    if rng.random() < 0.12:  # a note of a line or two
+        body = [el("h1", words(rng.integers(1, 7)), 1), *(el("p", pick("", "<b>") + words(rng.integers(1, 9)) + pick("", "<br>"), 1) for _ in range(rng.integers(1, 3)))]
+    apart = len(body) > 1 and "<h1" in body[0] and rng.random() < 0.3  # the title stands before the article's element
+    title, inner = (body[0], "".join(body[1:])) if apart else ("", "".join(body))
+    tag, name = pick(("article", ""), ("article", ""), ("article", "main"), ("main", ""), ("div", "main"), ("div", "main"), ("div", "main"), ("div", "main"), ("section", "main"), ("div", ""), ("div", "plain"), ("td", "main"))
+    main = el(tag, (title if tag == "td" else "") + inner, 1, name)
+    if apart and tag != "td":
+        main = el(pick("main", "div", "div", "section"), title + main, 1, pick("", "main", "plain"))
+    for _ in range(rng.integers(0, 3)):
+        if tag != "td":
+            main = el(pick("main", "div", "div", "section"), main, 1, pick("", "main", "plain"))
     if rng.random() < 0.35:
-        comment = lambda: el(pick("div", "li", "article"), el("p", words(2), 0) * (rng.random() < 0.5) + el("p", words(rng.integers(4, 90)), 0), 0, pick("comment", "comment-body", "reply"))
-        talk = el(pick("section", "div", "ol"), el("h3", words(2), 0) + "".join(comment() for _ in range(rng.integers(1, 9))), 0, pick("comments", "comment-list", "respond", "discussion"))
+        comment = lambda: el(pick("div", "li", "article"), el("p", words(2), 0) * (rng.random() < 0.5) + el("p", words(rng.integers(4, 90)), 0), 0, "comments")
+        kept, style = style, "named"  # comments can't be told by their shape alone
+        talk = el(pick("section", "div", "ol"), el("h3", words(2), 0) + "".join(comment() for _ in range(rng.integers(1, 9))), 0, "comments")
+        style = kept
         main = main + talk if rng.random() < 0.7 else main.removesuffix(f"</{tag}>") + talk + f"</{tag}>"
-    side = [lambda: el("nav", links(), 0, pick("", "", "navbar")), lambda: el("header", el("h1", words(2), 0) * (rng.random() < 0.3) + el("p", words(3), 0) + links(), 0, pick("", "masthead")), lambda: el("div", links(), 0, pick("menu", "nav-main", "top-nav")), lambda: ad(), lambda: ad("ad"), lambda: el("div", el("h3", words(2), 0) + links() + el("p", words(rng.integers(5, 40)), 0), 0, pick("sidebar", "widget", "side sidebar")), lambda: el("aside", el("h3", words(2), 0) + pick(links(), el("p", words(rng.integers(5, 60)), 0)), 0, pick("", "sidebar"))]
+    heading = lambda: el(pick("h2", "h3", "div", "p"), words(rng.integers(1, 4)), 0)
+    side = [lambda: el("nav", links(), 0, pick("", "", "menu")), lambda: el("header", el("h1", words(2), 0) * (rng.random() < 0.3) + el("p", words(3), 0) + links(), 0, pick("", "menu")), lambda: el("div", links(), 0, "menu"), ad, ad, notice, lambda: bar("menu"), lambda: el("div", heading() + links() + el("p", words(rng.integers(5, 40)), 0), 0, "side"), lambda: el("aside", heading() + pick(links(), el("p", words(rng.integers(5, 60)), 0)), 0, pick("", "side")), lambda: el("div", "".join(el("div", heading() + links(), 0, pick("", "menu")) for _ in range(rng.integers(1, 4))), 0, "menu")]
     before = "".join(pick(*side)() for _ in range(rng.integers(1, 4)))
-    after = "".join(pick(*side)() for _ in range(rng.integers(0, 3))) + pick("", el("footer", pick(words(8), el("p", words(12), 0), links() + el("p", words(6), 0)), 0, pick("", "site-footer")), el("div", el("p", words(9), 0), 0, pick("footer", "copyright")))
+    last = lambda: pick(words(8), el("p", said(6), 0), said(4), links() + el("p", said(4), 0), el("div", bar("") + el("p", said(3), 0), 0), el("ul", "".join(el("li", said(5), 0) for _ in range(rng.integers(1, 4))), 0))
+    after = "".join(pick(*side)() for _ in range(rng.integers(0, 3))) + pick("", el("footer", last(), 0, pick("", "footer")), el("div", last(), 0, "footer"), el("div", last(), 0, "footer"))
     if tag == "td":
-        before, after = "<table data-y=1><tr data-y=1>" + el("td", before, 0, pick("sidebar", "menu", "")), "</tr></table>" + after
+        before, after = "<table data-y=1><tr data-y=1>" + el("td", before, 0, pick("side", "menu")), "</tr></table>" + after
     return f"<html data-y=1><head><title>{words(4)}</title><style>p{{margin:0}}</style></head><body data-y=1>{before}{main}{after}<script>var t='</p>'</script></body></html>"
 
 

@@ -1,4 +1,7 @@
+import runpy
 import time
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -140,3 +143,20 @@ def test_pages_written_by_hand(model, page, has, lacks):
     lines = one(model, page).split("\n")
     assert [h for h in has if not any(line.startswith(h) for line in lines)] == []
     assert [x for x in lacks if any(x in line for line in lines)] == []
+
+
+def test_pages_in_layouts_of_the_web(model):
+    path = Path(__file__).parent / "html_pages.py"
+    found = runpy.run_path(str(path))
+    lost = alien = total = 0
+    for page, blocks in found["PAGES"]:
+        got, want = Counter(one(model, page).split()), Counter(" ".join(blocks).split())
+        lost, alien, total = lost + sum((want - got).values()), alien + sum((got - want).values()), total + sum(want.values())
+    assert lost < 0.02 * total
+    assert alien < 0.01 * total
+
+
+def test_tokens_of_names_are_hashed_features():
+    plain, named = (html.features(html.Page(f"<div{a}><p>One two three.</p></div>")) for a in ("", ' class="mw-panel"'))
+    assert (named[1] != plain[1]).sum() == 2  # one column for each of its tokens
+    assert (named[2] == plain[2]).all()
