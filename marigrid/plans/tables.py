@@ -345,21 +345,47 @@ def standard_calendar(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", standard_date(F.year("o_orderdate"), month, day).alias("d"))
 
 
-@query(
-    "emission_table",
-    """
+#: The test tables' stand-in for one scenario of an emission database, as common table expressions.
+_EMISSIONS = """
 WITH n AS (SELECT unnest(['Emissions|CO2|MAGICC Fossil and Industrial', 'Emissions|CO2', 'Emissions|N2O', 'Emissions|Sulfur', 'Emissions|VOC', 'Emissions|HFC4310mee', 'Emissions|NOx', 'Emissions|NH3', 'Emissions|CH4', 'Population']) AS variable, unnest(range(10)) AS k),
 l AS (SELECT variable, y AS year, p_retailprice * (y - 1999) + p_size AS value FROM part JOIN n ON p_partkey % 10 = k, range(2000, 2003) r(y) WHERE p_size % 3 > 0),
 w AS (SELECT year, avg(value) FILTER (variable = 'Emissions|CO2|MAGICC Fossil and Industrial') AS fossil, avg(value) FILTER (variable = 'Emissions|CO2') AS co2, avg(value) FILTER (variable = 'Emissions|N2O') AS n2o, avg(value) FILTER (variable = 'Emissions|Sulfur') AS sulfur,
-  avg(value) FILTER (variable = 'Emissions|VOC') AS voc, avg(value) FILTER (variable = 'Emissions|HFC4310mee') AS hfc, avg(value) FILTER (variable = 'Emissions|NOx') AS nox, avg(value) FILTER (variable = 'Emissions|NH3') AS nh3, avg(value) FILTER (variable = 'Emissions|CH4') AS ch4 FROM l GROUP BY 1)
+  avg(value) FILTER (variable = 'Emissions|VOC') AS voc, avg(value) FILTER (variable = 'Emissions|HFC4310mee') AS hfc, avg(value) FILTER (variable = 'Emissions|NOx') AS nox, avg(value) FILTER (variable = 'Emissions|NH3') AS nh3, avg(value) FILTER (variable = 'Emissions|CH4') AS ch4 FROM l GROUP BY 1)"""
+
+
+@query(
+    "emission_table",
+    _EMISSIONS
+    + """
 SELECT CAST(year AS INTEGER) AS year, round(fossil * 12 / 44000, 7) AS "FossilCO2", round((co2 - fossil) / 1000, 7) AS "OtherCO2", round(n2o * 28 / 44 / 1000, 7) AS "N2O", round(sulfur * 32 / 64, 7) AS "SOx", round(voc, 7) AS "NMVOC", round(hfc, 7) AS "HFC43-10", round(nox * 14 / 30, 7) AS "NOx", round(nh3 * 14 / 17, 7) AS "NH3", round(ch4, 7) AS "CH4" FROM w
 """,
 )
 def emission_table(t: Tables) -> DataFrame:
     """P13, P16, P12, P17."""
+    shown = ["FossilCO2", "OtherCO2", "N2O", "SOx", "NMVOC", "HFC43-10", "NOx", "NH3", "CH4"]
+    return rounded(_emissions(t).select("year", *shown), 7, *shown)
+
+
+def _emissions(t: Tables) -> DataFrame:
     names = ["CO2|MAGICC Fossil and Industrial", "CO2", "N2O", "Sulfur", "VOC", "HFC4310mee", "NOx", "NH3", "CH4"]
     variable = F.get(F.array(*(F.lit(f"Emissions|{n}") for n in names), F.lit("Population")), (F.col("p_partkey") % 10).cast("int"))
     years = {str(y): F.col("p_retailprice") * (y - 1999) + F.col("p_size") for y in range(2000, 2003)}
     rows = t.part.select(variable.alias("variable"), F.when(F.col("p_size") % 3 > 0, "clean").otherwise("raw").alias("stage"), *(c.alias(y) for y, c in years.items()))
-    shown = ["FossilCO2", "OtherCO2", "N2O", "SOx", "NMVOC", "HFC43-10", "NOx", "NH3", "CH4"]
-    return rounded(water.emission_table(rows, list(years)).select("year", *shown), 7, *shown)
+    return water.emission_table(rows, list(years))
+
+
+@query(
+    "emission_lines",
+    _EMISSIONS
+    + """,
+v AS (SELECT year, unnest(range(23)) AS k, unnest([fossil * 12 / 44000, (co2 - fossil) / 1000, ch4, n2o * 28 / 44 / 1000, sulfur * 32 / 64, NULL, voc, nox * 14 / 30, NULL, NULL, nh3 * 14 / 17, NULL, NULL, NULL, NULL, NULL, hfc, NULL, NULL, NULL, NULL, NULL, NULL]) AS x FROM w)
+SELECT 9 AS part, CAST(year AS INTEGER) AS year, printf('%11d', year) || string_agg(' ' || coalesce(printf('%10.4f', round(x, 4)), lpad('nan', 10, ' ')), '' ORDER BY k) AS line FROM v GROUP BY year
+UNION ALL SELECT 0, NULL, ' ' || count(DISTINCT year) FROM w
+UNION ALL SELECT part, NULL, line FROM (VALUES (1, ' 11'), (2, ' SSP1'), (3, ' Description line 1'), (4, ' Description line 2'), (5, ''), (6, ' WORLD'), (10, ''), (10, ''),
+  (7, '      YEARS  FossilCO2   OtherCO2        CH4        N2O        SOx         CO      NMVOC        NOx         BC         OC        NH3        CF4       C2F6      C6F14      HFC23      HFC32   HFC43-10     HFC125    HFC134a    HFC143a   HFC227ea   HFC245fa        SF6'),
+  (8, '        Yrs        GtC        GtC      MtCH4    MtN2O-N        MtS       MtCO         Mt        MtN         Mt         Mt        MtN         kt         kt         kt         kt         kt         kt         kt         kt         kt         kt         kt         kt')) f(part, line)
+""",
+)
+def emission_lines(t: Tables) -> DataFrame:
+    """The file's lines."""
+    return water.emission_lines(_emissions(t), "SSP1")

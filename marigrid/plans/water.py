@@ -187,3 +187,26 @@ def emission_table(df: DataFrame, years: Sequence[str]) -> DataFrame:
     wide = rows.groupBy("year").pivot("species", SPECIES).agg(F.avg("value"))
     other = (F.col("OtherCO2") - F.col("FossilCO2")) / 1000
     return wide.select("year", *(other.alias(s) if s == "OtherCO2" else (F.col(f"`{s}`") * UNITS.get(s, 1.0)).alias(s) for s in SPECIES))
+
+
+#: R35, fixed values: what stands in the file's first lines and the units below the species' names.
+SCENARIO_LINES = [" 11", None, " Description line 1", " Description line 2", "", " WORLD"]
+UNIT_NAMES = "GtC GtC MtCH4 MtN2O-N MtS MtCO Mt MtN Mt Mt MtN kt kt kt kt kt kt kt kt kt kt kt kt".split()
+
+
+def emission_lines(table: DataFrame, label: str) -> DataFrame:
+    """(part, year, line) of a scenario's file in fixed width; its lines stand in the order of part and year.
+
+    ``table`` is that of ``emission_table``. Years take 11 characters, species a blank and at least 10 with 4 decimals, halves away from zero; a
+    missing value is "nan". Part 0 is the number of years, 1 to 8 the lines above the rows, 9 the rows, 10 the two empty
+    lines below. Without rows the number is 0. Only rows are formatted in tasks; nothing is sorted here.
+    """
+    wide = lambda names: "".join(f"{n:>11}" for n in names)
+    fixed = [f" {label}" if one is None else one for one in SCENARIO_LINES]
+    above = [*fixed, wide(["YEARS", *SPECIES]), wide(["Yrs", *UNIT_NAMES])]
+    known = lambda c: c.isNotNull() & ~F.isnan(c)
+    number = lambda c: F.concat(F.lit(" "), F.when(known(c), F.format_string("%10.4f", F.round(c, 4))).otherwise(f"{'nan':>10}"))
+    rows = table.select(F.lit(9).alias("part"), "year", F.concat(F.format_string("%11d", "year"), *(number(F.col(f"`{s}`")) for s in SPECIES)).alias("line"))
+    count = table.agg(F.count_distinct("year").alias("n")).select(F.lit(0).alias("part"), F.lit(None).cast("int").alias("year"), F.concat(F.lit(" "), F.col("n").cast("string")).alias("line"))
+    rest = table.sparkSession.createDataFrame([*((i, None, one) for i, one in enumerate(above, 1)), (10, None, ""), (10, None, "")], "part int, year int, line string")
+    return rows.unionByName(count).unionByName(rest)

@@ -40,3 +40,8 @@ def dense_points(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> D
 def described(df: DataFrame, comments: dict[str, str]) -> DataFrame:
     """K9: columns with a comment in their metadata."""
     return df.select(*(F.col(c).alias(c, metadata={"comment": comments[c]}) if c in comments else F.col(c) for c in df.columns))
+
+
+def write_lines(lines: DataFrame, path: str, order: Sequence[str], line: str = "line", mode: str = "errorifexists") -> None:
+    """One text file of lines in their order, for files that a program reads whole; of a bounded number of lines."""
+    lines.coalesce(1).sortWithinPartitions(*order).select(line).write.mode(mode).text(path)

@@ -3,6 +3,7 @@ import os
 
 import pytest
 from marigrid import schema
+from marigrid.plans import water
 from marigrid.sources import readers, sinks
 from pyspark.sql import functions as F
 
@@ -83,3 +84,20 @@ def test_grids_calendars_and_suffixes(spark, tmp_path):
     assert readers.scan_table(spark, str(tmp_path / "g.parquet")).count() == 3
     with pytest.raises(ValueError):
         readers.scan_table(spark, "a.nc")
+
+
+def test_emission_file(spark, tmp_path):
+    species = ", ".join(f"`{s}` double" for s in water.SPECIES)
+    row = lambda year, first: (year, first, None, float("nan"), *([1.0] * (len(water.SPECIES) - 3)))
+    lines = water.emission_lines(spark.createDataFrame([row(2010, -0.00004), row(2000, 1234567.25)], "year int, " + species), "SSP2")
+    sinks.write_lines(lines, str(tmp_path / "scen"), ["part", "year"])
+    (name,) = [n for n in os.listdir(tmp_path / "scen") if n.startswith("part")]
+    text = (tmp_path / "scen" / name).read_text().split("\n")
+    assert text[:7] == [" 2", " 11", " SSP2", " Description line 1", " Description line 2", "", " WORLD"]
+    assert len(text[7]) == len(text[8]) == 24 * 11
+    assert text[9] == f"{2000:11d} {1234567.25:10.4f}" + f" {'nan':>10}" * 2 + f" {1:10.4f}" * 20
+    assert text[10].startswith(f"{2010:11d} ") and float(text[10][11:22]) == 0
+    assert text[11:] == ["", "", ""]
+    got = readers.read_fixed_width(spark, str(tmp_path / "scen"), ["year", *water.SPECIES]).filter(F.col("SF6").isNotNull())
+    assert {r.year: r.FossilCO2 for r in got.collect()} == {"2000": "1234567.2500", "2010": text[10][11:22].strip()}
+    assert [r.line for r in water.emission_lines(spark.createDataFrame([], "year int, " + species), "SSP1").filter("part in (0, 9)").collect()] == [" 0"]
