@@ -211,10 +211,11 @@ def autoregression(rho: np.ndarray, known: int | None, from_zero: bool = False)
     return a, math.sqrt(max(1 - float(rho[1 : p + 1] @ a), 0.0))
 
 
-def best_block(rng: np.random.Generator, mean: float, blocks: int, family: str, params: Sequence[float], rho: np.ndarray, state: np.ndarray | None, spec: Disaggregation, from_zero: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def best_block(rng: np.random.Generator, mean: float, blocks: int, family: str, params: Sequence[float], rho: np.ndarray, state: np.ndarray | None, spec: Disaggregation, from_zero: bool = False, gaussian: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The simulated day whose mean is nearest, of ``blocks`` candidates, and the state after it.
 
-    The state holds uniforms, which also start the next day's Gaussian series, as the stored rule has it. After
+    The state holds uniforms, which also start the next day's Gaussian series, as the stored rule has it; with
+    ``gaussian`` it holds the Gaussian values themselves, so that the series goes on over midnight. After
     a missing day (``state`` None) an AR(1) series starts it; the first day (empty state) is white noise.
     Candidates are drawn ``CHUNK`` at a time beside the nearest so far by tabulated quantiles; of the ``NEAR`` nearest,
     interpolated quantiles decide.
@@ -247,7 +248,7 @@ def best_block(rng: np.random.Generator, mean: float, blocks: int, family: str,
     z = found[0][1:].T.astype(float)
     x = np.interp(z, at, exact)
     k = int(np.abs(x.mean(1) - mean).argmin())
-    return x[k], np.concatenate([state if state is not None else np.zeros(0), _uniform(z[k])])[-spec.lags :]
+    return x[k], np.concatenate([state if state is not None else np.zeros(0), z[k] if gaussian else _uniform(z[k])])[-spec.lags :]
 
 
 def _uniform(z: np.ndarray) -> np.ndarray:
@@ -266,11 +267,12 @@ def _quantiles(family: str, params: tuple[float, ...]) -> tuple[np.ndarray, np.n
     return at, exact, np.interp(fine, at, exact).astype(np.float32)
 
 
-def disaggregate(days: DataFrame, keys: Sequence[str], family: str, spec: Disaggregation = Disaggregation(), from_zero: bool = False) -> DataFrame:
+def disaggregate(days: DataFrame, keys: Sequence[str], family: str, spec: Disaggregation = Disaggregation(), from_zero: bool = False, gaussian: bool = False) -> DataFrame:
     """(keys, time, ntr float) hourly, from days with xk, the marginal's parameters, acs_scale, acs_shape, b, c and v.
 
     One task runs a series along its time, holding the last ``spec.lags`` values; the seed is the series' key, so
-    results don't depend on the partitioning. Days without parameters are null.
+    results don't depend on the partitioning. Days without parameters are null. ``from_zero`` and ``gaussian`` take the other
+    readings of the correlations' first lag and of what starts a day (``autoregression``, ``best_block``).
     """
     names = dist.PARAMETERS[family]
     lag = np.arange(1, spec.lags + 1)
@@ -287,7 +289,7 @@ def disaggregate(days: DataFrame, keys: Sequence[str], family: str, spec: Disagg
                 state = None
                 continue
             rho = curve(np.exp(-((lag / r.acs_scale) ** r.acs_shape)), r.b, r.c)
-            x, state = best_block(rng, r.xk, int(max(r.v, 1)), family, params, rho, state, spec, from_zero)
+            x, state = best_block(rng, r.xk, int(max(r.v, 1)), family, params, rho, state, spec, from_zero, gaussian)
             values.append(x)
         out = pd.DataFrame({"time": np.concatenate(times), "ntr": np.concatenate(values).astype("float32")})
         out[list(keys)] = key

@@ -90,6 +90,33 @@ def availability(spark: SparkSession, log: dict[str, Sequence[str]]) -> DataFram
     return spark.createDataFrame([(s, n) for s, names in log.items() for n in names or ()], schema)
 
 
+def read_download_logs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(path, key, value) of logs that are flat YAML maps, one a file and each in one task.
+
+    Quotes go, doubled single quotes become one; keys over two lines ("? key" and ": value") count. Comments, lists and
+    indented lines give no rows; an empty value or "null" is null. An empty log gives one row with a null key, so that it
+    isn't lost (``missing_logs``).
+    """
+    quoted = "'(?:[^']|'')*'|\"[^\"]*\""
+    text = F.regexp_replace("value", r"(?m)^\? (.*)\r?\n: ", "$1: ")
+    pattern = rf"^({quoted}|[^\s#'\"\[{{-](?:[^:]|:(?=\S))*?)\s*:(?:\s+({quoted}|[^#].*?))?\s*$"
+
+    def plain(c: Column) -> Column:
+        single = F.replace(F.regexp_extract(c, r"^'(.*)'$", 1), F.lit("''"), F.lit("'"))
+        return F.when(c.rlike("^'.*'$"), single).when(c.rlike('^".*"$'), F.regexp_extract(c, '^"(.*)"$', 1)).otherwise(c)
+
+    found = F.filter(F.split(text, r"\r?\n"), lambda one: one.rlike(pattern))
+    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.explode_outer(found).alias("line"))
+    value = plain(F.regexp_extract("line", pattern, 2))
+    return rows.select("path", plain(F.regexp_extract("line", pattern, 1)).alias("key"), F.when(~value.isin("", "null", "~"), value).alias("value"))
+
+
+def missing_logs(logs: DataFrame, suffix: str = ".nc") -> DataFrame:
+    """(path, n_files, missing): how many keys of a log name files, and whether none does."""
+    n = F.count_if(F.endswith("key", F.lit(suffix)))
+    return logs.groupBy("path").agg(n.alias("n_files"), (n == 0).alias("missing"))
+
+
 def read_grid(spark: SparkSession, paths: str | Sequence[str], x: str = "lon", ordered: bool = False) -> DataFrame:
     """Gridded Parquet with longitudes from -180 to 180. Rows have no order, as writers sort; ``ordered`` sorts by ``x``."""
     df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))

@@ -130,3 +130,21 @@ def test_blocks_in_chunks_are_as_good(monkeypatch):
     monkeypatch.setattr(disagg, "CHUNK", 7)
     y, _ = disagg.best_block(np.random.default_rng(1), 0.03, 2000, "norm", (0.0, 1.0), rho, np.zeros(0), Disaggregation())
     assert abs(y.mean() - 0.03) < 0.01
+
+
+def test_a_day_goes_on_from_the_gaussian_values_of_the_last():
+    from marigrid.operators import disagg
+    from marigrid.params import Disaggregation
+
+    spec, rho = Disaggregation(lags=6), 0.9 ** np.arange(1, 7)
+    across = {}
+    for gaussian in (False, True):
+        rng, state, last, pairs = np.random.default_rng(5), None, None, []
+        for _ in range(1500):
+            x, state = disagg.best_block(rng, 0.0, 1, "norm", (0.0, 1.0), rho, state, spec, True, gaussian)
+            if last is not None:
+                pairs.append((last, x[0]))
+            last = x[-1]
+        across[gaussian] = np.corrcoef(np.array(pairs).T)[0, 1]
+    assert abs(across[True] - 0.9) < 0.05
+    assert across[False] < across[True]

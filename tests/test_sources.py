@@ -101,3 +101,16 @@ def test_emission_file(spark, tmp_path):
     got = readers.read_fixed_width(spark, str(tmp_path / "scen"), ["year", *water.SPECIES]).filter(F.col("SF6").isNotNull())
     assert {r.year: r.FossilCO2 for r in got.collect()} == {"2000": "1234567.2500", "2010": text[10][11:22].strip()}
     assert [r.line for r in water.emission_lines(spark.createDataFrame([], "year int, " + species), "SSP1").filter("part in (0, 9)").collect()] == [" 0"]
+
+
+def test_download_logs(spark, tmp_path):
+    put(tmp_path / "a.yml", "# a log\nmid_search: true\nzos_day_2000.nc: ok\n'psl: day ''x''.nc': \"all: right\"\n? very_long.nc\n: failed\nempty:\nnone: null\n- item.nc\n  inner.nc: 1\nhttp://host:80/a.nc: done # really\n")
+    put(tmp_path / "b.yml", "mid_search: false\n")
+    put(tmp_path / "c.yml", "")
+    logs = readers.read_download_logs(spark, str(tmp_path))
+    got = {(r.path[-5:], r.key): r.value for r in logs.collect()}
+    a = {"mid_search": "true", "zos_day_2000.nc": "ok", "psl: day 'x'.nc": "all: right", "very_long.nc": "failed", "empty": None, "none": None, "http://host:80/a.nc": "done # really"}
+    assert {k: v for (p, k), v in got.items() if p == "a.yml"} == a
+    counts = {r.path[-5:]: (r.n_files, r.missing) for r in readers.missing_logs(logs).collect()}
+    assert counts["a.yml"] == (4, False) and counts["b.yml"] == (0, True)
+    assert counts.get("c.yml", (0, True)) == (0, True)
