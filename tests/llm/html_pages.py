@@ -63,3 +63,16 @@ PAGES = [
     # hashed names, cookie bar at the end
     (f'<body><div class="jsx-11"><div class="jsx-22"><ul class="jsx-3"><li><a href=1>World</a></li><li><a href=2>Money</a></li><li><a href=3>Culture</a></li></ul></div><div class="jsx-44"><div class="jsx-55"><h1 class="jsx-6">{H}</h1><p class="jsx-7">{A}</p><p class="jsx-7">{B}</p><p class="jsx-7">{D}</p></div></div></div><div class="jsx-88"><div class="jsx-9">We use cookies and similar tools.</div><button>Accept</button></div></body>', [H, A, B, D]),
 ]
+
+#: Written after the generator and the features were settled, and not looked at for them.
+S1 = "Three of the five wells in the upper village have run dry since August, and the two that remain give water the colour of weak tea."
+S2 = "A geologist from the provincial office came on Wednesday, lowered a line into each shaft and wrote down depths that nobody had seen in forty years of records."
+S3 = "Until rain comes, a tanker will stop at the school twice a day; every household may fill four cans, and the sick are served first."
+T = "Wells fail in the upper village"
+HELD_OUT = [
+    (f'<body><div id="mast"><a href=/>Valley Post</a></div><div id="strip"><ul><li><a href=1>Local</a></li><li><a href=2>Letters</a></li><li><a href=3>Obituaries</a></li></ul></div><div id="col1"><h1>{T}</h1><div class="byl">By our correspondent</div><p>{S1}</p><p>{S2}</p><p>{S3}</p></div><div id="col2"><h4>Weather</h4><p>Dry, 31 degrees.</p><h4>Also today</h4><ul><li><a href=4>Bus fares rise</a></li><li><a href=5>Choir wins cup</a></li></ul></div><div id="base">Valley Post Ltd, Mill Lane. <a href=6>Terms</a> <a href=7>Contact</a></div></body>',[T,"By our correspondent",S1,S2,S3]),
+    (f'<body><div class="k9x2"><div class="p3v8">Your privacy matters. We and our partners store data. <a href=c>Manage</a></div><div class="z7t1"><div class="z7t2"><h1>{T}</h1><p>{S1}</p><div class="q1q1"><a href=r>Read more: What to do when the tap runs dry</a></div><p>{S2}</p><p>{S3}</p></div></div><div class="m4m4"><a href=1>About</a><a href=2>Help</a><a href=3>Jobs</a><span>© Valley Post</span></div></div></body>',[T,S1,S2,S3]),
+    (f'<body><main><nav><ol><li><a href=/>Home</a></li><li><a href=/v>Village</a></li></ol></nav><h1>{T}</h1><p>{S1} <a href=m>See the map</a> of all shafts.</p><h2>What was measured</h2><p>{S2}</p><ul><li>North well: 41 metres</li><li>Church well: 44 metres</li></ul><p>{S3}</p><footer><p>Filed under <a href=t>water</a>, <a href=u>drought</a></p></footer></main></body>',[T,f"{S1} See the map of all shafts.","What was measured",S2,"North well: 41 metres","Church well: 44 metres",S3]),
+    (f'<body><table width=100%><tr><td colspan=2><a href=1>Index</a> - <a href=2>Search</a> - <a href=3>Help</a></td></tr><tr><td><b>Sections</b><br><a href=4>Farm</a><br><a href=5>Market</a></td><td><h2>{T}</h2>{S1}<p>{S2}<p>{S3}</td></tr></table><center>(c) 1999 Valley Post</center></body>',[T,S1,S2,S3]),
+    (f'<body><div class="app"><div class="hero"><h1>{T}</h1></div><div class="rich-text"><p>{S1}</p><p>{S2}</p><p>{S3}</p></div><div class="cards"><div class="card"><a href=1><h3>Rain at last</h3></a><p>Clouds gathered over the ridge.</p></div><div class="card"><a href=2><h3>School reopens</h3></a><p>Pupils return on Monday.</p></div></div><div class="subscribe-cta"><p>Get the morning letter in your inbox.</p></div></div></body>',[T,S1,S2,S3]),
+]
