@@ -268,8 +268,8 @@ def first_smallest(t: Tables) -> DataFrame:
 
 @query("merge_intervals", "WITH i AS (SELECT l_suppkey AS k, l_shipdate AS s, l_shipdate + to_days(CAST(l_quantity AS INTEGER)) AS e FROM lineitem), m AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM i), g AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT k AS l_suppkey, min(s) AS \"start\", max(e) AS \"end\" FROM g GROUP BY k, island")
 def merge_intervals(t: Tables) -> DataFrame:
-    """O7."""
-    rows = t.lineitem.select("l_suppkey", F.col("l_shipdate").alias("start"), (F.col("l_shipdate") + F.make_dt_interval(F.col("l_quantity").cast("int"))).alias("end"))
+    """O7; days are rounded, ties to even."""
+    rows = t.lineitem.select("l_suppkey", F.col("l_shipdate").alias("start"), (F.col("l_shipdate") + F.make_dt_interval(F.rint("l_quantity").cast("int"))).alias("end"))
     return windows.merged_intervals(rows, ["l_suppkey"])
 
 
