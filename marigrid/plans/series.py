@@ -738,6 +738,8 @@ def hourly_totals(t: Tables) -> DataFrame:
     hours = t.lineitem.groupBy(at.alias("time"), F.lit(0).alias("stn")).agg((F.avg("l_extendedprice") / 1e5).alias("v"))
     hours = hours.select("stn", "time", windows.rolling_mean("v", ["stn"], "time", 11, full=False).alias("ntr"))
     days = t.orders.groupBy(F.lit(0).alias("stn"), F.col("o_orderdate").alias("time")).agg((F.avg("o_totalprice") / 1e6).alias("ntr"), (F.max("o_totalprice") / 1e6).alias("msl"))
+    # the chain reads both many times; a row for each hour and day of the calendar, whatever the tables' size
+    hours, days = hours.localCheckpoint(), days.localCheckpoint()
     hour = F.explode(F.sequence(F.col("time"), F.col("time") + F.expr("INTERVAL 23 HOURS"), F.expr("INTERVAL 1 HOUR"))).alias("time")
     tides = days.select("stn", hour).withColumn("tides", 0.5 * F.cos(2 * 3.141592653589793 / 12.42 * F.unix_timestamp(F.col("time").cast("timestamp")) / 3600))
     return chain.hourly_totals(hours, days, tides, days.select("stn", "time", "msl"), ["stn"], YEARS, YEARS)
