@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ EDITS, RECALL = 0.2, 0.99
 BITS, SAMPLES, WALKS = 4, 32, 16
 #: Items that are sent to the tasks at once, and words of them when all are padded to the longest; one item at least.
 BLOCK, BLOCK_WORDS = 5000, 2_000_000
+#: Bits of the table of items' words; anchors whose neighbourhoods are looked at at once.
+PAIR_BITS, AT_ONCE = 22, 10_000
 _PAD = np.uint64(0)
 _SHORT = 12
 _WORD = re.compile(r"[^\s!-/:-@\[-`{-~]+")
@@ -44,6 +47,18 @@ class Items:
     anchor_item: np.ndarray
     anchor_at: np.ndarray
 
+    @cached_property
+    def members(self) -> np.ndarray:
+        """Bits of all (item, word) pairs; other pairs may share one."""
+        item, at = np.nonzero(np.arange(self.words.shape[1]) < self.size[:, None])
+        bits = np.zeros(1 << PAIR_BITS, bool)
+        bits[_pair(item, self.words[item, at])] = True
+        return bits
+
+
+def _pair(item: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return (mix(word ^ mix(item.astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
 
 def walk(words: np.ndarray, at: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
     """CGK embeddings of the strings words[at:end]: each step writes the word read and moves on by a random bit of (step, word)."""
@@ -139,6 +154,23 @@ def _bitmap(hashes: np.ndarray) -> np.ndarray:
     return bits
 
 
+def _alike(items: Items, words: np.ndarray, rows: np.ndarray, row: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Whether all that an anchor's windows are compared with holds enough words of the item: size - edits places have one in any match."""
+    edits, size = items.edits[item], items.size[item]
+    low, high = rows[row], rows[row + 1]
+    first = np.maximum(np.clip(begin - edits, low, np.maximum(high - 1, low)) - edits, low)
+    last = np.minimum(np.clip(begin + edits, low, np.maximum(high - 1, low)) + size + edits, high)
+    out = np.zeros(len(row), bool)
+    for some in range(0, len(row), AT_ONCE):
+        part = slice(some, some + AT_ONCE)
+        n = last[part] - first[part]
+        start = np.concatenate([[0], np.cumsum(n)])
+        cell = np.arange(start[-1]) + np.repeat(first[part] - start[:-1], n)
+        known = np.concatenate([[0], np.cumsum(items.members[_pair(np.repeat(item[part], n), words[cell])])])
+        out[part] = known[start[1:]] - known[start[:-1]] >= size[part] - edits[part]
+    return out
+
+
 def matches(items: Items, words: np.ndarray, rows: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, start, end, distance) of each row's best place of each item within its edits."""
     at = np.flatnonzero(bits[(words >> np.uint64(46)).astype(np.int64)])
@@ -150,12 +182,15 @@ def matches(items: Items, words: np.ndarray, rows: np.ndarray, bits: np.ndarray)
     anchor = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
     at = np.repeat(at, n)
     item = items.anchor_item[anchor]
-    begin = at - items.anchor_at[anchor]
+    begin, row = at - items.anchor_at[anchor], np.searchsorted(rows, at, "right") - 1
+    near = _alike(items, words, rows, row, item, begin)
+    if not near.any():
+        return
+    item, begin, row = item[near], begin[near], row[near]
     # all windows that can hold the anchor with the edits allowed
     wide = 2 * items.edits[item] + 1
     shift = np.arange(wide.sum()) - np.repeat(np.concatenate([[0], np.cumsum(wide)[:-1]]), wide) - np.repeat(items.edits[item], wide)
-    row = np.repeat(np.searchsorted(rows, at, "right") - 1, wide)
-    item, begin = np.repeat(item, wide), np.repeat(begin, wide) + shift
+    row, item, begin = np.repeat(row, wide), np.repeat(item, wide), np.repeat(begin, wide) + shift
     begin = np.clip(begin, rows[row], np.maximum(rows[row + 1] - 1, rows[row]))
     key = np.unique(np.stack([row, item, begin], 1), axis=0)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
