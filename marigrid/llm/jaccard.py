@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from marigrid.llm.common import BROADCAST_IDS, cut, narrowed, small_batches
 from marigrid.llm.graph import components
+from marigrid.llm.passages import _edges, _equal, _groups, _packed, _whole
 from marigrid.llm.text import mix, shingles, word_batches
 
 K, PERCENT = 3, 90
@@ -40,6 +41,9 @@ DENSE = 16
 PIVOT_BYTES = 64 << 20
 #: Common shingles that tasks are sent, at most, and shingles among which a task counts them.
 COMMON, CHUNK = 200_000, 4_000_000
+#: Keys of regions that a task deals out at once, and of a bucket (about); bytes of a key that are sent, the rest gives the
+#: bucket. Keys that these can't tell apart only let more documents touch.
+KEYS, BUCKET, BYTES = 1 << 19, 1 << 18, 5
 #: Size classes grow by half.
 _CLASSES = [1]
 while _CLASSES[-1] < 2**40:
@@ -221,34 +225,70 @@ def _node_sets(k: int):
     return sets
 
 
-def _touching(docs: DataFrame, hashes: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(a, b): each member b of a cell's region with the region's least member a; as many rows as members."""
+TOUCH = "bucket int, key binary, node binary"
+
+
+def _met(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, the least node of each, the other nodes, the least node of the key of each of these)."""
+    order = np.argsort(key)
+    key, node = key[order], node[order]
+    edge = _edges(key)
+    least = np.minimum.reduceat(node, edge[:-1])
+    first = np.repeat(least, np.diff(edge))
+    more = node != first
+    return key[edge[:-1]], least, node[more], first[more]
+
+
+def _touching(docs: DataFrame, hashes: np.ndarray, k: int, percent: int, buckets: int) -> DataFrame:
+    """(a, b): members b of cells' regions with a member a of the same; they connect what meets in a region.
+
+    A task joins what meets among the sets of a chunk and sends each key once, with its least node; the rest meets in the
+    key's bucket. So keys are shuffled once, packed, and a hot one costs a bucket one node a chunk.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(hashes)  # COMMON longs at most
+    wide = np.uint64(1 << 8 * (8 - BYTES))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, seen = Common(sent.value), set()
+        common, seen, held, n = Common(sent.value), set(), [], 0
         for batch in batches:
-            key, own = [], []
             for _, s in doc_sets(batch.column(1), k):
                 if len(s) and (node := set_hash(s)) not in seen:  # copies are one node
                     seen = seen if len(seen) < SEEN else set()
                     seen.add(node)
-                    node, found = cell_keys(s, percent, common)
-                    key.append(found)
-                    own.append(np.full(len(found), node, np.int64))
-            if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(own))], names=["key", "node"])
-
-    regions = docs.mapInArrow(keys, "key long, node long")
-    # combined before the shuffle, and most keys have one node: what is left is joined back, where hot keys can be split
-    shared = cut(regions.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("key", "a"))
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared
-    return cut(regions.join(shared, "key").select("a", F.col("node").alias("b")).filter("a <> b").distinct())
+                    held.append(cell_keys(s, percent, common))
+                    n += len(held[-1][1])
+                    if n >= KEYS:
+                        yield from dealt(held)
+                        held, n = [], 0
+        if n:
+            yield from dealt(held)
+
+    def dealt(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        node = np.repeat(np.array([v for v, _ in held], np.int64), [len(f) for _, f in held])
+        key, least, b, a = _met(np.concatenate([f for _, f in held]), node)
+        yield from _packed(((key % wide) % np.uint64(buckets)).astype(np.int32), [(key, 8 - BYTES), (least, 0)], TOUCH)
+        if len(b):  # what has met goes along, in buckets under 0
+            yield from _packed((-1 - a % buckets).astype(np.int32), [(a, 0), (b, 0)], TOUCH)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, key, node in _groups(batches, 1):
+            for s, e in _equal(bucket):
+                a, b = _whole(key[s:e], np.uint64, 0 if bucket[s] < 0 else 8 - BYTES), _whole(node[s:e], np.int64)
+                if bucket[s] < 0:
+                    a = a.view(np.int64)
+                else:
+                    _, _, b, a = _met(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    regions = docs.mapInArrow(keys, TOUCH)
+    return cut(regions.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(pairs, "a long, b long").distinct())
 
 
 def _roots(docs: DataFrame, digest: DataFrame, hashes: np.ndarray, k: int, percent: int) -> DataFrame:
     """(node, root) of set hashes with a link: the least hash of their component."""
-    clusters = cut(components(_touching(docs, hashes, k, percent)))
+    shingled = digest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(16, shingled * (100 - percent) // 40 // BUCKET)  # about a half of the shingles' number are keys at 80 %
+    clusters = cut(components(_touching(docs, hashes, k, percent, buckets)))
     nodes = digest.join(clusters, digest.node == clusters.node, "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     nodes = cut(nodes.join(clusters, "node"))
     few = nodes.count() <= BROADCAST_IDS
